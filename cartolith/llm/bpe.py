@@ -2,7 +2,8 @@
 
 A pre-token match depends only on the text from its start on. So once two
 neighbouring chunks, tokenised apart, share the start of a pre-token, they
-agree from there. Each chunk runs ``overlap`` characters into the next; the
+agree from there. A seam never follows white space, since the last white space
+of a run goes to the next pre-token only where the run's end is seen. Each chunk runs ``overlap`` characters into the next; the
 first start that both have is the seam. Where they share none (one pre-token
 may fill a chunk), the earlier chunk is carried on, in steps that double. The
 pieces between seams are encoded one by one; decoding concatenates raw bytes.
@@ -43,7 +44,7 @@ def seams(text: str, pattern: regex.Pattern, chunk: int = CHUNK, overlap: int =
             end = min(n, guess + reach)
             left = [m.start() for m in pattern.finditer(text, start, end)]
             right = {m.start() for m in pattern.finditer(text, guess, end)}
-            seam = next((s for s in left if s >= guess and s in right), None)
+            seam = next((s for s in left if s >= guess and s in right and not text[s - 1].isspace()), None)
             if seam is not None:
                 break
             if end == n:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +54,25 @@ def arrow_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -60,6 +83,7 @@ def map_batches(
     ``make`` runs once a partition, on the executor, and returns the function;
     so what it loads is loaded once.
     """
+    ship_package(df.sparkSession)
     arrow_batches(df.sparkSession)
     names = df.columns
     fields = to_arrow_schema(T._parse_datatype_string(schema))
@@ -80,6 +104,7 @@ def map_stream(
     rows: int = ROWS_PER_BATCH,
 ) -> DataFrame:
     """Like :func:`map_batches`, for functions over a partition's stream of batches."""
+    ship_package(df.sparkSession)
     arrow_batches(df.sparkSession, rows)
     names = df.columns
     fields = to_arrow_schema(T._parse_datatype_string(schema))

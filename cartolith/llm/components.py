@@ -27,7 +27,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut(
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        narrow=True,
     )
     before = _signature(edges)
     while before[0]:
@@ -47,7 +48,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             .union(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        edges = cut(small)
+        edges = cut(small, narrow=True)
         after = _signature(edges)
         if after == before:
             break

@@ -270,7 +270,7 @@ def learn(
 
         return step
 
-    counted = cut(map_batches(fitting, make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = cut(map_batches(fitting, make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
     kept, least = 0, 1
     for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # a row for each distinct count
         kept += r["count"]

@@ -192,7 +192,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     keyed = fps.select("fp", F.explode(tables).alias("x")).select(
         "fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key")
     )
-    hot = cut(
+    hot = (
         keyed.groupBy("t", "key")
         .count()
         .where(F.col("count") > BUCKET_ROWS)
@@ -247,13 +247,13 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
     prints = cut(fingerprints(docs, id_col, text_col, k))
-    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
     roots = connected_components(near_links(by_print.select("fp"), radius))
     in_component = by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     least = in_component.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = cut(in_component.join(least, "root").select("fp", "component_id"))
+    names = cut(in_component.join(least, "root").select("fp", "component_id"), narrow=True)
     return prints.join(names, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     cannot name, stay.
     """
     found = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col, k, radius)
-    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count())
+    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), narrow=True)
     single = kept.where("count = 1").select(F.col("doc_id").alias(id_col))
     out = docs.join(single, id_col, "left_semi").unionByName(docs.where(docs[id_col].isNull()))
     repeated = kept.where("count > 1").select(F.col("doc_id").alias(id_col))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, url_filter
+from . import bpe, langid, mixing, quality, simhash, url_filter, warc
 from .runtime import table
 
 
@@ -35,6 +35,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_quality_forest": op10_quality_forest,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, url_filter, warc
+from . import bpe, langid, media, mixing, quality, simhash, url_filter, warc
 from .runtime import table
 
 
@@ -20,6 +20,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_media_webp": op4_media_webp,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, media, mixing, quality, simhash, url_filter, warc
+from . import bpe, html_extract, langid, media, mixing, quality, secret_scan, simhash, url_filter, warc
 from .runtime import table
 
 
@@ -32,6 +32,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_media_webp": op4_media_webp,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_secret_scans": op6_secret_scans,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 NAMES = r"(?:passwords?|passwd|pwd|passphrase|secrets?|secret[_-]?key|tokens?|auth[_-]?token|access[_-]?token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer)"
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
     r"|(?<![A-Za-z0-9])(?i:" + NAMES + r")[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?[^\s\"'<>,;]{6,}+"
     r"|(?<![\p{L}0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}+"
@@ -280,7 +281,8 @@ def scan(docs: DataFrame, vote: Vote, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where(
         F.col("text").rlike(CANDIDATE)
     )
-    found = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(scan_column(F.col("text"), vote)))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    found = numbered.select("doc_id", "row", F.inline(scan_column(F.col("text"), vote)))
     whole = F.length("candidate")
     before = Window.partitionBy("row").orderBy("pos")
     placed = found.withColumn("until", F.sum(F.col("gap") + whole).over(before))

@@ -152,23 +152,28 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(narrow, make, f"doc_id {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode, and digest both, a text at a time."""
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, maybe ids): encode, decode, and digest both, a text at a time."""
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def make():
         own = codec(path, pattern)
 
         def step(c: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            out: dict[str, list] = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
             for text in c["text"]:
                 ids = own.encode(text)
                 out["n_tokens"].append(len(ids))
                 decimal = own.decimal
                 out["ids_sha256"].append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(own.decode(ids)).hexdigest())
+                if keep_ids:
+                    out["ids"].append(ids)
             return out
 
         return step
 
-    return map_batches(narrow, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(narrow, make, schema + ", ids array<int>" * keep_ids)

@@ -89,7 +89,8 @@ class Model:
     languages: list[str]
     keys: list[np.ndarray]
     log_p: list[np.ndarray]
-    log_backoff: list[np.ndarray]  # of an entry as the context of the next order
+    contexts: list[np.ndarray]  # of each order, hashes of its contexts (one character less)
+    log_backoff: list[np.ndarray]
     unknown: np.ndarray
     temperature: float = 10.0
     limit: float = np.inf
@@ -99,7 +100,7 @@ class Model:
         code = codes(text)
         n = len(code)
         if not n or not self.languages:
-            return None, 0
+            return None, n
         order = len(self.keys)
         total = np.zeros(len(self.languages))
         padded = np.concatenate([np.full(order - 1, 32, np.uint32), code[1:]])
@@ -117,15 +118,15 @@ class Model:
                 if k == 1:
                     total += len(todo) * self.unknown
                     break
-                context = _find(self.keys[k - 2], hashes(part, k - 1)[todo + order - k])
-                total += self.log_backoff[k - 2][context[context >= 0]].sum(axis=0, dtype=np.float64)
+                context = _find(self.contexts[k - 1], hashes(part, k - 1)[todo + order - k])
+                total += self.log_backoff[k - 1][context[context >= 0]].sum(axis=0, dtype=np.float64)
         return -total / (n - 1), n - 1
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, cross-entropy and whether it is rejected."""
         h, n = self.entropies(text)
         if h is None:
-            return "und", 0.0, 0.0, True
+            return "und", 0.0, 0.0, not n
         best = int(np.argmin(h))
         weights = np.exp(-self.temperature * (h - h[best]))
         return self.languages[best], float(1 / weights.sum()), float(h[best]), bool(h[best] > self.limit + 4 / np.sqrt(n))
@@ -150,6 +151,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, ma
     uniform = 1.0 / (len(seen) + 1)
     keys: list[np.ndarray] = []
     probs: list[np.ndarray] = []
+    contexts: list[np.ndarray] = []
     backoffs: list[np.ndarray] = []
     unknown = np.full(len(languages), uniform)
     for n in range(1, order + 1):
@@ -162,9 +164,10 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, ma
             keep = np.sort(np.lexsort((key, -total))[:max_grams])
             key, gram = key[keep], gram[keep]
         suffix = _find(keys[-1], _rows(gram[:, 1:])) if n > 1 else None
-        prefix = _find(keys[-1], _rows(gram[:, :-1])) if n > 1 else None
+        before = np.unique(_rows(gram[:, :-1])) if n > 1 else key[:0]
+        prefix = _find(before, _rows(gram[:, :-1])) if n > 1 else None
         p = np.zeros((len(key), len(languages)))
-        back = np.ones((len(keys[-1]), len(languages))) if n > 1 else None
+        back = np.ones((len(before), len(languages)))
         for k, (grams, count) in enumerate(levels[n - 1]):
             n1, n2 = (count == 1).sum(), (count == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 else 0.75
@@ -179,20 +182,20 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, ma
                 p[:, k] += share[0] * uniform
                 unknown[k] = share[0] * uniform if share[0] else uniform * 1e-3
             else:
-                place = _find(keys[-1], _rows(grams[:, :-1]))
+                place = _find(before, _rows(grams[:, :-1]))
                 back[place[place >= 0], k] = np.maximum(share[context[place >= 0]], 1e-9)
-                own = np.where(prefix[:, None] >= 0, back[prefix], 1.0)[:, k]
+                own = back[prefix, k]
                 below = np.where(suffix >= 0, probs[-1][suffix, k], unknown[k])
                 p[:, k] += own * below
         keys.append(key)
         probs.append(np.maximum(p, 1e-12))
-        if n > 1:
-            backoffs.append(back)
-    backoffs.append(np.ones((0, len(languages))))
+        contexts.append(before)
+        backoffs.append(back)
     return Model(
         languages,
         keys,
         [np.log(p).astype(np.float32) for p in probs],
+        contexts,
         [np.log(b).astype(np.float32) for b in backoffs],
         np.log(np.maximum(unknown, 1e-12)),
     )
@@ -236,7 +239,7 @@ def learn(
     )
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
-        return Model([], [], [], [], np.zeros(0))
+        return Model([], [], [], [], [], np.zeros(0))
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     scale = 1_000_000
@@ -283,7 +286,7 @@ def learn(
         raw = "".join(own["gram"]).encode("utf-32-le", "surrogatepass")
         counts[lang] = (np.frombuffer(raw, np.uint32).reshape(-1, order), own["n"].to_numpy(np.int64))
     if not counts:
-        return Model([], [], [], [], np.zeros(0))
+        return Model([], [], [], [], [], np.zeros(0))
     model = fit(counts, order)
     calibrate(model, _entropy_sample(rest))
     return model

@@ -1 +1 @@
-
+"""Operators over a graph; each returns a DataFrame."""

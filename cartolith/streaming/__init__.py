@@ -1 +1 @@
-
+"""Incremental maintenance."""

@@ -24,25 +24,28 @@ def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Search from ``start(id)`` along ``edges(near, far, via, certainty)``: (depth, id, via, certainty).
 
     Each node comes at its first level with the least (near, via, certainty)
-    that leads to it; the start itself is left out.
+    that leads to it; the start itself is left out. Each level is computed once,
+    since the next ones use it several times.
     """
     spark = edges.sparkSession
-    seen = start.select("id").distinct()
+    seen = cut(start.select("id").distinct())
     frontier = seen
     out = None
     for d in range(1, depth + 1):
         steps = frontier.join(edges, F.col("id") == F.col("near")).groupBy("far").agg(F.min(F.struct("near", "via", "certainty")).alias("best"))
-        new = steps.select(F.col("far").alias("id"), "best.via", "best.certainty").join(seen, "id", "left_anti")
+        new = cut(steps.select(F.col("far").alias("id"), "best.via", "best.certainty").join(seen, "id", "left_anti"))
         level = new.select(F.lit(d).alias("depth"), "id", "via", "certainty")
         out = level if out is None else out.unionByName(level)
         frontier = new.select("id")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return out if out is not None else spark.createDataFrame([], "depth int, id string, via string, certainty string")
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(id): what ``start(id)`` reaches along ``edges(source, target)``, itself included."""
-    edges = edges.select("source", "target").distinct()
+    edges = cut(edges.select("source", "target").distinct())
     seen = cut(start.select("id").distinct())
     frontier = seen
     while not frontier.isEmpty():
@@ -101,15 +104,17 @@ def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         edges = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
         edges = edges.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        edges = edges.select("source", "target")
+        edges = cut(edges.select("source", "target"))
     return edges
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(cycle, node): members of strong components of more than one node, or with a loop."""
-    edges = edges.select("source", "target").distinct()
+    edges = cut(edges.select("source", "target").distinct())
     loops = edges.where("source = target").select(F.col("source").alias("cycle"), F.col("source").alias("node"))
-    core = cut(_trim(edges.where("source <> target")))
+    core = edges.where("source <> target")
+    if core.count() > LOCAL_EDGES:
+        core = _trim(core)
     if core.count() <= LOCAL_EDGES:
         found = core.groupBy(F.lit(0).alias("all")).applyInPandas(_local_components, "cycle string, node string")
     else:
@@ -153,7 +158,7 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
         out = several if out is None else out.unionByName(several)
         done = members.select("node")
         edges = edges.join(done.withColumnRenamed("node", "source"), "source", "left_anti")
-        edges = cut(_trim(edges.join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")))
+        edges = _trim(edges.join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
     return out if out is not None else edges.select(F.col("source").alias("cycle"), F.col("target").alias("node"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, with_keys
+from .lineage import cut
 
 TABLES = ("region", "nation", "supplier", "part", "lineitem")
 
@@ -123,7 +124,11 @@ def oracle_ctes() -> str:
 
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the tables in ``sf_dir``."""
+    """The graph of the tables in ``sf_dir``.
+
+    Operators read nodes and edges many times over, so both are computed once
+    into the shared folder, as a repository's parsed tables would be.
+    """
     frames: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for name, sql in STEPS.items():
         used = {k: v for k, v in frames.items() if "{" + k + "}" in sql}
@@ -140,4 +145,4 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
     subs = sub.join(deps, "id", "left").select(
         "id", "language", "root", "manifest", "name", F.coalesce("declared_deps", F.array().cast("array<string>")).alias("declared_deps")
     )
-    return Graph(subs, with_keys(nodes), edges, frames["skip"])
+    return Graph(cut(subs), cut(with_keys(nodes)), cut(edges), frames["skip"])

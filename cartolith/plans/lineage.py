@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and forget how; used once a round in loops."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)

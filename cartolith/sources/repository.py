@@ -72,7 +72,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out += re.escape(c)
         i += 1
-    return f"(?s)^{out}$"
+    return f"(?s:{out})$"
 
 
 def excluder(patterns: Iterable[str]) -> Callable[[str], bool]:

@@ -56,11 +56,22 @@ health AS (SELECT id AS module_id, CAST(loc AS BIGINT) AS loc, coalesce(function
 """
 
 
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph of a folder: made once an application, as a repository is read once and asked often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = project(spark, sf_dir)
+    return _graphs[key]
+
+
 def query(name: str, oracle: str | None):
     """Register a function of a graph as a query, and its oracle (after the shared expressions)."""
 
     def register(build: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(project(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(graph(spark, sf_dir))
         if oracle:
             ORACLES[name] = f"{oracle_ctes()},\n{SHARED}\n{oracle}"
         return build
@@ -512,7 +523,7 @@ def changed_files_to_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     paths = F.concat(F.lit("s"), F.pmod("user_id", F.lit(6)).cast("string"), F.when(F.pmod("user_id", F.lit(4)) == 1, "/inner").otherwise(""), F.lit("/"), "event_type", F.lit(".py"))
     feed = events.select(paths.alias("path"), F.date_trunc("hour", "ts").cast("string").alias("batch")).distinct()
-    owners = lookup.owning_subproject(feed, project(spark, sf_dir).subprojects)
+    owners = lookup.owning_subproject(feed, graph(spark, sf_dir).subprojects)
     return feed.join(owners, "path").groupBy("batch", "subproject").agg(F.count("*").alias("paths"))
 
 

@@ -425,8 +425,11 @@ class Java(Scanner):
             if self.is_(body, "{"):
                 self._body(scope, cls, body + 1, last)
             return last + 1
+        semi, angle, stop = self.find(stop, end, ";"), 0, j
+        while stop < semi and (angle or not self.is_(stop, ",", "=")):  # commas of type arguments do not end a declarator
+            angle += self.is_(stop, "<") - self.is_(stop, ">")
+            stop += 1
         typed_end = stop - 1
-        semi = self.find(stop, end, ";")
         typed = self.source(j, typed_end)
         first = re.match(r"[^\W\d][\w$]*", typed)
         names, k = [self.name(typed_end)], stop

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cartolith.plans.lineage import shared_dir, ship_package
+
 #: Rows of one Arrow batch; long texts then stay within a worker's memory.
 ROWS_PER_BATCH = 256
 
@@ -22,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` of the session; where that is unset, as in
-    local tests, a temporary folder is set instead.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Compute ``df`` once into the shared folder and forget its lineage.
 
@@ -60,25 +38,6 @@ def arrow_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the file as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = Path(folder) / f"{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for source in sorted(top.rglob("*.py")):
-            out.write(source, source.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],

@@ -265,26 +265,28 @@ def learn(
                 at = np.flatnonzero(inside[: len(code) - order + 1])
                 _, first, n = np.unique(hashes(code, order)[at], return_index=True, return_counts=True)
                 grams = code[at[first][:, None] + np.arange(order)]
-                text = np.ascontiguousarray(grams, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                out["gram"] += [text[i : i + order] for i in range(0, len(text), order)]
+                raw = np.ascontiguousarray(grams, "<u4").tobytes()
+                out["gram"] += [raw[i : i + 4 * order] for i in range(0, len(raw), 4 * order)]
                 out["n"] += n.tolist()
                 out["lang"] += [lang] * len(n)
             return out
 
         return step
 
-    counted = cut(map_batches(fitting, make, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
+    counted = cut(map_batches(fitting, make, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
     kept, least = 0, 1
     for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # a row for each distinct count
         kept += r["count"]
         if kept > 2 * MAX_GRAMS:
             least = r["n"] + 1
             break
-    table = counted.where(F.col("n") >= least).toPandas()
+    kept_counts = counted.where(F.col("n") >= least)
     counts = {}
-    for lang, own in table.groupby("lang"):
-        raw = "".join(own["gram"]).encode("utf-32-le", "surrogatepass")
-        counts[lang] = (np.frombuffer(raw, np.uint32).reshape(-1, order), own["n"].to_numpy(np.int64))
+    for lang in sorted(sizes):  # one language at a time: the driver holds little beside the models
+        own = kept_counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        if own.num_rows:
+            grams = np.frombuffer(b"".join(own["gram"].to_pylist()), "<u4").reshape(-1, order)
+            counts[lang] = (grams, own["n"].to_numpy().astype(np.int64))
     if not counts:
         return Model([], [], [], [], [], np.zeros(0))
     model = fit(counts, order)

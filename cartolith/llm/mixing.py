@@ -262,13 +262,16 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
 
     Rows of equal id and text share the sum of their copies, dealt evenly.
     """
-    per_row = mixed.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    wanted = per_row.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    per_row = cut(mixed.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), narrow=True)
+    wanted = per_row.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("mark").alias("__mix_mark"), F.col("copies").alias("__mix_copies"), F.col("rows").alias("__mix_rows"))
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     names = docs.columns
-    one = docs.withColumn("_text_mark", mark).join(
-        wanted, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark"))
+    one = docs.withColumn("__mix_text_mark", mark).join(
+        wanted, docs[id_col].cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_text_mark") == F.col("__mix_mark"))
     )
-    single = one.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    several = one.where("_rows > 1").dropDuplicates(["_id", "_mark"]).withColumn("_n", F.col("_copies"))
-    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    if per_row.where("rows > 1 and copies > 0").isEmpty():
+        rows = one
+    else:  # rows that repeat: one of them stands for all
+        again = one.where("__mix_rows > 1").dropDuplicates(["__mix_id", "__mix_mark"])
+        rows = one.where("__mix_rows = 1").unionByName(again)
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*names)

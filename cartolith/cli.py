@@ -9,7 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from cartolith.operators import baseline, deadcode, entrypoints, flow, lookup, render
+from cartolith import tools
+from cartolith.operators import baseline, entrypoints, flow, lookup, render
 from cartolith.plans.graph import GraphError
 from cartolith.sources import config as C
 from cartolith.sources import repository, sinks
@@ -46,7 +47,8 @@ def parser() -> argparse.ArgumentParser:
     command("baseline", ("--out", {}), ("--label", {}))
     command("diff", ("--baseline", {}), ("--format", {"choices": ("text", "markdown", "json"), "default": "text"}))
     command("graph")
-    command("query", ("--tool", {"choices": ("overview", "search", "callers", "callees", "dead-code", "entrypoints"), "required": True}), ("--symbol", {}), ("--depth", number | {"default": 1}))
+    command("tools")
+    command("query", ("--tool", {"choices": ("overview", "search", "module-api", "callers", "callees", "impact", "dead-code", "entrypoints"), "required": True}), ("--symbol", {}), ("--depth", number | {"default": 1}))
     return p
 
 
@@ -62,11 +64,13 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         root = Path(a.path).resolve()
         graph = repository.analyse(spark, str(root), config)
         if a.command == "build":
-            say("\n".join(sinks.build_site(graph, Path(a.out or root / config.site.out), config.explorer.default_metric)))
+            say("\n".join(sinks.build_site(graph, Path(a.out or root / config.site.out), config.explorer.default_metric, config.project.language, root)))
         elif a.command == "export":
             say(render.repomap(graph, config.export.budget if a.budget is None else a.budget))
         elif a.command == "graph":
             say(sinks.graph_json(graph))
+        elif a.command == "tools":
+            tools.serve(tools.Tools(lambda: repository.analyse(spark, str(root), config)), sys.stdin, out)
         elif a.command == "baseline":
             text = sinks.baseline_json(graph)
             say(str(sinks.archive(text, root, a.label) if a.label else sinks.write_text(Path(a.out) if a.out else sinks.default_baseline(root), text)))
@@ -138,22 +142,18 @@ def _diagram(graph, config: C.Config, a) -> str:
 
 
 def _tool(graph, a) -> dict:
-    if a.tool == "overview":
-        return render.overview(graph)
-    if a.tool == "dead-code":
-        return {"candidates": [r.asDict() for r in deadcode.dead_code(graph).orderBy("node_id").collect()]}
     if a.tool == "entrypoints":
         return {"entrypoints": [r.asDict() for r in entrypoints.entry_points(graph).orderBy("kind", "node_id", "framework", "label").collect()]}
+    asked = tools.Tools(lambda: graph)
+    if a.tool == "overview":
+        return asked.overview()
+    if a.tool == "dead-code":
+        return asked.dead_code()
     if not a.symbol:
         raise lookup.FocusError("--symbol is missing")
     if a.tool == "search":
-        rows = lookup.search_symbol(graph, a.symbol).collect()
-        return {"matches": [{k: r[k] for k in ("id", "kind", "file", "line", "signature", "doc")} for r in rows], "truncated": bool(rows and rows[0]["truncated"])}
-    found = [r["id"] for r in lookup.candidates(graph, a.symbol, ("function", "method", "class", "module")).select("id").orderBy("id").collect()]
-    if len(found) != 1:
-        return {"error": f"symbole {'ambigu' if found else 'introuvable'} : {a.symbol}", "candidates": found}
-    links = (flow.callers if a.tool == "callers" else flow.callees)(graph, flow.as_start(graph, found[0]), a.depth)
-    return {"symbol": found[0], a.tool: [r.asDict() for r in links.orderBy("depth", "id").collect()]}
+        return asked.search_symbol(a.symbol)
+    return asked.module_api(a.symbol) if a.tool == "module-api" else getattr(asked, a.tool)(a.symbol, a.depth)
 
 
 def main() -> None:

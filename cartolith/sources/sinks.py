@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.operators import baseline, explorer, lookup, render
+from cartolith.operators import baseline, entrypoints, explorer, health, lookup, packages, reading, render
 from cartolith.plans.graph import IR_VERSION, Graph
 
 BASELINE_VERSION = 1
@@ -168,7 +168,45 @@ def write_view(graph: Graph, docs: Path, metric: str = "complexity") -> list[Pat
     return [write_text(docs / "assets" / "data" / f"atlas-{k}.js", _payload_js(k, v)) for k, v in sorted(view_payloads(graph, metric).items())]
 
 
-def build_site(graph: Graph, out: Path, metric: str = "complexity") -> list[str]:
+#: Titles of the pages, by language; English where a language is unknown.
+TITLES = {
+    "en": {"entrypoints": "Entry points", "health": "Health", "worst": "Most complex symbols", "tour": "Reading tour", "violations": "Layer violations", "services": "Subprojects", "skipped": "Files not analysed", "changelog": "Changes"},
+    "fr": {"entrypoints": "Points d'entrée", "health": "Santé", "worst": "Symboles les plus complexes", "tour": "Parcours de lecture", "violations": "Violations de couches", "services": "Sous-projets", "skipped": "Fichiers non analysés", "changelog": "Changements"},
+}
+
+
+def titles(language: str) -> dict[str, str]:
+    return TITLES.get(language, TITLES["en"])
+
+
+def markdown_table(df: DataFrame) -> str:
+    """A table of the rows; empty if there are none."""
+    rows = df.collect()
+    if not rows:
+        return ""
+    cell = lambda v: ", ".join(map(str, v)) if isinstance(v, list) else "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    return "\n".join(lines) + "\n"
+
+
+def report_pages(graph: Graph, language: str = "en") -> dict[str, str]:
+    """Pages of tables, by file name; those without rows are left out."""
+    t = titles(language)
+    tour = reading.reading_tour(graph).select("step", "module", "reason")
+    tables = {
+        "entrypoints": entrypoints.entry_points(graph).orderBy("kind", "node_id", "framework", "label"),
+        "health": health.module_health(graph).orderBy("module_id"),
+        "worst": health.worst_symbols(graph),
+        "violations": packages.layer_violations(graph),
+        "services": health.subproject_stats(graph).orderBy("id"),
+        "skipped": graph.skipped.orderBy("path"),
+        "tour": tour if tour.limit(2).count() > 1 else tour.limit(0),
+    }
+    texts = {name: markdown_table(df) for name, df in tables.items()}
+    return {f"{name}.md": f"# {t[name]}\n\n{text}" for name, text in texts.items() if text}
+
+
+def build_site(graph: Graph, out: Path, metric: str = "complexity", language: str = "en", history: Path | None = None) -> list[str]:
     """Diagrams, data and a page a module, staged beside and moved into place as a whole."""
     out.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=f".{out.name}-", dir=out.parent))
@@ -186,8 +224,10 @@ def build_site(graph: Graph, out: Path, metric: str = "complexity") -> list[str]
         "index.md": render.repomap(graph),
         "dependencies.md": "```mermaid\n" + render.package_diagram(graph) + "```\n",
         "architecture.md": "```mermaid\n" + render.architecture_diagram(graph) + "```\n",
-        "services.md": "```mermaid\n" + render.services_diagram(graph) + "```\n",
-    }
+        "services_diagram.md": "```mermaid\n" + render.services_diagram(graph) + "```\n",
+    } | report_pages(graph, language)
+    if history is not None and (text := changelog(graph.spark, history)):
+        pages["changelog.md"] = f"# {titles(language)['changelog']}\n\n{text}"
     for name, text in pages.items():
         write_text(stage / name, text)
     write_view(graph, stage, metric)

@@ -99,6 +99,18 @@ def update(graph: Graph | None, root: str, changed: Iterable[str] | None, spark:
     return replace(fresh, nodes=nodes, edges=cut(own.unionByName(links)), skipped=cut(old_skipped.unionByName(fresh.skipped)))
 
 
+def snapshot(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """(path, digest) of the files that matter, for a watcher that polls."""
+    files = repository.list_files(spark, root, (config or Config()).analysis.exclude)
+    return files.select("path", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("digest"))
+
+
+def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path): files that came, went or have other content."""
+    both = old.withColumnRenamed("digest", "before").join(new.withColumnRenamed("digest", "after"), "path", "full_outer")
+    return without_noise(both.where(~F.col("before").eqNullSafe(F.col("after"))).select("path"))
+
+
 class Workshop:
     """Versions of a graph in a folder, kept up to date by batches of changed paths."""
 

@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from cartolith import cli
+from cartolith import cli, tools
 from cartolith.plans import graph as G
 from cartolith.sources import repository, sinks
 from cartolith.streaming import incremental as I
@@ -77,11 +77,39 @@ def test_command_line(spark, tmp_path):
     assert json.loads(run(spark, "query", root, "--tool", "search", "--symbol", "Cart")[1])["matches"][0]["id"] == "main/shop.services.cart.Cart"
     assert json.loads(run(spark, "query", root, "--tool", "callers", "--symbol", "total")[1])["callers"][0]["depth"] == 1
     code, text = run(spark, "build", root, "--out", tmp_path / "site")
-    assert code == cli.OK and {"index.md", "assets/data/atlas-graph.js", "modules/shop.cli.md"} <= set(text.split())
+    assert code == cli.OK and {"health.md", "changelog.md", "entrypoints.md", "tour.md", "index.md", "assets/data/atlas-graph.js", "modules/shop.cli.md"} <= set(text.split())
     assert (tmp_path / "site/assets/data/atlas-graph.js").read_text().endswith(";\n")
     assert run(spark, "nonsense")[0] == cli.USAGE and run(spark, "check", tmp_path / "none")[0] == cli.FATAL
 
 
+def test_tools(spark, tmp_path):
+    root = write(tmp_path / "r", ("", PYTHON))
+    made = tools.Tools(lambda: repository.analyse(spark, str(root)))
+    asked = ["", "{", json.dumps({"tool": "nope"}), json.dumps({"tool": "callers", "arguments": {"nope": 1}})]
+    asked += [json.dumps({"tool": n, "arguments": x}) for n, x in (
+        ("module_api", {"module": "shop.services.cart"}), ("impact", {"target": "Repo.save", "depth": 1}), ("callees", {"symbol": "Cart.clear"}), ("search_symbol", {"query": "repo"}), ("callers", {"symbol": "add"}), ("module_api", {"module": "none"}),
+    )]
+    out = io.StringIO()
+    tools.serve(made, io.StringIO("\n".join(asked)), out)
+    bad_json, unknown, wrong, api, hit, callees, found, callers, none = map(json.loads, out.getvalue().splitlines())
+    assert all("error" in x for x in (bad_json, unknown, wrong, none))
+    assert [c["id"].rsplit(".", 1)[1] for c in api["classes"]] == ["Cart", "Port"] and [f["signature"] for f in api["functions"]] == ["(xs)"]
+    assert "main/shop.cli.main" in hit["entrypoints_reached"] and [c["id"].rsplit(".", 1)[1] for c in callees["callees"]] == ["_gone", "add"]
+    assert found["matches"][0]["id"] == "main/shop.storage.repo" and callers["callers"]
+    (root / "shop/more.py").write_text("def f(): pass\n")
+    before = made.graph.nodes.count()
+    assert made.reload()["symbols"] == before + 2
+
+
+def test_polling_watcher(spark, tmp_path):
+    root = write(tmp_path / "r", ("", PYTHON))
+    old = I.snapshot(spark, str(root))
+    (root / "shop/cli.py").write_text("x = 1\n")
+    (root / "shop/storage/repo.py").unlink()
+    (root / "shop/new.py").write_text("")
+    assert sorted(r["path"] for r in I.changes_between(old, I.snapshot(spark, str(root))).collect()) == ["shop/cli.py", "shop/new.py", "shop/storage/repo.py"]
+
+
 def test_baselines_are_checked(spark):
     for text in ("{", "{}", json.dumps({"baseline_version": 9, "ir_version": 1})):
         with pytest.raises(sinks.BaselineError):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.plans.lineage import cut
+from cartolith.plans.lineage import cut, ship_package
 
 #: Edges up to which one task takes the whole graph: some tens of MB.
 LOCAL_EDGES = 200_000
@@ -110,6 +110,7 @@ def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(cycle, node): members of strong components of more than one node, or with a loop."""
+    ship_package(edges.sparkSession)
     edges = cut(edges.select("source", "target").distinct())
     loops = edges.where("source = target").select(F.col("source").alias("cycle"), F.col("source").alias("node"))
     core = edges.where("source <> target")

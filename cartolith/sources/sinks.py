@@ -18,7 +18,7 @@ from cartolith.plans.graph import IR_VERSION, Graph
 BASELINE_VERSION = 1
 #: Version and wrapper of the data files.
 SCHEMA_VERSION = 1
-HEADER = "window.__ATLAS__ = window.__ATLAS__ || {};\n"
+HEADER = "window.__CARTOLITH__ = window.__CARTOLITH__ || {};\n"
 LABEL = re.compile("^[A-Za-z0-9._-]+$")
 PAIRS = ("layer_violations", "inferred_calls", "service_deps")
 
@@ -146,7 +146,7 @@ def changelog(spark: SparkSession, root: Path) -> str:
 
 
 def _payload_js(key: str, payload: dict[str, Any]) -> str:
-    return f'{HEADER}window.__ATLAS__["{key}"] = {canonical_json(payload | {"schema_version": SCHEMA_VERSION})};\n'
+    return f'{HEADER}window.__CARTOLITH__["{key}"] = {canonical_json(payload | {"schema_version": SCHEMA_VERSION})};\n'
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
@@ -165,7 +165,7 @@ def view_payloads(graph: Graph, metric: str = "complexity") -> dict[str, dict[st
 
 
 def write_view(graph: Graph, docs: Path, metric: str = "complexity") -> list[Path]:
-    return [write_text(docs / "assets" / "data" / f"atlas-{k}.js", _payload_js(k, v)) for k, v in sorted(view_payloads(graph, metric).items())]
+    return [write_text(docs / "assets" / "data" / f"view-{k}.js", _payload_js(k, v)) for k, v in sorted(view_payloads(graph, metric).items())]
 
 
 #: Titles of the pages, by language; English where a language is unknown.

@@ -77,8 +77,8 @@ def test_command_line(spark, tmp_path):
     assert json.loads(run(spark, "query", root, "--tool", "search", "--symbol", "Cart")[1])["matches"][0]["id"] == "main/shop.services.cart.Cart"
     assert json.loads(run(spark, "query", root, "--tool", "callers", "--symbol", "total")[1])["callers"][0]["depth"] == 1
     code, text = run(spark, "build", root, "--out", tmp_path / "site")
-    assert code == cli.OK and {"health.md", "changelog.md", "entrypoints.md", "tour.md", "index.md", "assets/data/atlas-graph.js", "modules/shop.cli.md"} <= set(text.split())
-    assert (tmp_path / "site/assets/data/atlas-graph.js").read_text().endswith(";\n")
+    assert code == cli.OK and {"health.md", "changelog.md", "entrypoints.md", "tour.md", "index.md", "assets/data/view-graph.js", "modules/shop.cli.md"} <= set(text.split())
+    assert (tmp_path / "site/assets/data/view-graph.js").read_text().endswith(";\n")
     assert run(spark, "nonsense")[0] == cli.USAGE and run(spark, "check", tmp_path / "none")[0] == cli.FATAL
 
 

@@ -82,7 +82,6 @@ def test_small_graph(small):
     for bad in ("nothing", "s/app"):
         with pytest.raises(lookup.FocusError):
             lookup.resolve_focus(small, bad)
-    assert [r["id"] for r in lookup.search_symbol(small, "d").collect()] == []  or True
     found = lookup.search_symbol(small, "m", limit=1).collect()
     assert [(r["id"], r["truncated"]) for r in found] == [("s/app.api.m", True)]
     assert [r["kind"] for r in flow.strongest_relations(small).collect()] == ["composes"]
@@ -91,7 +90,7 @@ def test_small_graph(small):
 def test_diagrams(small):
     assert render.package_diagram(small).splitlines()[-2:] == ["    class p0,p1 cycle", "    linkStyle 0,1 stroke:#d33,stroke-width:2px"]
     assert render.architecture_diagram(small).splitlines()[-1] == "    linkStyle 1 stroke:#d33,stroke-width:2px"
-    assert "    n1 -.-> n0" in render.call_flow_diagram(small, "s/app.api.m.C.f") or "-.->" in render.call_flow_diagram(small, "s/app.api.m.C.f")
+    assert render.call_flow_diagram(small, "s/app.api.m.C.f").splitlines()[-2:] == ["    n0 -.-> n1", "    n2 --> n0"]
     assert render.class_diagram(small, "s/app.api.m") == "classDiagram\n    class C {\n        +f(x) D\n    }\n    C *-- D\n"
     around = render.neighbourhood_diagram(small, "s/app.api.m.C")
     assert "<<interface>>" in around and "_g" not in around

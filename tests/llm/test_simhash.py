@@ -58,7 +58,7 @@ def test_fingerprints_and_components(spark):
 def test_edges(spark):
     assert rows(S.near_duplicates(documents(spark, []))) == []
     found = S.near_duplicates(documents(spark, [(None, "x y"), (5, "x y"), (5, "x y"), (9, None), (None, "q")]))
-    assert rows(found, "doc_id", "component_id") == [(None, 5), (5, 5), (5, 5), (9, 9), (None, None)] or len(rows(found)) == 5
+    assert sorted(map(str, rows(found, "doc_id", "component_id"))) == ["(5, 5)", "(5, 5)", "(9, 9)", "(None, 5)", "(None, None)"]
     kept = S.keep_one(documents(spark, [(3, "a"), (2, "a"), (2, "a"), (8, "b"), (None, "a")]))
     assert rows(kept, "doc_id") == [(None,), (2,), (8,)]
 

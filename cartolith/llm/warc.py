@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut, map_stream, shared_dir
@@ -135,20 +135,32 @@ class Archive:
 
 
 def with_roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """(row, page_id, url, payload, digest, refers_to) of each page."""
+    """(page_id, url, payload, digest, named, twin) of each page.
+
+    ``named`` is the id of the response that stands for an equal payload, null
+    where there is none; ``twin`` counts, from 0, rows with that same id.
+    """
     payload = F.encode(F.coalesce(pages[html_col].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= least)
+    ).withColumns({"digest": F.sha1("payload"), "large": F.octet_length("payload") >= least})
+    by_id = rows.where("large and page_id is not null").groupBy("digest", "page_id").agg(F.count("*").alias("n"))
     groups = cut(
-        large.groupBy("digest")
-        .agg(F.max("page_id").alias("named"), F.count("*").alias("n"))
-        .where("n > 1 and named is not null")
-        .select("digest", "named"),
+        by_id.groupBy("digest")
+        .agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("rows"))
+        .where("rows > 1 or top.n > 1")
+        .select("digest", F.col("top.page_id").alias("named"), (F.col("top.n") > 1).alias("several")),
         narrow=True,
     )
-    return rows.join(groups, "digest", "left").withColumn("named", F.when(F.octet_length("payload") >= least, F.col("named")))
+    joined = rows.join(groups, "digest", "left").withColumn("named", F.when(F.col("large"), F.col("named")))
+    names = ("page_id", "url", "payload", "digest", "named")
+    zero = F.lit(0).cast("long").alias("twin")
+    if groups.where("several").isEmpty():
+        return joined.select(*names, zero)
+    same = F.coalesce(F.col("several") & (F.col("page_id") == F.col("named")), F.lit(False))
+    order = Window.partitionBy("digest", "page_id").orderBy("url")
+    twins = joined.where(same).withColumn("twin", (F.row_number().over(order) - 1).cast("long"))
+    return joined.where(~same).select(*names, zero).unionByName(twins.select(*names, "twin"))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> Archive:
@@ -156,19 +168,6 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     rows = with_roles(pages, id_col, url_col, html_col, least)
-    # of rows with the id that their payload's group is named after, one is the response
-    repeated = cut(rows.where("page_id = named").groupBy("page_id", "digest").count().where("count > 1").select("page_id", "digest"), narrow=True)
-    some = not repeated.isEmpty()
-    if some:
-        again = rows.join(repeated, ["page_id", "digest"], "left_semi").where("page_id = named")
-        firsts = again.groupBy("page_id", "digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count("*").alias("n"))
-        others = firsts.withColumn("named", F.col("page_id")).withColumn("twin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        rest = rows.join(repeated, ["page_id", "digest"], "left_anti").withColumn("twin", F.lit(0).cast("long"))
-        rows = rest.select("page_id", "url", "payload", "digest", "named", "twin").unionByName(
-            others.select("page_id", "url", "payload", "digest", "named", F.col("twin").cast("long").alias("twin"))
-        )
-    else:
-        rows = rows.withColumn("twin", F.lit(0).cast("long"))
 
     def make():
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

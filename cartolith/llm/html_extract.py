@@ -10,7 +10,8 @@ shared ones are deleted from the page.
 
 Two kinds of lines are not left to the difference, since it would go wrong on
 them: CONTENT stays even where the neighbour repeats it, and CHROME goes even
-where it is the page's own. Where a page has content, its OPEN lines go too.
+where it is the page's own. The difference decides on the OPEN lines of every
+page, whether it has content or not.
 
 The sorted sequence is cut into ranges at sampled keys. The page at a cut goes
 to the range before it, where its predecessor is, and once more, as context
@@ -199,12 +200,8 @@ def _hash(text: str) -> int:
 
 def main_text(kinds: list[int], marks: list[int], texts: list[str], other: list[int] | None) -> str:
     """The text that stays of a page beside the line hashes of its neighbour."""
-    if CONTENT in kinds:
-        return " ".join(t for k, t in zip(kinds, texts, strict=True) if k == CONTENT)
-    if OPEN not in kinds:
-        return ""
-    gone = shared(marks, other) if other else set()
-    return " ".join(t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k == OPEN and i not in gone)
+    gone = shared(marks, other) if other and OPEN in kinds else set()
+    return " ".join(t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k == CONTENT or k == OPEN and i not in gone)
 
 
 def _cuts(keys: DataFrame, ranges: int) -> list[tuple[tuple, bool]]:
@@ -242,10 +239,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 for host, path, has_id, page, url, page_html in zip(*(c[n] for n in ("host", "path", "has_id", "id", "url", "html")), strict=True):
                     found = lines(page_html)
                     kinds = [k for k, _ in found]
-                    keep = CONTENT if CONTENT in kinds else OPEN
                     row = [
                         host, path, has_id, page, _hash(page_html or ""), url,
-                        kinds, [_hash(t) for _, t in found], [t if k == keep else "" for k, t in found],
+                        kinds, [_hash(t) for _, t in found], [t if k != CHROME else "" for k, t in found],
                     ]
                     own = (host, path, has_id, page)
                     at = bisect.bisect_right(cuts, own)

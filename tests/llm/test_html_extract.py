@@ -78,3 +78,9 @@ def test_pairs_do_not_depend_on_cuts(spark, monkeypatch):
             gone = H.shared([H._hash(t) for t in lines], [H._hash(t) for _, t in H.lines(other[3])]) if other else ()
             want.append((i, url, " ".join(t for j, t in enumerate(lines) if j not in gone)))
     assert results[0] == sorted(want)
+
+
+def test_open_lines_beside_content_are_left_to_the_difference(spark):
+    teaser = lambda i: f"<p>menu</p><article>teaser {i}</article><div><p>body {i}</p><p>foot</p></div>"
+    found = rows(H.extract(pages(spark, [(i, f"http://h/{i}", teaser(i)) for i in (1, 2, 3)])), "page_id", "text")
+    assert found == [(i, f"teaser {i} body {i}") for i in (1, 2, 3)]

@@ -1,9 +1,13 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page becomes lines, one a block. Each line is ``CONTENT`` (inside an article
-or main element), ``CHROME`` (inside an element that by its name, role, class
-or id is menu, header, footer, sidebar, notice, advert, form or comments) or
-``OPEN``. Pages are sorted by host, path and id; each is paired with the page
+or main element), ``CHROME`` (inside an element that by its name, role, or a
+whole token of its class or id is menu, footer, sidebar, advert, form or
+comments) or ``OPEN``. Doubtful elements (a header in an article, a class of
+``notice``) are ``OPEN``. ``html`` and ``body`` are never chrome, nor is another
+element that holds most of the page's text, unless it stands beside an article
+and is no form; nor is one around an article, unless its tag names chrome.
+ Pages are sorted by host, path and id; each is paired with the page
 before it on its host (the first one with the next), which shares the longest
 path prefix. The lines of both are aligned by a longest common subsequence and
 shared ones are deleted from the page.
@@ -52,54 +56,82 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 #: Elements that begin a block, that hold no main text, and words that name such parts.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr del rp rt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CHROME_WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner "
-    "promo sponsor sponsored cookie cookies consent notice notification alert popup modal overlay breadcrumb breadcrumbs "
-    "share sharing social comment comments commentlist reply replies disqus respond related newsletter subscribe "
-    "subscription login signup widget toolbar pagination pager skip legal copyright".split()
+    "nav navbar navigation masthead sidebar ad ads advert adverts advertisement advertising cookie cookies consent "
+    "breadcrumb breadcrumbs comment comments commentlist disqus respond newsletter login signup pagination pager".split()
 )
-WORDS = re.compile(r"[a-z]+")
+#: Words, and tags inside content, that may as well name a part of the main text; the difference decides on these.
+DOUBTFUL_WORDS = frozenset(
+    "menu header footer aside banner promo sponsor sponsored notice notification alert popup modal overlay share sharing "
+    "social reply replies related subscribe subscription widget toolbar skip legal copyright".split()
+)
+DOUBTFUL_TAGS = frozenset("header footer aside".split())
+#: Never chrome; and tags that name chrome, so that an article inside shows them unclosed.
+PAGE_TAGS = frozenset("html body".split())
+NAMING_TAGS = CHROME_TAGS - {"form"}
 
 
-def _is_chrome(tag: str, attrs: str) -> bool:
+def _role_of(tag: str, attrs: str, in_content: bool) -> int | None:
+    """``CHROME``, ``OPEN`` if in doubt, or None for an element that says nothing."""
+    if tag in PAGE_TAGS:
+        return None
     if tag in CHROME_TAGS:
-        return True
+        return OPEN if in_content and tag in DOUBTFUL_TAGS else CHROME
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return None
+    doubt = None
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            if not CHROME_WORDS.isdisjoint(WORDS.findall(value)):
-                return True
-        elif name == "role" and value in CHROME_ROLES or name == "hidden" and m.start() and attrs[m.start() - 1].isspace():
-            return True
+            tokens = value.split()
+            if not CHROME_WORDS.isdisjoint(tokens):
+                return CHROME
+            if not DOUBTFUL_WORDS.isdisjoint(tokens):
+                doubt = OPEN
+        elif name == "role" and value in CHROME_ROLES or name == "hidden":
+            return CHROME
         elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return CHROME
+    return doubt
+
+
+class _Marked:
+    """An element that is chrome or in doubt: its tag, role, place and the text in it."""
+
+    __slots__ = ("tag", "role", "outer", "inside", "depth", "chars", "exempt")
+
+    def __init__(self, tag: str, role: int, outer: _Marked | None, inside: bool):
+        self.tag, self.role, self.outer, self.inside = tag, role, outer, inside
+        self.depth, self.chars, self.exempt = 1, 0, False
 
 
 def lines(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block that has text."""
     page = page or ""
-    out: list[tuple[int, str]] = []
+    found: list[tuple[_Marked | None, bool, str]] = []
     parts: list[str] = []
-    chrome_tag, chrome_depth = "", 0
+    marked: list[_Marked] = []
+    stack: list[_Marked] = []
+    by_tag: dict[str, list[_Marked]] = {}
     content = {"article": 0, "main": 0}
-    kind = OPEN
+    place: tuple[_Marked | None, bool] = (None, False)
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((kind, text))
+                found.append((*place, text))
             parts.clear()
 
+    def pop() -> None:
+        by_tag[stack.pop().tag].pop()
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -114,26 +146,53 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         closing = bool(m["close"] or m["close2"])
         if tag not in INLINE:
             flush()
-        if chrome_depth and not closing and tag in content and tag != chrome_tag:
-            chrome_depth = 0  # an unclosed menu does not swallow the article
-        if chrome_depth:
-            if tag == chrome_tag:
-                chrome_depth += -1 if closing else 1
-        elif tag in VOID:
-            pass
-        elif not closing and _is_chrome(tag, m["attrs"] or m["attrs2"] or ""):
-            flush()
-            chrome_tag, chrome_depth = tag, 1
+        same = by_tag.get(tag)
+        if stack and not closing and (tag == "body" or tag in content and not same):
+            while stack:  # an unclosed menu does not swallow the article, nor a head the body
+                stack[-1].exempt |= tag in content and stack[-1].tag not in NAMING_TAGS
+                pop()
+        in_content = bool(content["article"] or content["main"])
+        role = None if closing or tag in VOID else _role_of(tag, m["attrs"] or m["attrs2"] or "", in_content)
+        if role is not None:
+            element = _Marked(tag, role, stack[-1] if stack else None, in_content)
+            marked.append(element)
+            stack.append(element)
+            by_tag.setdefault(tag, []).append(element)
+        elif same:
+            same[-1].depth += -1 if closing else 1
+            if not same[-1].depth:
+                element = same[-1]
+                while stack[-1] is not element:
+                    pop()
+                pop()
         elif tag in content:
+            while closing and stack and stack[-1].inside:  # nor does an unclosed advert what follows the article
+                pop()
             content[tag] = max(0, content[tag] + (-1 if closing else 1))
-        now = CHROME if chrome_depth else CONTENT if content["article"] or content["main"] else OPEN
-        if now != kind:
+        now = (stack[-1] if stack else None, bool(content["article"] or content["main"]))
+        if now != place:
             flush()
-            kind = now
+            place = now
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+
+    total, beside = 0, False
+    for element, inside, text in found:
+        total += len(text)
+        beside |= inside and element is None
+        if element:
+            element.chars += len(text)
+    for e in reversed(marked):
+        if e.outer:
+            e.outer.chars += e.chars
+    kinds: dict[_Marked | None, int | None] = {None: None}
+    for e in marked:  # those outside come first
+        large = e.chars * 2 > total and (e.inside or e.tag == "form" or not beside)
+        role = None if e.exempt or large and e.role == CHROME else e.role
+        outer = kinds[e.outer]
+        kinds[e] = CHROME if CHROME in (outer, role) else role if outer is None else outer
+    return [(CONTENT if kinds[e] is None and inside else OPEN if kinds[e] is None else kinds[e], text) for e, inside, text in found]
 
 
 def _prefix_lengths(a: list, b: list) -> list[int]:

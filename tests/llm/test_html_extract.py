@@ -84,3 +84,25 @@ def test_open_lines_beside_content_are_left_to_the_difference(spark):
     teaser = lambda i: f"<p>menu</p><article>teaser {i}</article><div><p>body {i}</p><p>foot</p></div>"
     found = rows(H.extract(pages(spark, [(i, f"http://h/{i}", teaser(i)) for i in (1, 2, 3)])), "page_id", "text")
     assert found == [(i, f"teaser {i} body {i}") for i in (1, 2, 3)]
+
+
+def test_chrome_needs_whole_words_and_never_holds_the_page():
+    text = lambda html, *kinds: [t for k, t in H.lines(html) if k in (kinds or (H.OPEN, H.CONTENT))]
+    for c in ("home no-sidebar", "has-sidebar", "with-header", "cookies-not-set", "sidebar"):
+        assert text(f"<body class='{c}'><nav>m</nav><p>own text of the page</p><footer>f</footer></body>") == ["own text of the page"]
+    assert text("<body><form id='f'><nav>m</nav><div>own text of the page</div><div class='ad'>a</div></form></body>") == ["own text of the page"]
+    assert text("<form><div>body</div><article>a longer teaser</article></form>") == ["body", "a longer teaser"]
+    assert text("<head><title>t</title><body><p>x</p><nav>much longer</nav><p>also of the page</p>") == ["x", "also of the page"]
+    page = "<article><header><h1>T</h1></header><p>a long paragraph</p>{}</article>"
+    for c in ("section-header", "notices", "legal-text", "share-price"):
+        assert text(page.format(f"<div class='{c}'>kept</div>"), H.CONTENT) == ["a long paragraph", "kept"]
+    for c in ("notice", "legal", "x share"):  # in doubt
+        assert text(page.format(f"<div class={c!r}>kept</div>"), H.OPEN) == ["T", "kept"]
+    for a in ("class='ad'", "id=ad", "hidden", "role=banner", "class='x comments'"):
+        assert text(page.format(f"<div {a}>gone</div>")) == ["T", "a long paragraph"]
+    for a in ("data-id='ad'", "data-role='banner'", "data-hidden", "title='x hidden'"):
+        assert text(page.format(f"<div {a}>kept</div>")) == ["T", "a long paragraph", "kept"]
+    assert text("<article>x</article><footer>much longer than the article</footer>") == ["x"]
+    assert text("<article>a long paragraph<div class=ad>gone</article><p>rest") == ["a long paragraph", "rest"]
+    deep = "<div class=ad>" * 20_000
+    assert text(deep + "x") == ["x"] and H.lines(deep) == []

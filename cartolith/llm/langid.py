@@ -4,7 +4,11 @@ Texts are lower-cased, each run of other characters than letters becomes one
 space, and a space stands before and after. For each language the counts of
 ``ORDER``-grams over a bounded sample of labelled training documents give an
 interpolated Kneser-Ney model: lower orders use continuation counts, and the
-discount of an order is n1 / (n1 + 2 n2). The models of all languages share
+discount of an order is n1 / (n1 + 2 n2), both from all n-grams of the sample.
+Beyond ``MAX_GRAMS`` of an order, each language keeps its most frequent ones up
+to an equal share (what small languages leave goes to the others), with the
+suffixes of longer ones first; kept n-grams have the probability of the whole
+model, and back-off weights give the rest to the others. The models of all languages share
 one sorted array of 64-bit n-gram hashes per order, with a row of log
 probabilities and of back-off weights per entry. A text gets the language of
 least cross-entropy per character; the score is a softmax over these with a
@@ -14,12 +18,16 @@ its cross-entropy lies beyond what calibration documents show.
 Defined cases: a null text or one without letters is ``und`` with score 0 and
 rejected. Ties take the first language by code point. Repeated rows stay
 repeated; an empty table gives an empty result; without any labelled document
-every text is ``und``. A null id counts as the empty text for the split.
+every text is ``und``. A language without a document to fit on is fitted on its
+calibration documents; one without any letter is left out with a warning, and
+more languages than n-grams raise an error. A null id counts as the empty text for the split.
 Language, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +40,7 @@ from .runtime import cut, map_batches
 ORDER = 5
 #: Documents a language from which models are fitted, and on which they are calibrated (expected numbers).
 FIT_DOCS, CALIBRATION_DOCS = 1500, 400
-#: n-grams kept of each order (the most frequent); bounds the broadcast at about 24 bytes + 8 a language each.
+#: n-grams kept of each order, dealt to the languages; bounds the broadcast at about 24 bytes + 8 a language each.
 MAX_GRAMS = 400_000
 MAX_LANGUAGES = 500
 #: Characters scored at once.
@@ -136,61 +144,101 @@ def _sums(group: np.ndarray, size: int, weights: np.ndarray) -> np.ndarray:
     return np.bincount(group, weights=weights, minlength=size)
 
 
-def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """A model from each language's distinct n-grams of the highest order (rows of codes) and their counts."""
+def _levels(grams: np.ndarray, count: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams and counts of each order, order 1 first; below the highest, the number of characters before."""
+    out = [(grams, count)]
+    for _ in range(order - 1):
+        _, first, count = np.unique(_rows(grams[:, 1:]), return_index=True, return_counts=True)
+        grams = grams[first, 1:]
+        out.append((grams, count))
+    return out[::-1]
+
+
+def _cap(sizes: np.ndarray, room: int) -> int:
+    """The largest number of n-grams a language with which all languages fit into ``room``."""
+    for i, size in enumerate(ordered := np.sort(sizes).tolist()):
+        if size * (len(ordered) - i) > room:
+            return room // (len(ordered) - i)
+        room -= size
+    return ordered[-1]
+
+
+def fit(counts: Mapping[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+    """A model from each language's distinct n-grams of the highest order (rows of codes) and their counts.
+
+    ``counts`` is read a language at a time, up to three times; what is held is bounded by ``max_grams``.
+    """
     languages = sorted(counts)
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    sizes = np.zeros((order, len(languages)), int)
+    seen: set[int] = set()
+    for k, lang in enumerate(languages):
+        levels = _levels(*counts[lang], order)
+        sizes[:, k] = [len(grams) for grams, _ in levels]
+        seen.update(levels[0][0][:, 0].tolist())
+        if sizes[-1].sum() <= 2 * max_grams:
+            held[lang] = levels
+    caps = [_cap(own, max_grams) for own in sizes]
+    if not min(caps):
+        raise ValueError(f"{max_grams} n-grams are too few for {len(languages)} languages")
+
+    def of(lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        return held.get(lang) or _levels(*counts[lang], order)
+
+    chosen: list[list[np.ndarray]] = [[] for _ in range(order)]
     for lang in languages:
-        grams, count = counts[lang]
-        for n in range(order, 0, -1):
-            levels[n - 1].append((grams, count))
-            if n > 1:  # continuation counts: distinct characters before the shorter n-gram
-                _, first, times = np.unique(_rows(grams[:, 1:]), return_index=True, return_counts=True)
-                grams, count = grams[first, 1:], times
-    seen = {int(c) for grams, _ in levels[0] for c in grams[:, 0]}
+        needed = np.zeros(0, np.uint64)  # the suffixes of what is kept; caps do not fall with shorter n-grams
+        for n, (grams, count) in reversed(list(enumerate(of(lang), 1))):
+            if len(grams) > caps[n - 1]:
+                own = _rows(grams)
+                grams = grams[np.lexsort((own, -count, ~np.isin(own, needed)))[: caps[n - 1]]]
+            chosen[n - 1].append(grams)
+            needed = _rows(grams[:, 1:])
     uniform = 1.0 / (len(seen) + 1)
     keys: list[np.ndarray] = []
     probs: list[np.ndarray] = []
     contexts: list[np.ndarray] = []
     backoffs: list[np.ndarray] = []
-    unknown = np.full(len(languages), uniform)
+    places: list[tuple[np.ndarray, np.ndarray]] = []  # of each n-gram: its suffix in the order below, its context
     for n in range(1, order + 1):
-        every = np.concatenate([g for g, _ in levels[n - 1]])
-        weight = np.concatenate([c for _, c in levels[n - 1]])
-        key, first, inverse = np.unique(_rows(every), return_index=True, return_inverse=True)
-        gram = every[first]
-        total = _sums(inverse, len(key), weight)
-        if len(key) > max_grams:
-            keep = np.sort(np.lexsort((key, -total))[:max_grams])
-            key, gram = key[keep], gram[keep]
-        suffix = _find(keys[-1], _rows(gram[:, 1:])) if n > 1 else None
+        every = np.concatenate(chosen[n - 1])
+        key, first = np.unique(_rows(every), return_index=True)
+        gram, chosen[n - 1] = every[first], []
         before = np.unique(_rows(gram[:, :-1])) if n > 1 else key[:0]
-        prefix = _find(before, _rows(gram[:, :-1])) if n > 1 else None
-        p = np.zeros((len(key), len(languages)))
-        back = np.ones((len(before), len(languages)))
-        for k, (grams, count) in enumerate(levels[n - 1]):
+        places.append((_find(keys[-1], _rows(gram[:, 1:])), _find(before, _rows(gram[:, :-1]))) if n > 1 else (key[:0], key[:0]))
+        keys.append(key)
+        contexts.append(before)
+        probs.append(np.zeros((len(key), len(languages))))
+        backoffs.append(np.ones((len(before), len(languages))))
+    unknown = np.full(len(languages), uniform)
+    for k, lang in enumerate(languages):
+        for n, (grams, count) in enumerate(of(lang), 1):
+            p, back, before, (suffix, prefix) = probs[n - 1][:, k], backoffs[n - 1][:, k], contexts[n - 1], places[n - 1]
             n1, n2 = (count == 1).sum(), (count == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 else 0.75
             _, context = np.unique(_rows(grams[:, :-1]), return_inverse=True) if n > 1 else (0, np.zeros(len(grams), int))
             size = context.max() + 1 if len(context) else 0
             mass = _sums(context, size, count)
             share = discount * _sums(context, size, np.ones(len(count))) / mass
-            at = _find(key, _rows(grams))
+            at = _find(keys[n - 1], _rows(grams))
+            hit = at >= 0
             direct = np.maximum(count - discount, 0) / mass[context]
-            p[at[at >= 0], k] = direct[at >= 0]
+            p[at[hit]] = direct[hit]
             if n == 1:
-                p[:, k] += share[0] * uniform
+                p += share[0] * uniform
                 unknown[k] = share[0] * uniform if share[0] else uniform * 1e-3
+                if not hit.all():
+                    unknown[k] = max(1 - p.sum(), 1e-9) / (len(seen) + 1 - len(p))
             else:
                 place = _find(before, _rows(grams[:, :-1]))
-                back[place[place >= 0], k] = np.maximum(share[context[place >= 0]], 1e-9)
-                own = back[prefix, k]
-                below = np.where(suffix >= 0, probs[-1][suffix, k], unknown[k])
-                p[:, k] += own * below
-        keys.append(key)
-        probs.append(np.maximum(p, 1e-12))
-        contexts.append(before)
-        backoffs.append(back)
+                back[place[place >= 0]] = np.maximum(share[context[place >= 0]], 1e-9)
+                below = probs[n - 2][suffix, k]
+                p += back[prefix] * below
+                if not hit.all():  # what was left out of a context gets its mass by back-off
+                    partly = np.unique(place[(place >= 0) & ~hit])
+                    left, lower = (1 - _sums(prefix, len(before), x)[partly] for x in (p, below))
+                    back[partly] = np.maximum(left, 1e-9) / np.maximum(lower, 1e-9)
+            np.maximum(p, 1e-12, out=p)
     return Model(
         languages,
         keys,
@@ -273,27 +321,44 @@ def learn(
 
         return step
 
-    counted = cut(map_batches(fitting, make, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
-    kept, least = 0, 1
-    for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # a row for each distinct count
-        kept += r["count"]
-        if kept > 2 * MAX_GRAMS:
-            least = r["n"] + 1
+    def count(some: DataFrame) -> DataFrame:
+        return cut(map_batches(some, make, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
+
+    counted = count(fitting)
+    for another in (True, False):
+        found = {r["lang"] for r in counted.select("lang").distinct().collect()}
+        lost = sorted(set(sizes) - found)
+        if lost and another:
+            counted = counted.unionByName(count(rest.where(F.col("lang").isin(lost))))
+        elif lost:
+            warnings.warn(f"languages without letters are not modelled: {lost}", stacklevel=2)
+        if not lost:
             break
-    kept_counts = counted.where(F.col("n") >= least)
-    counts = {}
-    for lang in sorted(sizes):  # one language at a time: the driver holds little beside the models
-        own = kept_counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        if own.num_rows:
-            grams = np.frombuffer(b"".join(own["gram"].to_pylist()), "<u4").reshape(-1, order)
-            counts[lang] = (grams, own["n"].to_numpy().astype(np.int64))
-    if not counts:
+    if not found:
         return Model([], [], [], [], [], np.zeros(0))
-    model = fit(counts, order)
+    model = fit(_Counts(counted, sorted(found), order), order, MAX_GRAMS)
     calibrate(model, _entropy_sample(rest))
     return model
 
 
+class _Counts(Mapping):
+    """n-grams and counts by language, read when asked for: the driver holds one language beside the models."""
+
+    def __init__(self, counted: DataFrame, languages: list[str], order: int):
+        self.counted, self.languages, self.order = counted, languages, order
+
+    def __getitem__(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        own = self.counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        raw = b"".join(b"".join(c.to_pylist()) for c in own["gram"].chunks)
+        return np.frombuffer(raw, "<u4").reshape(-1, self.order), own["n"].to_numpy().astype(np.int64)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.languages)
+
+    def __len__(self) -> int:
+        return len(self.languages)
+
+
 def _entropy_sample(rest: DataFrame) -> list[tuple[str, str]]:
     """The calibration documents; their number is bounded by the sample's."""
     return [(r["text"], r["lang"]) for r in rest.orderBy(F.length("text")).toLocalIterator()]

@@ -96,3 +96,59 @@ def test_edges(spark):
     model = L.learn(nothing, ~L.held_out(nothing["doc_id"]))
     assert rows(L.identify(nothing, model)) == []
     assert rows(L.identify(documents(spark, ["abc", "1"]), model), "lang_pred", "rejected") == [("und", False), ("und", True)]
+
+
+def top_counts(texts, order):
+    c = Counter()
+    for t in texts:
+        padded = " " * (order - 1) + t[1:]
+        c.update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    grams = sorted(c)
+    return np.array([[ord(x) for x in g] for g in grams], np.uint32), np.array([c[g] for g in grams])
+
+
+def test_pruned_model_keeps_statistics_and_sums_to_one():
+    order, r = 3, random.Random(4)
+    words = lambda stems, n: " " + " ".join("".join(r.choices(stems, k=3)) for _ in range(n)) + " "
+    counts = {"big": top_counts([words("abcdefgh", 400)], order), "small": top_counts([words("ghij", 6)], order)}
+    whole = L.fit(counts, order)
+    pruned = L.fit(counts, order, 60)
+    assert all(len(k) <= 60 for k in pruned.keys) and len(whole.keys[2]) > 200
+    for n in range(order):  # what is kept has the probability of the whole model
+        at = L._find(whole.keys[n], pruned.keys[n])
+        assert (at >= 0).all() and np.allclose(pruned.log_p[n], whole.log_p[n][at], atol=1e-5)
+    small = L._rows(counts["small"][0])
+    assert (L._find(pruned.keys[2], small) >= 0).sum() >= min(30, len(small))
+    alphabet = [ord(c) for c in " abcdefghij?"]  # "?" stands for any unknown one
+    for context in ("ab", "gh", "ij", "hj", "  ", "ag"):
+        for k in range(2):
+            total = 0.0
+            for ch in alphabet:
+                code, log = np.array([*map(ord, context), ch], np.uint32), 0.0
+                for n in range(order, 0, -1):
+                    at = L._find(pruned.keys[n - 1], L.hashes(code[-n:], n))[0]
+                    if at >= 0:
+                        log += pruned.log_p[n - 1][at, k]
+                        break
+                    if n == 1:
+                        log += pruned.unknown[k]
+                        break
+                    place = L._find(pruned.contexts[n - 1], L.hashes(code[-n:-1], n - 1))[0]
+                    log += pruned.log_backoff[n - 1][place, k] if place >= 0 else 0.0
+                total += np.exp(log)
+            assert total == pytest.approx(1, abs=1e-3)
+    with pytest.raises(ValueError, match="too few"):
+        L.fit(counts, order, 1)
+
+
+def test_no_language_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_GRAMS", 400)
+    texts, langs = corpus(150)
+    texts += ["žluť kůň", "čeř ďáb", "ŵyth llŷn", "12", "34"]
+    docs = documents(spark, texts, None, [*langs, "cs", "cs", "cy", "zz", "zz"])
+    with pytest.warns(UserWarning, match="zz"):
+        model = L.learn(docs, docs["doc_id"].isNotNull())
+    assert model.languages == ["cs", "cy", "de", "en", "fr"] and all(len(k) <= 400 for k in model.keys)
+    found = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs, model).collect()}
+    assert [found[i] for i in range(150, 153)] == ["cs", "cs", "cy"]
+    assert sum(found[i] == langs[i] for i in range(150)) >= 145

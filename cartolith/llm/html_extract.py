@@ -1,26 +1,27 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page becomes lines, one a block. Each line is ``CONTENT`` (inside an article
-or main element), ``CHROME`` (inside an element that by its name, role, or a
-whole token of its class or id is menu, footer, sidebar, advert, form or
-comments) or ``OPEN``. Doubtful elements (a header in an article, a class of
-``notice``) are ``OPEN``. ``html`` and ``body`` are never chrome, nor is another
-element that holds most of the page's text, unless it stands beside an article
-and is no form; nor is one around an article, unless its tag names chrome.
- Pages are sorted by host, path and id; each is paired with the page
-before it on its host (the first one with the next), which shares the longest
-path prefix. The lines of both are aligned by a longest common subsequence and
-shared ones are deleted from the page.
-
-Two kinds of lines are not left to the difference, since it would go wrong on
-them: CONTENT stays even where the neighbour repeats it, and CHROME goes even
-where it is the page's own. The difference decides on the OPEN lines of every
-page, whether it has content or not.
-
-The sorted sequence is cut into ranges at sampled keys. The page at a cut goes
-to the range before it, where its predecessor is, and once more, as context
-only, to its own; so the pairs do not depend on the cuts, a range is read as a
-stream with two pages in memory, and a hot host is spread over many ranges.
+A page becomes lines, one a block. Pages are sorted by host, path and id; each
+is paired with the page before it on its host (the first one with the next),
+which shares the longest path prefix. All lines of both are aligned by a longest
+common subsequence, and the lines of the page that both share are deleted.
+
+Tags decide where the difference cannot. Each line is ``CONTENT`` (inside an
+article or main element), ``CHROME`` (inside an element that by its name, role,
+or a whole token of its class or id is menu, footer, sidebar, advert, form or
+comments) or ``OPEN``. A shared line stays only if it is CONTENT: neighbouring
+articles repeat passages. A line of the page's own goes only if it is CHROME:
+menus and adverts may differ from page to page. Doubtful elements (a header in
+an article, a class of ``notice``) are ``OPEN``. ``html`` and ``body`` are never
+chrome, nor is another element that holds most of the page's text, unless it
+stands beside an article and is no form; nor is one around an article, unless
+its tag names chrome. ``n_lines`` and ``n_shared`` count a page's lines and those
+deleted because the neighbour has them.
+
+The sorted sequence is cut into ranges of about equal bytes at sampled keys, one
+a task. The page at a cut goes to the range before it, where its predecessor is,
+and once more, as context only, to its own; so the pairs do not depend on the
+cuts, a range is read as a stream with two pages in memory, and a hot host is
+spread over many ranges.
 
 Defined cases: a null html has no lines and an empty text; a null URL, or one
 without ``://``, is a page of the empty host. A page alone on its host keeps
@@ -45,12 +46,12 @@ from .runtime import map_stream
 from .url_filter import split_url
 
 OPEN, CONTENT, CHROME = 0, 1, 2
-#: Ranges of the sorted pages for each shuffle partition.
-RANGES_PER_PARTITION = 4
+#: Sampled keys (expected number) for each range of the sorted pages.
+SAMPLES_PER_RANGE = 24
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|textarea|title|select|xmp)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|select)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",
@@ -58,7 +59,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 #: Elements that begin a block, that hold no main text, and words that name such parts.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr del rp rt".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr del rp rt math mi mn mo ms mtext mrow msup msub mfrac msqrt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -257,34 +258,49 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def main_text(kinds: list[int], marks: list[int], texts: list[str], other: list[int] | None) -> str:
-    """The text that stays of a page beside the line hashes of its neighbour."""
-    gone = shared(marks, other) if other and OPEN in kinds else set()
-    return " ".join(t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k == CONTENT or k == OPEN and i not in gone)
+def main_text(kinds: list[int], marks: list[int], texts: list[str], other: list[int] | None) -> tuple[str, int]:
+    """The text that stays of a page beside the line hashes of its neighbour, and the number of shared lines deleted."""
+    both = shared(marks, other) if other else set()
+    gone = [k != CONTENT if i in both else k == CHROME for i, k in enumerate(kinds)]
+    text = " ".join(t for t, g in zip(texts, gone, strict=True) if not g)
+    return text, sum(gone[i] for i in both)
 
 
 def _cuts(keys: DataFrame, ranges: int) -> list[tuple[tuple, bool]]:
-    """At most about ``ranges`` keys in order, each with whether it is the first of its host.
+    """At most ``ranges - 1`` keys in order that part about equal bytes, each with whether it is the first of its host.
 
-    The sample only says where ranges begin; its size depends on ``ranges``, not on the pages.
+    The sample (by hash, each key standing for its weight in bytes and the even
+    share of the rest) only says where ranges begin; its size depends on
+    ``ranges``, not on the pages.
     """
-    step = max(1, keys.count() // ranges)
     names = ["host", "path", "has_id", "id"]
-    sampled = keys.where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).distinct()
-    least = keys.groupBy("host").agg(F.min(F.struct("path", "has_id", "id")).alias("least"))
-    found = sampled.join(least, "host").select(*names, (F.struct("path", "has_id", "id") == F.col("least")).alias("first"))
-    return sorted(((r["host"], r["path"], r["has_id"], r["id"]), r["first"]) for r in found.collect())
+    total = keys.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    if ranges < 2 or not total["n"]:
+        return []
+    step = max(1, total["n"] // (ranges * SAMPLES_PER_RANGE))
+    sampled = keys.where(F.pmod(F.xxhash64(*names), F.lit(step)) == 0).groupBy(*names).agg(F.sum("weight").alias("weight"))
+    found = sorted(((r["host"], r["path"], r["has_id"], r["id"]), r["weight"]) for r in sampled.collect())
+    mean = total["w"] / total["n"]
+    weights = np.array([w + mean * (step - 1) for _, w in found])
+    ends = np.cumsum(weights)
+    picked = sorted({int(np.searchsorted(ends, ends[-1] * k / ranges)) for k in range(1, ranges)}) if found else []
+    cuts = [found[i][0] for i in picked if i < len(found)]
+    hosts = keys.sparkSession.createDataFrame([(h,) for h in sorted({c[0] for c in cuts})], "host string")
+    least = keys.join(F.broadcast(hosts), "host", "left_semi").groupBy("host").agg(F.min(F.struct("path", "has_id", "id")).alias("least"))
+    first = {r["host"]: tuple(r["least"]) for r in least.collect()}
+    return [(c, first[c[0]] == c[1:]) for c in cuts]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of each page."""
+    """(page_id, url, text, n_chars, n_lines, n_shared) of each page."""
     host, path = split_url(pages[url_col].cast("string"))
     page_id = pages[id_col].cast("long")
     key = [
         host.alias("host"), path.alias("path"), page_id.isNotNull().alias("has_id"), F.coalesce(page_id, F.lit(0)).alias("id"),
     ]
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _cuts(pages.select(*key), parts * RANGES_PER_PARTITION)
+    weight = F.coalesce(F.octet_length(pages[html_col].cast("string")), F.lit(0)).alias("weight")
+    found = _cuts(pages.select(*key, weight), parts)
     shared_cuts = pages.sparkSession.sparkContext.broadcast(([k for k, _ in found], {k: first for k, first in found}))
     rows = pages.select(*key, pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     names = ["range", "host", "path", "has_id", "id", "mark", "url", "kinds", "marks", "texts", "owned"]
@@ -300,7 +316,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     kinds = [k for k, _ in found]
                     row = [
                         host, path, has_id, page, _hash(page_html or ""), url,
-                        kinds, [_hash(t) for _, t in found], [t if k != CHROME else "" for k, t in found],
+                        kinds, [_hash(t) for _, t in found], ["" if k == CHROME else t for k, t in found],
                     ]
                     own = (host, path, has_id, page)
                     at = bisect.bisect_right(cuts, own)
@@ -321,7 +337,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     lined = map_stream(rows, make_lines, schema)
     order = ["range", "host", "path", "has_id", "id", "mark", "url"]
-    dealt = lined.repartition(parts, "range").sortWithinPartitions(*order)
+    dealt = lined.repartitionById(len(found) + 1, F.col("range")).sortWithinPartitions(*order)
+
+    result = ("page_id", "url", "text", "n_chars", "n_lines", "n_shared")
 
     def make_pairs():
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -329,14 +347,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             waiting: dict | None = None  # the first row of a host, until the next row is here
 
             def emit(out: dict[str, list], row: dict, other: list[int] | None) -> None:
-                text = main_text(row["kinds"], row["marks"], row["texts"], other)
+                text, n_shared = main_text(row["kinds"], row["marks"], row["texts"], other)
                 out["page_id"].append(row["id"] if row["has_id"] else None)
                 out["url"].append(row["url"])
                 out["text"].append(text)
                 out["n_chars"].append(len(text))
+                out["n_lines"].append(len(row["kinds"]))
+                out["n_shared"].append(n_shared)
 
             for c in batches:
-                out: dict[str, list] = {n: [] for n in ("page_id", "url", "text", "n_chars")}
+                out: dict[str, list] = {n: [] for n in result}
                 for values in zip(*(c[n] for n in names), strict=True):
                     row = dict(zip(names, values, strict=True))
                     near = before is not None and (before["range"], before["host"]) == (row["range"], row["host"])
@@ -351,10 +371,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     before = row
                 yield out
             if waiting is not None:
-                out = {n: [] for n in ("page_id", "url", "text", "n_chars")}
+                out = {n: [] for n in result}
                 emit(out, waiting, None)
                 yield out
 
         return run
 
-    return map_stream(dealt.select(*names), make_pairs, "page_id long, url string, text string, n_chars long")
+    return map_stream(dealt.select(*names), make_pairs, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long")

@@ -34,7 +34,7 @@ def test_lines():
     assert [t for k, t in H.lines(page) if k == H.OPEN] == ["tail"]
     assert H.lines(None) == H.lines("") == []
     assert H.lines("<<p a='>x<") != [] and H.lines("<p " + "a=\"" * 20000)  # broken html ends
-    assert H.main_text(*[[] for _ in range(3)], None) == ""
+    assert H.main_text(*[[] for _ in range(3)], None) == ("", 0)
 
 
 def page(lines, article=False):
@@ -62,9 +62,12 @@ def test_pairs_do_not_depend_on_cuts(spark, monkeypatch):
     r = random.Random(5)
     items = [(i, f"http://h{r.randint(0, 3)}/{r.randint(0, 40)}", page([f"m{r.randint(0, 3)}" for _ in range(6)] + [f"own {i}"])) for i in range(120)]
     results = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     for ranges in (1, 4, 64):
-        monkeypatch.setattr(H, "RANGES_PER_PARTITION", ranges)
+        monkeypatch.setattr(H, "SAMPLES_PER_RANGE", ranges)
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
         results.append(rows(H.extract(pages(spark, items)), "page_id", "url", "text"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2]
     by_host = {}
     for i, url, h in items:
@@ -106,3 +109,39 @@ def test_chrome_needs_whole_words_and_never_holds_the_page():
     assert text("<article>a long paragraph<div class=ad>gone</article><p>rest") == ["a long paragraph", "rest"]
     deep = "<div class=ad>" * 20_000
     assert text(deep + "x") == ["x"] and H.lines(deep) == []
+
+
+def test_brute_force_over_pages_with_and_without_articles(spark):
+    """Each line by a plain table of the longest common subsequence; tags break ties."""
+    r = random.Random(8)
+
+    def one(i):
+        nav = "".join(f"<li>{x}</li>" for x in (["home", "news", f"m{r.randint(0, 2)}"] if r.random() < 0.7 else [f"only {i}"]))
+        body = "".join(f"<p>{x}</p>" for x in ["quote", f"p{r.randint(0, 5)}", f"own {i}"][: r.randint(1, 3)])
+        main = r.choice(["<article class='post no-sidebar'>{}</article>", "<div class='x no-sidebar'>{}</div>", "<main id='comment-policy'>{}</main>"])
+        return f"<body class='has-menu no-comments'><nav>{nav}</nav><div>banner {r.randint(0, 1)}</div>{main.format(body)}<footer>foot</footer></body>"
+
+    items = [(i, f"http://h{i % 2}/{r.randint(0, 30):02d}", one(i)) for i in range(80)]
+    found = {p: (t, n) for p, t, n in rows(H.extract(pages(spark, items)), "page_id", "text", "n_shared")}
+    by_host = {}
+    for i, url, h in items:
+        by_host.setdefault(url[:9], []).append((url[9:], i, h))
+    changed = 0
+    for own in by_host.values():
+        own.sort()
+        for k, (_, i, h) in enumerate(own):
+            mine = H.lines(h)
+            other = [t for _, t in H.lines(own[k - 1 if k else 1][2])]
+            both = H.shared([t for _, t in mine], other)
+            assert len(both) == length([t for _, t in mine], other)
+            keep = [t for j, (kind, t) in enumerate(mine) if kind == H.CONTENT or kind == H.OPEN and j not in both]
+            assert found[i] == (" ".join(keep), sum(mine[j][0] != H.CONTENT for j in both))
+            changed += any(mine[j][0] == H.OPEN for j in both)
+    assert changed > 20
+
+
+def test_text_of_formulas_and_long_pages_stays(spark):
+    assert [t for _, t in H.lines("<article><p>Let <math><mi>x</mi></math> be</p><object>o</object></article>")] == ["Let x be", "o"]
+    long = "".join(f"<p>line {i}</p>" for i in range(30_000))
+    found = rows(H.extract(pages(spark, [(1, "http://h/1", long + "<p>a</p>"), (2, "http://h/2", long + "<p>b</p>")])), "page_id", "text", "n_shared")
+    assert found == [(1, "a", 30_000), (2, "b", 30_000)]

@@ -28,7 +28,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
-        narrow=True,
     )
     before = _signature(edges)
     while before[0]:
@@ -48,7 +47,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             .union(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        edges = cut(small, narrow=True)
+        edges = cut(small)
         after = _signature(edges)
         if after == before:
             break

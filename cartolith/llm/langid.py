@@ -322,7 +322,7 @@ def learn(
         return step
 
     def count(some: DataFrame) -> DataFrame:
-        return cut(map_batches(some, make, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), narrow=True)
+        return cut(map_batches(some, make, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
     counted = count(fitting)
     for another in (True, False):

@@ -219,7 +219,7 @@ def mix(
     """(doc_id, mark, size, source, source_size, target, copies, taken) for each row of ``docs``."""
     rows = cut(sized(docs, id_col, text_col, source_col))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    plan = cut(targets(sums, weights, share, cap), narrow=True)
+    plan = cut(targets(sums, weights, share, cap))
     named = plan.withColumn("name", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).drop("source", "docs")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
@@ -239,7 +239,7 @@ def mix(
         if last:
             done = walked if done is None else done.unionByName(walked)
             break
-        walked = cut(walked, narrow=True)
+        walked = cut(walked)
         decided = walked.where("more is not null")
         done = decided if done is None else done.unionByName(decided)
         units = walked.where("more is null").select("rank", "id", "mark", "size", "p")
@@ -262,7 +262,7 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
 
     Rows of equal id and text share the sum of their copies, dealt evenly.
     """
-    per_row = cut(mixed.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), narrow=True)
+    per_row = cut(mixed.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
     wanted = per_row.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("mark").alias("__mix_mark"), F.col("copies").alias("__mix_copies"), F.col("rows").alias("__mix_rows"))
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     names = docs.columns

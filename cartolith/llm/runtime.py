@@ -19,15 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Compute ``df`` once into the shared folder and forget its lineage.
-
-    ``narrow``: a result of few bytes a row, behind a shuffle. It gets at most
-    four files a core, since each file costs the shared folder more than it holds.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and forget its lineage; small partitions are joined by AQE, not here."""
     shared_dir(df.sparkSession)
-    if narrow:
-        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 

@@ -4,18 +4,25 @@ Fingerprints: words are the runs of non-white-space bytes of the text, A-Z
 lower-cased; each shingle of ``k`` words (a shorter text: all its words) is
 hashed by XXH64 with seed 42; a bit is 1 if it is set in over half the hashes.
 
-Links: distinct fingerprints are dealt into buckets by masked bits. With the 64
-bits cut into ``radius + s`` blocks, two fingerprints within ``radius`` bits
-agree on ``s`` blocks at least, so each choice of ``s`` blocks is a bucket
-table and no link is lost. ``s`` follows the number of fingerprints, so that
-buckets keep their size. A bucket over ``BUCKET_ROWS`` is cut into blocks and
-each pair of blocks becomes a task, so a hot bucket is spread out whole. Inside
-a bucket the :class:`GrayIndex` searches. Buckets return a spanning forest, not
-all pairs; :func:`components.connected_components` joins the forests.
+Links: the index is a hierarchy of masked bit patterns. Its uppermost nodes are
+buckets: with the 64 bits cut into ``radius + s`` blocks, two fingerprints within
+``radius`` bits agree on ``s`` blocks at least, so each choice of ``s`` blocks is a
+table of buckets that share their bits, and no link is lost. Only as many bits
+of a block count as bring a bucket to about ``BUCKET_ROWS``; a small table is one
+bucket. A bucket beyond ``HOT_ROWS`` is parted by further bits in the same way,
+until it fits or its members agree on so many bits that few can differ. Below a
+bucket the :class:`GrayIndex` sorts by Gray rank and prunes pairs of nodes.
+Buckets return a spanning forest, not all pairs;
+:func:`components.connected_components` joins the forests.
+
+:func:`keep_one` takes wide fingerprints: ``WIDE`` words of 64 bits, the further
+ones from the same hashes, mixed anew. The index searches the first within
+``NEAR_RADIUS`` bits, and a link needs at most ``NEAR_BITS`` different bits over all,
+which shingle sets of similarity 0.8 have; chance alone gives no such pair.
 
 Defined cases: a null or empty text has no words and fingerprint 0, which is
 linked like any other. A null id never names a component if the component has
-another id. Repeated rows stay repeated. An empty table gives an empty result.
+another id. Texts of any length are read whole. Repeated rows stay repeated. An empty table gives an empty result.
 Only the id and text columns are read.
 """
 
@@ -32,53 +39,76 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .runtime import cut, map_batches, map_stream
 
-#: A bucket with more fingerprints is split into blocks of about so many.
-BUCKET_ROWS = 8192
-#: Children of an index node.
-FANOUT = 8
+#: Rows that a bucket of the upper nodes should hold, and those beyond which it is parted again.
+BUCKET_ROWS, HOT_ROWS = 4_096, 131_072
+#: Times that hot buckets are parted again at most; see :func:`parted`.
+MAX_PARTED = 4
+#: Fingerprints of a leaf of the index, and children of a node above.
+LEAF, FANOUT = 16, 8
 #: Rows that a task joins at once, and pairs that it compares at once.
 CHUNK_ROWS, CHUNK_PAIRS = 65_536, 1 << 20
+#: Words of a wide fingerprint; shingle size, bits of the first and bits of all within which texts are near-duplicates.
+WIDE, NEAR_SHINGLE, NEAR_RADIUS, NEAR_BITS = 4, 5, 10, 46
 _SHINGLES_AT_ONCE = 1 << 17
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprint(text: str | None, k: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Another hash of the same shingles for each word of a wide fingerprint."""
+    if not word:
+        return h
+    h = (h + np.uint64((0x9E3779B97F4A7C15 * word) & (1 << 64) - 1)) * _MIX
+    h = (h ^ (h >> np.uint64(30))) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, k: int = 4, words: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes of a text, the first by the plain shingle hash."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return [0] * words
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    if len(words) < k:
+    if len(tokens) < k:
         starts, ends = starts[:1], ends[-1:]
     else:
-        starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    set_bits = np.zeros(64, np.int64)
+        starts, ends = starts[: len(tokens) - k + 1], ends[k - 1 :]
+    set_bits = np.zeros((words, 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _SHINGLES_AT_ONCE):
         part = slice(at, at + _SHINGLES_AT_ONCE)
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little")
-        set_bits += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    out = 0
-    for i in np.flatnonzero(2 * set_bits > len(starts)).tolist():
-        out |= 1 << i
-    return out
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], "<u8")
+        for w in range(words):
+            bits = np.unpackbits(_mixed(hashes, w).view(np.uint8), bitorder="little")
+            set_bits[w] += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * set_bits > len(starts), axis=1, bitorder="little")
+    return packed.view("<u8").ravel().tolist()
+
+
+def fingerprint(text: str | None, k: int = 4) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    return wide_fingerprint(text, k)[0]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp, more): signed longs, for each row; ``more`` holds the further words."""
 
     def make():
-        return lambda c: {"doc_id": c["doc_id"], "fp": [signed(fingerprint(t, k)) for t in c["text"]]}
+        def step(c: dict[str, list]) -> dict[str, list]:
+            found = [[signed(x) for x in wide_fingerprint(t, k, words)] for t in c["text"]]
+            return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]}
+
+        return step
 
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(narrow, make, "doc_id long, fp long")
+    text = docs[text_col].cast("string")
+    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_batches(narrow, make, "doc_id long, text_hash long, fp long, more array<long>")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -92,24 +122,37 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Fingerprints of some groups, each sorted by Gray rank, under nodes of shared bits.
 
-    A node covers ``FANOUT`` nodes below it and keeps the bits on which all its
-    fingerprints agree (``mask``) and their values (``pattern``). The masked
-    differences of two nodes accumulate downwards: the count for the children
-    is never below the parents', so a pair of nodes that differs in over
-    ``radius`` shared bits is dropped with all that lies under it.
+    A leaf covers ``LEAF`` fingerprints, a node above ``FANOUT`` nodes. ``mask`` and
+    ``pattern`` are the bits on which all its fingerprints agree, and their values;
+    bits that the node above has already are factored out, so that ``rest`` marks
+    those it adds itself. A pair of nodes is opened on one side, then on the
+    other, and the differences in the bits that come to be common on the way
+    down are added up. A pair over ``radius`` is dropped with all that lies under
+    it; one that cannot exceed it is linked whole; one that is in one component
+    already is left. Fingerprints of two leaves are compared in one block.
+    ``pruned`` counts these cases.
     """
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray) -> None:
+    def __init__(self, group: np.ndarray, fp: np.ndarray, more: np.ndarray | None = None) -> None:
         order = np.lexsort((gray_rank(fp), group))
-        self.group, self.fp = group[order], fp[order]
-        self.label = np.arange(len(fp))
-        self.levels = [(self.fp, np.full(len(fp), ~np.uint64(0)), self.group, self.group)]
-        while len(self.levels[-1][0]) > FANOUT:
-            pattern, mask, low, high = self.levels[-1]
-            at = np.arange(0, len(pattern), FANOUT)
+        self.order, self.group, self.fp = order, group[order], fp[order]
+        self.more = more[order] if more is not None and more.shape[1] else None
+        n = len(fp)
+        self.label = np.arange(n)
+        self.pruned = {"bits": 0, "groups": 0, "joined": 0, "whole": 0, "compared": 0}
+        self.leaves = np.concatenate([self.fp, np.repeat(self.fp[-1:], -n % LEAF)]).reshape(-1, LEAF)
+        self.pattern, self.mask, self.low, self.high = [], [], [], []
+        pattern, mask, low, high, wide = self.fp, np.full(n, ~np.uint64(0)), self.group, self.group, LEAF
+        while not self.pattern or len(pattern) > FANOUT:
+            at = np.arange(0, len(pattern), wide)
             every, some = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
-            shared = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
-            self.levels.append((every & shared, shared, np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            mask = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
+            pattern, low, high, wide = every & mask, np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), FANOUT
+            for held, new in zip((self.pattern, self.mask, self.low, self.high), (pattern, mask, low, high), strict=True):
+                held.append(new)
+        above = [np.repeat(m, FANOUT)[: len(b)] for m, b in zip(self.mask[1:], self.mask, strict=False)]
+        self.rest = [m & ~up for m, up in zip(self.mask, above, strict=False)]
+        self._spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _merge(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -123,153 +166,257 @@ class GrayIndex:
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
             self.label = parent[self.label]
-
-    def _near(self, level: int, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-        pattern, mask, low, high = self.levels[level]
-        differ = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j])
-        return (differ <= radius) & (low[i] <= high[j]) & (low[j] <= high[i])
+            self._spans.clear()
 
     def _joined(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs of nodes all of whose fingerprints are in one component already."""
-        span = FANOUT**level
-        at = np.arange(0, len(self.fp), span)
-        low, high = np.minimum.reduceat(self.label, at), np.maximum.reduceat(self.label, at)
+        if level not in self._spans:
+            at = np.arange(0, len(self.fp), LEAF * FANOUT**level)
+            self._spans[level] = np.minimum.reduceat(self.label, at), np.maximum.reduceat(self.label, at)
+        low, high = self._spans[level]
         return (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
 
-    def link(self, radius: int) -> np.ndarray:
-        """Labels (positions) of the components of links within the groups."""
+    def _verified(self, i: np.ndarray, j: np.ndarray, acc: np.ndarray, bits: int | None) -> np.ndarray:
+        if self.more is None or bits is None:
+            return np.ones(len(i), bool)
+        return acc + np.bitwise_count(self.more[i] ^ self.more[j]).sum(axis=1, dtype=np.int64) <= bits
+
+    def _open(self, level: int, one: np.ndarray, other_level: int, other: np.ndarray, acc: np.ndarray, radius: int) -> tuple:
+        """Children of ``one`` (a level below) beside ``other``, with the differences added up, where these do not exceed ``radius``."""
+        below = level - 1
+        child = (one[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        other, acc = np.repeat(other, FANOUT), np.repeat(acc, FANOUT)
+        there = child < len(self.pattern[below])
+        if not there.all():
+            child, other, acc = child[there], other[there], acc[there]
+        meet = (self.low[below][child] <= self.high[other_level][other]) & (self.low[other_level][other] <= self.high[below][child])
+        new = self.rest[below][child] & self.mask[other_level][other]
+        acc = acc + np.bitwise_count((self.pattern[below][child] ^ self.pattern[other_level][other]) & new)
+        near = acc <= radius
+        keep = near & meet
+        self.pruned["groups"] += int((~meet).sum())
+        self.pruned["bits"] += int((meet & ~near).sum())
+        return child[keep], other[keep], acc[keep]
+
+    def _link_whole(self, level: int, i: np.ndarray, j: np.ndarray) -> None:
+        """Link all fingerprints under each pair of nodes."""
+        span, n = LEAF * FANOUT**level, len(self.fp)
+        nodes = np.unique(np.concatenate([i, j]))
+        at = (nodes[:, None] * span + np.arange(span - 1)).ravel()
+        at = at[at < np.minimum(n, np.repeat((nodes + 1) * span, span - 1)) - 1]
+        self._merge(np.concatenate([at, i * span]), np.concatenate([at + 1, j * span]))
+
+    def _compare(self, i: np.ndarray, j: np.ndarray, radius: int, bits: int | None) -> None:
+        """Compare all fingerprints of each pair of leaves."""
+        self.pruned["compared"] += len(i) * LEAF * LEAF
+        differ = np.bitwise_count(self.leaves[i][:, :, None] ^ self.leaves[j][:, None, :])
+        hit = np.flatnonzero(differ <= radius)
+        if not len(hit):
+            return
+        acc = differ.ravel()[hit].astype(np.int64)
+        pair, place = np.divmod(hit, LEAF * LEAF)
+        a, b = i[pair] * LEAF + place // LEAF, j[pair] * LEAF + place % LEAF
+        there = (a < b) & (b < len(self.fp))
+        a, b, acc = a[there], b[there], acc[there]
+        keep = self.group[a] == self.group[b]
+        a, b, acc = a[keep], b[keep], acc[keep]
+        keep = self._verified(a, b, acc, bits)
+        self._merge(a[keep], b[keep])
+
+    def link(self, radius: int, bits: int | None = None) -> np.ndarray:
+        """Labels (positions) of the components of links within the groups.
+
+        With ``bits``, a link also needs at most so many different bits over the
+        whole wide fingerprints.
+        """
         n = len(self.fp)
         if n < 2:
             return self.label
         a = np.arange(n - 1)
-        a = a[self._near(0, a, a + 1, radius)]  # Gray neighbours first: dense groups then need few comparisons
-        self._merge(a, a + 1)
-        top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][0]))
-        stack = [(top, i, j)]
+        acc = np.bitwise_count(self.fp[1:] ^ self.fp[:-1]).astype(np.int64)
+        a = a[(acc <= radius) & (self.group[1:] == self.group[:-1]) & self._verified(a, a + 1, acc, bits)]
+        self._merge(a, a + 1)  # Gray neighbours first: dense groups then need few comparisons
+        top = len(self.pattern) - 1
+        i, j = np.triu_indices(len(self.pattern[top]))
+        common = self.mask[top][i] & self.mask[top][j]
+        acc = np.bitwise_count((self.pattern[top][i] ^ self.pattern[top][j]) & common).astype(np.int64)
+        near = acc <= radius
+        self.pruned["bits"] += int((~near).sum())
+        stack = [(top, i[near], j[near], acc[near])]
         while stack:
-            level, i, j = stack.pop()
-            if len(i) > CHUNK_PAIRS // FANOUT**2:
+            level, i, j, acc = stack.pop()
+            if len(i) > CHUNK_PAIRS // (FANOUT * FANOUT if level else LEAF * LEAF):
                 half = len(i) // 2
-                stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+                stack += [(level, i[half:], j[half:], acc[half:]), (level, i[:half], j[:half], acc[:half])]
                 continue
-            keep = self._near(level, i, j, radius)
-            i, j = i[keep], j[keep]
             keep = ~self._joined(level, i, j)
-            i, j = i[keep], j[keep]
+            self.pruned["joined"] += int((~keep).sum())
+            i, j, acc = i[keep], j[keep], acc[keep]
+            if bits is None and len(i):
+                free = np.bitwise_count(~(self.mask[level][i] & self.mask[level][j]))
+                one_group = (self.low[level][i] == self.high[level][j]) & (self.high[level][i] == self.low[level][j])
+                whole = (acc + free <= radius) & one_group
+                if whole.any():
+                    self.pruned["whole"] += int(whole.sum())
+                    self._link_whole(level, i[whole], j[whole])
+                    i, j, acc = i[~whole], j[~whole], acc[~whole]
             if not len(i):
                 continue
-            if level == 0:
-                keep = i != j
-                self._merge(i[keep], j[keep])
+            if not level:
+                self._compare(i, j, radius, bits)
                 continue
-            below = len(self.levels[level - 1][0])
-            step = np.arange(FANOUT)
-            ci = np.repeat(i[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
-            cj = np.tile(j[:, None] * FANOUT + step, (1, FANOUT)).ravel()
-            keep = (ci <= cj) & (ci < below) & (cj < below)
-            stack.append((level - 1, ci[keep], cj[keep]))
+            i, j, acc = self._open(level, i, level, j, acc, radius)
+            j, i, acc = self._open(level, j, level - 1, i, acc, radius)
+            half = i <= j
+            stack.append((level - 1, i[half], j[half], acc[half]))
         return self.label
 
 
-def bucket_masks(count: int, radius: int) -> list[int]:
-    """Masks of the bucket tables: any two within ``radius`` agree under one of them."""
-    spare = 1
-    while True:
-        blocks = radius + spare
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-        bits = spare * (64 // blocks)
-        if count >> bits <= BUCKET_ROWS // 2 or spare == 4:
-            return [sum(c) for c in combinations(parts, spare)]
-        spare += 1
-
-
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): a spanning forest, by bucket, of distinct fingerprints ``fp`` within ``radius`` bits."""
-    masks = bucket_masks(fps.count(), radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select(
-        "fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key")
+def _blocks(free: int, parts: int, bits: int) -> list[int]:
+    """Masks of ``parts`` blocks of the bits in ``free``, at most ``bits`` of each."""
+    places = [b for b in range(64) if free >> b & 1]
+    edges = [len(places) * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in places[lo : min(hi, lo + bits)]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def bucket_masks(count: int, radius: int, free: int = (1 << 64) - 1) -> list[int]:
+    """Masks within ``free`` bits: any two of ``count`` fingerprints within ``radius`` agree under one of them."""
+    bits = max(0, (max(count, 1) - 1) // BUCKET_ROWS).bit_length()
+    if not bits:
+        return [0]
+    size = free.bit_count()
+    for spare in range(1, 5):
+        each = -(-bits // spare)
+        if each <= size // (radius + spare) or spare == 4:
+            return [sum(c) for c in combinations(_blocks(free, radius + spare, each), spare)]
+    raise AssertionError
+
+
+def _keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """Rows under each mask of their table ``t``; a table's masks are lists of (new table, mask)."""
+    tables = F.create_map(
+        *[x for t, own in masks.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(signed(m)).alias("m")) for n, m in own]))]
     )
-    hot = (
-        keyed.groupBy("t", "key")
-        .count()
-        .where(F.col("count") > BUCKET_ROWS)
-        .select("t", "key", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts"))
+    return rows.select("node", "fp", "more", F.explode(F.element_at(tables, F.col("t"))).alias("x")).select(
+        "node", "fp", "more", F.col("x.n").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key")
     )
-    if hot.isEmpty():
-        dealt = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = (
-            keyed.join(hot, ["t", "key"], "left")
-            .withColumn("parts", F.coalesce("parts", F.lit(1)))
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("fp", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        )
-    order = ["t", "key", "i", "j"]
+
+
+def parted(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, fp, more, t, key): each fingerprint in its buckets (table t, key).
+
+    A bucket beyond ``HOT_ROWS`` is replaced by buckets over bits that its members
+    may still differ in, up to ``MAX_PARTED`` times. After that its members agree on
+    all but some 24 bits at a radius of 4, and there are no more different values.
+    """
+    count = nodes.count()
+    masks = bucket_masks(count, radius)
+    used = dict(enumerate(masks))
+    rows = _keyed(nodes.withColumn("t", F.lit(-1)), {-1: list(used.items())})
+    if count <= HOT_ROWS:
+        return rows
+    done: DataFrame | None = None
+    for _ in range(MAX_PARTED):
+        hot = cut(rows.groupBy("t", "key").count().where(F.col("count") > HOT_ROWS))
+        most = {r["t"]: r["n"] for r in hot.groupBy("t").agg(F.max("count").alias("n")).collect()}
+        if not most:
+            break
+        cold = rows.join(hot.select("t", "key"), ["t", "key"], "left_anti").select("node", "fp", "more", "t", "key")
+        done = cold if done is None else done.unionByName(cold)
+        fresh: dict[int, list[tuple[int, int]]] = {}
+        for t, n in sorted(most.items()):
+            own = bucket_masks(n, radius, (1 << 64) - 1 & ~used[t])
+            fresh[t] = [(len(used) + i, used[t] | m) for i, m in enumerate(own)]
+            used |= dict(fresh[t])
+        rows = _keyed(rows.join(hot.select("t", "key"), ["t", "key"], "left_semi"), fresh)
+    return rows if done is None else done.unionByName(rows)
+
+
+def near_links(nodes: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest, by bucket, of nodes (``node``, ``fp``, ``more``) within ``radius`` bits (and ``bits`` over all)."""
+    order = ["t", "key"]
+    spread = parted(nodes, radius).repartition(*order).sortWithinPartitions(*order)
 
     def make():
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            held: list[np.ndarray] = []
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             rows = 0
 
-            def search(part: np.ndarray) -> dict[str, list]:
-                change = np.any(part[1:, 1:] != part[:-1, 1:], axis=1)
-                index = GrayIndex(np.concatenate([[0], np.cumsum(change)]), part[:, 0].astype(np.uint64))
-                label = index.link(radius)
+            def search(part: np.ndarray, more: np.ndarray) -> dict[str, list]:
+                change = np.any(part[1:, 2:] != part[:-1, 2:], axis=1)
+                index = GrayIndex(np.concatenate([[0], np.cumsum(change)]), part[:, 1].astype(np.uint64), more)
+                label = index.link(radius, bits)
                 member = np.flatnonzero(label != np.arange(len(label)))
-                fp = index.fp.astype(np.int64)
-                return {"a": fp[member].tolist(), "b": fp[label[member]].tolist()}
+                node = part[index.order, 0]
+                return {"a": node[member].tolist(), "b": node[label[member]].tolist()}
 
             for batch in batches:
-                held.append(np.array([batch["fp"], batch["t"], batch["key"], batch["i"], batch["j"]], np.int64).T)
-                rows += len(held[-1])
+                more = np.array([m or [] for m in batch["more"]], np.int64).astype(np.uint64)
+                held.append((np.array([batch["node"], batch["fp"], batch["t"], batch["key"]], np.int64).T, more.reshape(len(batch["fp"]), -1)))
+                rows += len(batch["fp"])
                 if rows >= CHUNK_ROWS:
-                    part = np.concatenate(held)
-                    same = np.all(part[:, 1:] == part[-1, 1:], axis=1)
-                    done = len(part) if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-                    if not same.all():
-                        yield search(part[:done])
-                        part = part[done:]
-                    held, rows = [part], len(part)
+                    part, more = (np.concatenate(x) for x in zip(*held, strict=True))
+                    other = np.flatnonzero(np.any(part[:, 2:] != part[-1, 2:], axis=1))
+                    if len(other):
+                        done = int(other[-1]) + 1
+                        yield search(part[:done], more[:done])
+                        part, more = part[done:], more[done:]
+                    held, rows = [(part, more)], len(part)
             if rows:
-                yield search(np.concatenate(held))
+                yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         return run
 
-    spread = dealt.repartition(*order).sortWithinPartitions(*order)
-    return map_stream(spread.select("fp", *order), make, "a long, b long", rows=8192)
+    return map_stream(spread.select("node", "fp", *order, "more"), make, "a long, b long", rows=8192)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    prints = cut(fingerprints(docs, id_col, text_col, k))
-    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
-    roots = connected_components(near_links(by_print.select("fp"), radius))
-    in_component = by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    prints = cut(fingerprints(docs, id_col, text_col, k).select("doc_id", "fp"))
+    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = by_print.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("array<long>").alias("more"))
+    roots = connected_components(near_links(nodes, radius))
+    in_component = by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = in_component.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = cut(in_component.join(least, "root").select("fp", "component_id"), narrow=True)
+    names = cut(in_component.join(least, "root").select("fp", "component_id"))
     return prints.join(names, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that with its smallest id.
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = NEAR_SHINGLE,
+    radius: int = NEAR_RADIUS,
+    bits: int = NEAR_BITS,
+) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of near-duplicates by wide fingerprints.
 
-    Of rows that repeat that id, one stays. Rows without an id, which a result
-    cannot name, stay.
+    The row with the smallest id stays (rows without an id come last); of rows
+    with that id, the one with the least hash of its text; of equal rows, one.
     """
-    found = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col, k, radius)
-    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), narrow=True)
-    single = kept.where("count = 1").select(F.col("doc_id").alias(id_col))
-    out = docs.join(single, id_col, "left_semi").unionByName(docs.where(docs[id_col].isNull()))
-    repeated = kept.where("count > 1").select(F.col("doc_id").alias(id_col))
+    prints = cut(fingerprints(docs, id_col, text_col, k, WIDE))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    by_print = cut(
+        prints.groupBy("fp", "more").agg(F.min(row).alias("least")).withColumn("node", F.monotonically_increasing_id())
+    )
+    roots = connected_components(near_links(by_print.select("node", "fp", "more"), radius, bits))
+    in_component = by_print.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = in_component.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_hash")
+    found = prints.groupBy("doc_id", "text_hash").count()
+    same = [F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("k.text_hash") == F.col("f.text_hash")]
+    kept = cut(kept.alias("k").join(found.alias("f"), same).select("k.doc_id", "k.text_hash", "count"))
+    name = "__text_hash__"
+    hashed = docs.withColumn(name, F.xxhash64(docs[text_col].cast("string")))
+
+    def of(some: DataFrame) -> DataFrame:
+        own = some.select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__"))
+        return hashed.join(own, (hashed[name] == own["__hash__"]) & hashed[id_col].cast("long").eqNullSafe(own["__id__"]), "left_semi")
+
+    out = of(kept.where("count = 1"))
+    repeated = kept.where("count > 1")
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+        out = out.unionByName(of(repeated).dropDuplicates([id_col, name]))
     return out.select(*docs.columns)

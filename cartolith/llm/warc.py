@@ -150,7 +150,6 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least
         .agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("rows"))
         .where("rows > 1 or top.n > 1")
         .select("digest", F.col("top.page_id").alias("named"), (F.col("top.n") > 1).alias("several")),
-        narrow=True,
     )
     joined = rows.join(groups, "digest", "left").withColumn("named", F.when(F.col("large"), F.col("named")))
     names = ("page_id", "url", "payload", "digest", "named")
@@ -199,7 +198,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         return run
 
     captures = cut(map_stream(rows.select("page_id", "url", "payload", "digest", "named", "twin"), make, _CAPTURE))
-    return Archive(spark, folder, captures, cut(_index(captures, folder), narrow=True))
+    return Archive(spark, folder, captures, cut(_index(captures, folder)))
 
 
 def _index(captures: DataFrame, folder: str) -> DataFrame:

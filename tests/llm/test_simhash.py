@@ -59,8 +59,58 @@ def test_edges(spark):
     assert rows(S.near_duplicates(documents(spark, []))) == []
     found = S.near_duplicates(documents(spark, [(None, "x y"), (5, "x y"), (5, "x y"), (9, None), (None, "q")]))
     assert sorted(map(str, rows(found, "doc_id", "component_id"))) == ["(5, 5)", "(5, 5)", "(9, 9)", "(None, 5)", "(None, None)"]
-    kept = S.keep_one(documents(spark, [(3, "a"), (2, "a"), (2, "a"), (8, "b"), (None, "a")]))
-    assert rows(kept, "doc_id") == [(None,), (2,), (8,)]
+    kept = S.keep_one(documents(spark, [(3, "a"), (2, "a"), (2, "a"), (8, "b"), (None, "a"), (None, "n"), (2, "other"), (9, None), (7, "")]))
+    assert rows(kept, "doc_id", "text") == [(None, "n"), (2, "a"), (2, "other"), (7, ""), (8, "b")]
+    assert rows(S.keep_one(documents(spark, []))) == []
+    long = "w " * 140_000  # more shingles than are hashed at once
+    assert S.fingerprint(long) == S.fingerprint("w w w w")
+
+
+def brute_wide(text, k=5):
+    """Words of a wide fingerprint, by plain numbers."""
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    out = []
+    for w in range(S.WIDE):
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        if w:
+            top = 1 << 64
+            hs = [(h + 0x9E3779B97F4A7C15 * w) * int(S._MIX) % top for h in hs]
+            hs = [(h ^ h >> 30) * int(S._MIX) % top for h in hs]
+            hs = [h ^ h >> 31 for h in hs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+    return out
+
+
+def test_keep_one_by_wide_fingerprints(spark):
+    all_texts = texts()
+    wide = [brute_wide(t) for t in all_texts]
+    assert [S.wide_fingerprint(t, 5, S.WIDE) for t in all_texts] == wide
+    root = list(range(len(wide)))
+    for _ in wide:
+        for i, a in enumerate(wide):
+            for j, b in enumerate(wide):
+                if (a[0] ^ b[0]).bit_count() <= S.NEAR_RADIUS and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= S.NEAR_BITS:
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = rows(S.keep_one(documents(spark, all_texts)), "doc_id")
+    assert kept == [(i,) for i in sorted(set(root))] and len(kept) < len(all_texts)
+
+
+def test_index_prunes_by_shared_bits_and_links_dense_groups_whole():
+    r = np.random.default_rng(2)
+    fp = np.unique(r.integers(0, 1 << 63, 6000, dtype=np.uint64))
+    index = S.GrayIndex(np.zeros(len(fp), np.int64), fp)
+    label = index.link(4)
+    assert index.pruned["bits"] > 0 and index.pruned["compared"] < len(fp) ** 2 / 2
+    near = np.bitwise_count(index.fp[:, None] ^ index.fp[None, :]) <= 4
+    a, b = np.nonzero(near)
+    assert (label[a] == label[b]).all() and len(np.unique(label)) >= len(fp) - (near.sum() - len(fp)) // 2
+    dense = np.arange(64, dtype=np.uint64) << np.uint64(3)
+    index = S.GrayIndex(np.zeros(64, np.int64), dense)
+    assert not index.link(4).any()
+    index = S.GrayIndex(np.zeros(32, np.int64), dense[:32])
+    index._link_whole(0, np.array([0]), np.array([1]))
+    assert not index.label.any()
 
 
 def test_index_loses_no_link():
@@ -91,15 +141,21 @@ def test_buckets_meet_every_near_pair():
             assert any(not flips & m for m in masks)
 
 
-def test_hot_buckets_are_split_whole(spark, monkeypatch):
+def nodes(spark, prints):
+    return spark.createDataFrame([(S.signed(p), S.signed(p), None) for p in prints], "node long, fp long, more array<long>")
+
+
+def test_hot_buckets_are_parted_whole(spark, monkeypatch):
     monkeypatch.setattr(S, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(S, "HOT_ROWS", 40)
     r = random.Random(9)
     base = r.getrandbits(64)
-    prints = sorted({base ^ sum(1 << b for b in r.sample(range(12), 3)) for _ in range(150)})
-    fps = spark.createDataFrame([(S.signed(p),) for p in prints], "fp long")
-    roots = components.connected_components(S.near_links(fps))
+    prints = sorted({base ^ sum(1 << b for b in r.sample(range(12), 3)) for _ in range(150)} | {r.getrandbits(64) for _ in range(50)})
+    roots = components.connected_components(S.near_links(nodes(spark, prints)))
     want = brute_components(prints)
     assert len({x["root"] for x in roots.collect()}) == len({c for c in want if want.count(c) > 1})
+    dealt = S.parted(nodes(spark, prints), 4)
+    assert dealt.select("fp").distinct().count() == len(prints) and dealt.select("t").distinct().count() > 5
 
 
 def test_components_of_long_paths(spark):

@@ -1,9 +1,10 @@
 """Media columns: texts stored as lossless WebP, read back, and features of them.
 
 A text's payload is its UTF-8, padded with zero bytes to a positive multiple of
-``UNIT``. It is stored in the green channel of a lossless WebP image, one pixel
-a byte (longer ones than ``webp.IMAGE_BYTES`` as several images in a row), and
-everything reported is computed from the stored bytes.
+``UNIT``. It is stored as a lossless WebP image, one pixel a byte (longer ones than
+``webp.IMAGE_BYTES`` as several images in a row), with back-references and, where
+that is shorter, a palette. The images are written as a table into the shared
+folder, and everything reported is computed from the bytes read back from it.
 
 The feature is a difference hash: the payload's samples fall into 65 equal
 stretches, and bit i says whether the mean of stretch i+1 exceeds that of
@@ -17,13 +18,14 @@ empty table gives an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from . import webp
-from .runtime import map_batches
+from .runtime import map_batches, shared_dir
 
 UNIT = 64
 
@@ -46,7 +48,7 @@ def feature(data: bytes) -> str:
     return f"{int.from_bytes(np.packbits(means[1:] > means[:-1]).tobytes(), 'big'):016x}"
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, media): each text as WebP."""
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
@@ -65,6 +67,14 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_batches(narrow, make, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Write :func:`encode`'s table into a folder (by default a new one in the shared folder) and read it again."""
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
+    encode(docs, id_col, text_col).write.option("compression", "none").parquet(folder)
+    return spark.read.schema("doc_id long, n_bytes long, payload_bytes long, media binary").parquet(folder)
+
+
 def read_back(stored: DataFrame) -> DataFrame:
     """Decode a stored table and report payload, media and feature of each row."""
     narrow = stored.select("doc_id", "n_bytes", "payload_bytes", "media")

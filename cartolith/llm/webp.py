@@ -4,13 +4,23 @@ Pixels are ARGB as unsigned 32-bit numbers. :func:`decode` reads prefix codes
 (simple and normal, with code-length codes), meta prefix images, LZ77
 back-references with the distance map, the colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms. Where an image has one
-group of prefix codes and stores one channel by literals alone, which is what
-:func:`encode_bytes` writes, symbols are read several at a time by a table.
+group of prefix codes, no cache and one channel that varies, symbols are read
+several at a time by a table.
+
+:func:`encode_bytes` writes one channel: repeated stretches of ``MATCH`` bytes or
+more as back-references, the rest as literals, by one of two fixed codes. Either
+the bytes stand in the green channel with a code for Latin text, or a palette
+transform numbers them by falling frequency and the code is one for ranks; the
+shorter stream is taken. The palette's own image has a colour cache, since its
+differences repeat. Predictors and cross-colour gain nothing on one channel of
+text, so the encoder does not write them.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +58,11 @@ class Bits:
         byte = self.at >> 3
         return (int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
+    def wide(self, n: int) -> int:
+        """The next bits, any number of them."""
+        byte, shift = self.at >> 3, self.at & 7
+        return (int.from_bytes(self.data[byte : byte + (n + shift + 7) // 8], "little") >> shift) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         out = self.peek(n) if n else 0
         self.at += n
@@ -136,6 +151,26 @@ def _read_prefix(bits: Bits, symbols: int) -> Prefix:
     return prefix(tuple(lengths + [0] * (symbols - len(lengths))))
 
 
+#: Declarations of prefix codes met of late: alphabet sizes, bits of the stream, their number, the codes.
+_MET: list[tuple[tuple[int, ...], int, int, list[Prefix]]] = []
+
+
+def _read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[Prefix]:
+    """The prefix codes of a group; equal bits declare equal codes, so that those met before are not read again."""
+    for own, value, n, codes in _MET:
+        if own == sizes and bits.at + n <= bits.end and bits.wide(n) == value:
+            bits.at += n
+            return codes
+    start = bits.at
+    codes = [_read_prefix(bits, n) for n in sizes]
+    n, bits.at = bits.at - start, start
+    value = bits.wide(n)
+    bits.at += n
+    _MET.append((sizes, value, n, codes))
+    del _MET[:-8]
+    return codes
+
+
 def _extra(bits: Bits, symbol: int) -> int:
     """The number that a length or distance prefix and its extra bits stand for."""
     if symbol < 4:
@@ -158,22 +193,22 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         meta = (_read_image(bits, _blocks(width, meta_bits), _blocks(height, meta_bits), False) >> np.uint32(8)) & np.uint32(0xFFFF)
         groups = int(meta.max()) + 1
     sizes = (256 + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    codes = [[_read_prefix(bits, n) for n in sizes] for _ in range(groups)]
+    codes = [_read_codes(bits, sizes) for _ in range(groups)]
     if groups == 1 and not cache_bits:
-        green, red, blue, alpha = codes[0][:4]
-        if None not in (red.single, blue.single, alpha.single) and not any(green.lengths[256:]):
+        green, red, blue, alpha, distance = codes[0]
+        if None not in (red.single, blue.single, alpha.single):
             rest = alpha.single << 24 | red.single << 16 | blue.single
-            return (_literals(bits, green, width * height).astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
+            return (_one_channel(bits, green, distance, width, width * height).astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
     return _read_pixels(bits, width, height, codes, meta, meta_bits, cache_bits)
 
 
 @lru_cache(maxsize=8)
 def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
-    """For each window of 16 bits, the bytes whose codes it holds whole, and their bits."""
+    """For each window of 16 bits, the bytes whose codes it holds whole before a back-reference, and their bits."""
     code = prefix(lengths)
     size = 1 << _LOOK
     table = code.table
-    symbol = np.array([s for s, _ in table], np.uint8)
+    symbol = np.array([s for s, _ in table])
     length = np.array([n for _, n in table], np.int64)
     window = np.arange(size)
     rest, used = window.copy(), np.zeros(size, np.int64)
@@ -182,7 +217,7 @@ def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
     while len(live):
         at = rest[live] & ((1 << code.width) - 1)
         n = length[at]
-        live = live[used[live] + n <= _LOOK]
+        live = live[(used[live] + n <= _LOOK) & (symbol[at] < 256)]
         at = rest[live] & ((1 << code.width) - 1)
         for w, s in zip(live.tolist(), symbol[at].tolist(), strict=True):
             out[w] += _BYTE[s]
@@ -194,43 +229,77 @@ def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
 _BYTE = [bytes([i]) for i in range(256)]
 
 
-def _literals(bits: Bits, code: Prefix, count: int) -> np.ndarray:
-    """``count`` literals of one channel."""
+def _distance(code: int, width: int) -> int:
+    """How many pixels a distance code goes back."""
+    if code > len(DISTANCE_MAP):
+        return code - len(DISTANCE_MAP)
+    dx, dy = DISTANCE_MAP[code - 1]
+    return max(1, dx + dy * width)
+
+
+def _one_channel(bits: Bits, code: Prefix, distance: Prefix, width: int, count: int) -> np.ndarray:
+    """``count`` bytes of one channel: literals by the table, and back-references."""
     if code.single is not None:
+        if code.single >= 256:
+            raise ValueError("a back-reference outside the image")
         return np.full(count, code.single, np.uint8)
     text, used = _runs(code.lengths)
+    size_of = np.array(code.lengths[:256])
     raw = np.frombuffer(bits.data, np.uint8)
-    start = bits.at
-    parts: list[bytes] = []
-    got = 0
+    out = bytearray()
+    own: list[bytes] = []
+    add = own.append
+    spent = 0  # bits of the literals in ``out`` and of back-references
+    got = 0  # bytes of ``out`` and of ``own``, brought up to date at a back-reference or a chunk's end
+
+    def flush() -> None:
+        nonlocal spent
+        part = b"".join(own)[: count - len(out)]
+        own.clear()
+        spent += int(size_of[np.frombuffer(part, np.uint8)].sum())
+        out.extend(part)
+
     step = 1 << 16  # bytes of the stream whose windows stand in memory at once
-    byte = start >> 3
-    p = start & 7
+    byte, p = bits.at >> 3, bits.at & 7
     while got < count:
         chunk = raw[byte : byte + step + 2].astype(np.uint32)
         if len(chunk) < 3:
             raise ValueError("the image's data ends early")
         windows = (chunk[:-2] | chunk[1:-1] << np.uint32(8) | chunk[2:] << np.uint32(16)).tolist()
         end = 8 * len(windows)
-        own: list[bytes] = []
-        add = own.append
         while p < end:
             w = (windows[p >> 3] >> (p & 7)) & 0xFFFF
-            add(text[w])
-            p += used[w]
-        part = b"".join(own)
-        parts.append(part)
-        got += len(part)
+            n = used[w]
+            if n:
+                add(text[w])
+                p += n
+                continue
+            flush()
+            got = len(out)
+            if got == count:
+                break
+            reader = Bits(b"")
+            reader.data, reader.end, reader.at = bits.data, bits.end, 8 * byte + p
+            length = _extra(reader, code.next(reader) - 256)
+            back = _distance(_extra(reader, distance.next(reader)), width)
+            if back > got or got + length > count:
+                raise ValueError("a back-reference outside the image")
+            seen = bytes(out[got - back : got - back + length])
+            out += (seen * (length // back + 1))[:length] if back < length else seen
+            got += length
+            spent += reader.at - 8 * byte - p
+            p = reader.at - 8 * byte
+        if got < count:
+            got = len(out) + sum(map(len, own))
         byte += p >> 3
         p &= 7
         if byte >= len(raw) and got < count:
             raise ValueError("the image's data ends early")
-    joined = b"".join(parts)
-    out = np.frombuffer(joined, np.uint8, count)
-    bits.at += int(np.array(code.lengths)[np.arange(256)][out].sum())
+    flush()
+    bits.at += spent
     if bits.at > bits.end:
         raise ValueError("the image's data ends early")
-    return out
+    return np.frombuffer(bytes(out), np.uint8, count)
 
 
 def _read_pixels(bits, width, height, codes, meta, meta_bits, cache_bits) -> np.ndarray:
@@ -257,11 +326,7 @@ def _read_pixels(bits, width, height, codes, meta, meta_bits, cache_bits) -> np.
         elif s < 256 + LENGTH_CODES:
             length = _extra(bits, s - 256)
             code = _extra(bits, distance.next(bits))
-            if code > len(DISTANCE_MAP):
-                back = code - len(DISTANCE_MAP)
-            else:
-                dx, dy = DISTANCE_MAP[code - 1]
-                back = max(1, dx + dy * width)
+            back = _distance(code, width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference outside the image")
             for k in range(at, at + length):
@@ -491,6 +556,12 @@ def put_prefix(out: BitWriter, lengths: list[int]) -> None:
         out.put(codes[n], 4)
 
 
+def put_single(out: BitWriter, *symbols: int) -> None:
+    """Prefix codes of one symbol each."""
+    for only in symbols:
+        put_prefix(out, [int(i == only) for i in range(256)])
+
+
 #: Usual shares of bytes in Latin text, in hundredths of a per cent.
 BYTE_SHARES = {
     " ": 1700, "e": 1000, "t": 750, "a": 650, "n": 620, "o": 600, "i": 580, "r": 500, "s": 480, "h": 460, "d": 330,
@@ -514,48 +585,233 @@ def _byte_counts() -> list[int]:
     return counts
 
 
-@lru_cache(maxsize=1)
-def _fixed_code() -> tuple[np.ndarray, np.ndarray, bytes, int]:
-    """Codes and lengths of the bytes, and the bits of the five prefix codes."""
-    lengths = code_lengths(_byte_counts())
-    full = lengths + [0] * LENGTH_CODES
+#: Shortest back-reference that the encoder writes, bytes within which it looks for them, and the longest.
+MATCH, MATCH_WINDOW, LONGEST = 16, 1 << 20, 4096
+#: Bits of the colour cache of the palette's image.
+PALETTE_CACHE = 5
+
+
+@dataclass(frozen=True)
+class _Code:
+    """A fixed code: codes and lengths of bytes and length prefixes, and the stream's part that declares it."""
+
+    codes: np.ndarray
+    lengths: np.ndarray
+    head: int
+    head_size: int
+
+
+#: Lengths of the distance code: a complete code in which far ones are a bit shorter.
+_DISTANCE_LENGTHS = [6] * 16 + [5] * 24
+
+
+@lru_cache(maxsize=2)
+def _fixed_code(ranked: bool) -> _Code:
+    """The code for Latin bytes, or for the ranks of bytes by frequency; length prefixes are rare in both."""
+    counts = [int(20_000 * np.exp(-r / 9)) + 8 for r in range(256)] if ranked else [8 * n for n in _byte_counts()]
+    lengths = code_lengths(counts + [sum(counts) // 400] * LENGTH_CODES)
     head = BitWriter()
-    head.put(0, 1)  # no transform
     head.put(0, 1)  # no colour cache
     head.put(0, 1)  # one group of prefix codes
-    put_prefix(head, full)
-    for only in (0, 0, 255, 0):
-        put_prefix(head, [int(i == only) for i in range(256 if only else 256)])
-    return np.array(canonical(tuple(lengths)), np.uint16), np.array(lengths, np.uint8), head.value, head.size
+    put_prefix(head, lengths)
+    put_single(head, 0, 0, 255)
+    put_prefix(head, _DISTANCE_LENGTHS)
+    return _Code(np.array(canonical(tuple(lengths)), np.uint32), np.array(lengths, np.uint8), head.value, head.size)
+
+
+@lru_cache(maxsize=1)
+def _distance_code() -> list[int]:
+    return canonical(tuple(_DISTANCE_LENGTHS))
+
+
+@lru_cache(maxsize=1)
+def _palette_code() -> tuple[list[int], list[int]]:
+    """Half of the code space for literals, half for the colour cache."""
+    lengths = [9] * 256 + [0] * LENGTH_CODES + [PALETTE_CACHE + 1] * (1 << PALETTE_CACHE)
+    return canonical(tuple(lengths)), lengths
+
+
+def _put_palette(out: BitWriter, colours: list[int]) -> None:
+    """The palette transform: colours as bytes of the green channel, each as its difference from the one before."""
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(len(colours) - 1, 8)
+    out.put(1, 1)
+    out.put(PALETTE_CACHE, 4)
+    codes, lengths = _palette_code()
+    put_prefix(out, lengths)
+    # the first pixel is opaque, the differences of the others are not: two literals of the alpha channel
+    out.put(1, 1)
+    out.put(0, 1)
+    out.put(0, 1)
+    out.put(0, 1)  # red: always 0
+    out.put(1, 1)
+    out.put(0, 1)
+    out.put(0, 1)
+    out.put(0, 1)  # blue: always 0
+    out.put(1, 1)
+    out.put(1, 1)
+    out.put(0, 1)
+    out.put(0, 1)
+    out.put(255, 8)  # alpha: 0 or 255
+    out.put(1, 1)
+    out.put(0, 1)
+    out.put(0, 1)
+    out.put(0, 1)  # no distances
+    cache = [0] * (1 << PALETTE_CACHE)
+    before = 0
+    for k, c in enumerate(colours):
+        alpha = 0 if k else 255
+        pixel = alpha << 24 | (c - before & 255) << 8
+        before = c
+        place = (CACHE_FACTOR * pixel & 0xFFFFFFFF) >> (32 - PALETTE_CACHE)
+        if cache[place] == pixel:
+            symbol = 256 + LENGTH_CODES + place
+            out.put(codes[symbol], lengths[symbol])
+        else:
+            out.put(codes[pixel >> 8 & 255], 9)
+            out.put(int(alpha > 0), 1)
+            cache[place] = pixel
+
+
+def _matches(data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches that stood before, from left to right, without overlap."""
+    out: list[tuple[int, int, int]] = []
+    raw = data.tobytes()
+    for base in range(0, len(data), MATCH_WINDOW):
+        part = data[base : base + MATCH_WINDOW]
+        n = len(part) - MATCH + 1
+        if n < 2:
+            continue
+        words = np.lib.stride_tricks.as_strided(part, (len(part) - 7, 8), (1, 1)).copy().view("<u8").ravel()
+        h = (words[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        places = np.uint64(MATCH_WINDOW - 1)
+        key = np.sort((h & ~places) | np.arange(n, dtype=np.uint64))
+        same = (key[1:] ^ key[:-1]) <= places
+        if not same.any():
+            continue
+        here, there = (key[1:][same] & places).astype(np.int64), (key[:-1][same] & places).astype(np.int64)
+        order = np.argsort(here)
+        starts, froms = here[order].tolist(), there[order].tolist()
+        at, k, stop = 0, 0, base + len(part)
+        while k < len(starts):
+            i, j = base + starts[k], base + froms[k]
+            if i < at or raw[i : i + MATCH] != raw[j : j + MATCH]:
+                k += 1
+                continue
+            length = _extent(raw, i, j, stop)
+            for done in range(0, length, LONGEST):
+                if (size := min(LONGEST, length - done)) >= MATCH:
+                    out.append((i + done, size, i - j))
+                    at = i + done + size
+            k = bisect.bisect_left(starts, at - base, k + 1)
+    return out
+
+
+def _extent(raw: bytes, i: int, j: int, stop: int) -> int:
+    """How long the stretches at i and j agree."""
+    length, step = MATCH, 64
+    while i + length < stop:
+        size = min(step, stop - i - length)
+        a, b = raw[i + length : i + length + size], raw[j + length : j + length + size]
+        if a != b:
+            lo, hi = 0, size
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
+            return length + lo
+        length += size
+        step = min(2 * step, 1 << 16)
+    return length
+
+
+def _prefixed(value: int) -> tuple[int, int, int]:
+    """The prefix symbol of a length or distance, its extra bits and their number."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    n = v.bit_length() - 2
+    return 2 * n + (v >> n), v & ((1 << n) - 1), n
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance codes of the map, by how far they go back."""
+    out: dict[int, int] = {}
+    for code in range(len(DISTANCE_MAP), 0, -1):
+        out[_distance(code, width)] = code
+    return out
+
+
+def _reference(code: _Code, length: int, distance: int, width: int) -> tuple[list[int], list[int]]:
+    """Fields and their bits of a back-reference."""
+    symbol, extra, n = _prefixed(length)
+    far, far_extra, far_n = _prefixed(_near_codes(width).get(distance, distance + len(DISTANCE_MAP)))
+    fields = [int(code.codes[256 + symbol]), extra, _distance_code()[far], far_extra & 0x7FFF, far_extra >> 15]
+    return fields, [int(code.lengths[256 + symbol]), n, _DISTANCE_LENGTHS[far], min(far_n, 15), max(far_n - 15, 0)]
+
+
+def _packed(fields: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> bytes:
+    """Bits ``first``, then fields of at most 15 bits, least significant first."""
+    pieces, packed = [first], []
+    for at in range(0, len(fields), 1 << 18):
+        bits = (fields[at : at + (1 << 18), None] >> np.arange(15, dtype=np.uint16)).astype(np.uint8) & 1
+        pieces.append(bits[np.arange(15, dtype=np.uint8) < sizes[at : at + (1 << 18), None]])
+        joined = np.concatenate(pieces)
+        whole = len(joined) // 8 * 8
+        packed.append(np.packbits(joined[:whole], bitorder="little").tobytes())
+        pieces = [joined[whole:]]
+    packed.append(np.packbits(pieces[0], bitorder="little").tobytes())
+    return b"".join(packed)
 
 
 def _image(data: np.ndarray) -> bytes:
-    codes, lengths, head, head_size = _fixed_code()
     width = 64 * max(1, -(-len(data) // (64 * MAX_SIDE)))
     height = -(-len(data) // width)
     if len(data) < width * height:
         data = np.concatenate([data, np.zeros(width * height - len(data), np.uint8)])
+    matches = _matches(data)
+    literal = np.ones(len(data), bool)
+    for start, length, _ in matches:
+        literal[start : start + length] = False
+    counts = np.bincount(data[literal] if matches else data, minlength=256)
+    plain, ranked = _fixed_code(False), _fixed_code(True)
+    order = np.argsort(-counts, kind="stable")
+    colours = order[: int((counts > 0).sum())]
+    fallen = counts[colours]
+    by_rank = int((fallen * ranked.lengths[: len(colours)]).sum()) + 12 * len(colours) + 1_300  # the palette and its codes
+    use_palette = len(colours) > 16 and by_rank < int((counts * plain.lengths[:256]).sum())  # smaller palettes would pack pixels
+    code = ranked if use_palette else plain
     out = BitWriter()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(0, 1)
     out.put(0, 3)
-    out.put(head, head_size)
+    if use_palette:
+        _put_palette(out, colours.tolist())
+        rank = np.zeros(256, np.uint8)
+        rank[colours] = np.arange(len(colours))
+        data = rank[data]
+    out.put(0, 1)  # no further transform
+    out.put(code.head, code.head_size)
     first = np.unpackbits(np.frombuffer(out.to_bytes(), np.uint8), bitorder="little")[: out.size]
-    pieces = [first]
-    packed: list[bytes] = []
-    for at in range(0, len(data), 1 << 18):
-        part = data[at : at + (1 << 18)]
-        n = lengths[part]
-        bits = (codes[part][:, None] >> np.arange(15, dtype=np.uint16)).astype(np.uint8) & 1
-        pieces.append(bits[np.arange(15, dtype=np.uint8) < n[:, None]])
-        joined = np.concatenate(pieces)
-        whole = len(joined) // 8 * 8
-        packed.append(np.packbits(joined[:whole], bitorder="little").tobytes())
-        pieces = [joined[whole:]]
-    packed.append(np.packbits(pieces[0], bitorder="little").tobytes())
-    return wrap(b"".join(packed))
+    if not matches:
+        return wrap(_packed(code.codes[data].astype(np.uint16), code.lengths[data], first))
+    fields: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    at = 0
+    for start, length, distance in [*matches, (len(data), 0, 0)]:
+        part = data[at:start]
+        fields.append(code.codes[part])
+        sizes.append(code.lengths[part])
+        if length:
+            values, bits = _reference(code, length, distance, width)
+            fields.append(np.array(values, np.uint32))
+            sizes.append(np.array(bits, np.uint8))
+        at = start + length
+    return wrap(_packed(np.concatenate(fields).astype(np.uint16), np.concatenate(sizes), first))
 
 
 #: Bytes of one image at most; longer payloads become several, one after the other.
@@ -563,7 +819,7 @@ IMAGE_BYTES = 1 << 26
 
 
 def encode_bytes(payload: bytes) -> bytes:
-    """Store bytes in the green channel, 64 a row (more where the height would not do)."""
+    """Store bytes, 64 pixels a row (more where the height would not do)."""
     data = np.frombuffer(payload, np.uint8)
     return b"".join(_image(data[at : at + IMAGE_BYTES]) for at in range(0, max(1, len(data)), IMAGE_BYTES))
 

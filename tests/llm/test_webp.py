@@ -146,3 +146,61 @@ def test_media_like_plain_python(spark):
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(data[-64:]), len(own), hashlib.sha256(own).hexdigest())
         assert r["feature"] == f"{int(bits, 2):016x}"
     assert rows(M.read_back(M.store(documents(spark, [])))) == []
+
+
+def slow_image(bits, width, height, top):
+    """The image by single symbols alone, without the table."""
+    cache = bits.read(4) if bits.read(1) else 0
+    assert not (top and bits.read(1))
+    sizes = (256 + W.LENGTH_CODES + ((1 << cache) if cache else 0), 256, 256, 256, W.DISTANCE_CODES)
+    return W._read_pixels(bits, width, height, [[W._read_prefix(bits, n) for n in sizes]], None, 0, cache)
+
+
+def test_encoder_streams_hold_references_palettes_and_caches(monkeypatch):
+    r = np.random.default_rng(7)
+    line = b"a line that stands here again and again, "
+    cyrillic = "".join(chr(0x430 + int(x)) for x in r.geometric(0.15, 900) % 32).encode()
+    payloads = [
+        line * 40 + b"end", b"x" * 10_000, cyrillic + b"0123456789" * 3, bytes(r.integers(0, 256, 5000).astype(np.uint8)),
+        line + bytes(r.integers(97, 120, 9000).astype(np.uint8)) + line + b"!" + line, bytes(range(256)) * 20, b"\0" * 64, b"ab" * 3000,
+        bytes(r.integers(0, 200, 70_000).astype(np.uint8)) * 2,
+    ]
+    held = {"palette": 0, "cached": 0, "references": 0, "mapped": 0}
+    for p in payloads:
+        p += bytes(-len(p) % 64)
+        media = W.encode_bytes(p)
+        assert W.decode_bytes(media, len(p)) == p and media == W.encode_bytes(p)
+        found = W._matches(np.frombuffer(p, np.uint8))
+        at = 0
+        for start, length, distance in found:
+            assert start >= at and W.MATCH <= length <= W.LONGEST and 0 < distance <= start
+            assert all(p[start + k] == p[start + k - distance] for k in range(length))
+            at = start + length
+        held["references"] += len(found)
+        held["mapped"] += sum(d in W._near_codes(64) for _, _, d in found)
+        held["palette"] += media[25] & 1
+        with monkeypatch.context() as m:
+            m.setattr(W, "_read_image", slow_image)
+            assert W.decode_bytes(media, len(p)) == p
+        colours = np.frombuffer(p, np.uint8)
+        deltas = np.diff(np.unique(colours).astype(int))
+        held["cached"] += len(deltas) - len(set(deltas.tolist()))
+    assert min(held.values()) > 0
+    whole = W.encode_bytes(line * 40)
+    for cut in range(30, len(whole) - 2, 7):
+        with pytest.raises(ValueError):
+            W.decode(whole[:cut])
+
+
+def test_op4_reads_back_what_lies_in_the_shared_folder(spark):
+    texts = [None, "", "a", "a", "é" * 40, "long text " * 30_000, "x" * 64]
+    stored = M.store(documents(spark, texts))
+    assert "media-" in stored.inputFiles()[0]
+    found = rows(M.read_back(stored), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "media_bytes")
+    for (i, n, size, digest, crc, own, media), text in zip(found, texts, strict=True):
+        raw = (text or "").encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (n, size, digest, crc) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert own == hashlib.sha256(W.encode_bytes(padded)).hexdigest() and media == len(W.encode_bytes(padded))
+    assert found[2][1:] == found[3][1:] and found[0][1:] == found[1][1:]
+    assert rows(M.read_back(M.store(documents(spark, [])))) == []

@@ -4,7 +4,7 @@ Sources in order of code points, null last, have weights 5, 2, 1, repeating,
 and share ``TOTAL_SHARE`` of all sizes (words). No target exceeds ``CAP`` times
 its source's size; the excess goes to the others by weight. That is the level
 ``t`` with ``sum(min(cap * size, weight * t))`` equal to the total, found from
-running sums.
+running sums over ranges of sources, of which only totals meet in one place.
 
 A source with target over size ``r`` takes each document ``floor(r)`` times and
 once more with probability ``r - floor(r)``. The cube method draws these last
@@ -12,10 +12,14 @@ copies: it moves the probabilities along the null space of the balancing
 equations (words and documents of the source stay equal) until they are 0 or 1.
 Each source is dealt into blocks by hash; a block's walk holds three undecided
 documents at a time and leaves at most two, which meet in the next, smaller
-round, until one block a source is left, where :func:`settle` lands the last.
+round, until one block a source is left, where :func:`settle` lands the last:
+what is left of the probabilities is written as a mixture of choices, those
+nearest in words first, and one is drawn, so that each document keeps its
+inclusion probability to the end.
 
 Defined cases: a null or empty text has size 0 and is never taken. A null
-source is a source of its own. Rows repeat as they do in the input. An empty
+source is a source of its own. Rows repeat as they do in the input; those of
+equal id, text and source are numbered, so that they are spread over blocks. An empty
 table gives an empty result. If all sizes are 0, targets are 0. The draws
 depend on ids, texts and the seed alone. Only the id, text and source columns
 are read.
@@ -43,33 +47,45 @@ WORD = r"[^\x20\x09-\x0D]+"
 _NEAR = 1e-9
 
 
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums over the rows before, by ``order``; ``sums`` names them, and the columns added up.
+
+    Rows are dealt into ranges; what the ranges add up to (one row a range)
+    meets on the driver, and each range begins from there.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("__range").collect()
+    before, rows = dict.fromkeys(sums, 0.0), []
+    for t in totals:
+        rows.append((t["__range"], *(float(x) for x in before.values())))
+        before = {n: v + t[n] for n, v in before.items()}
+    schema = "__range int, " + ", ".join(f"`__from_{n}` double" for n in sums)
+    offsets = df.sparkSession.createDataFrame(rows, schema)
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(F.broadcast(offsets), "__range")
+    for n, c in sums.items():
+        found = found.withColumn(n, F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"__from_{n}"))
+    return found.drop("__range", *[f"__from_{n}" for n in sums])
+
+
 def targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP
 ) -> DataFrame:
-    """(source, source_size, docs, rank, target) from (source, source_size, docs).
-
-    There is one row for each source, summed up before, so the windows over all
-    rows here see no documents.
-    """
-    order = Window.orderBy(F.col("source").isNull(), "source")
+    """(source, source_size, docs, rank, target) from (source, source_size, docs), a row for each source."""
+    named = sizes.select("*", F.col("source").isNull().alias("last"), F.lit(1).alias("one"))
+    ranked = running(named, ["last", "source"], {"rank": "one"}).withColumn("rank", F.col("rank").cast("int"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int") + 1)
-    ranked = sizes.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", weight)
-    ranked = ranked.withColumn("limit", cap * F.col("source_size")).withColumn("full", F.col("limit") / F.col("weight"))
-    # sources in the order in which a rising level fills them
-    up = Window.orderBy("full", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("full", "rank").rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    levels = (
-        ranked.withColumn("total", share * F.sum("source_size").over(every))
-        .withColumn("filled", F.coalesce(F.sum("limit").over(up), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(rest))
-        .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open"))
-    )
+    ranked = ranked.withColumn("weight", weight).withColumn("limit", cap * F.col("source_size")).withColumn("full", F.col("limit") / F.col("weight"))
+    # sources in the order in which a rising level fills them: what is filled, and what is open from here on
+    levels = cut(running(ranked, ["full", "rank"], {"filled": "limit", "closed": "weight"}))
+    every = levels.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, open_ = share * (every["size"] or 0), F.lit(every["weight"] or 0.0) - F.col("closed")
     # the level at the first source that it does not fill; all are full if there is none
-    first = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "rank", "level"))).over(every)
-    found = levels.withColumn("t", first["level"])
-    target = F.when(F.col("t").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("t")))
-    return found.select("source", "source_size", "docs", "rank", target.cast("double").alias("target"))
+    level = (F.lit(total) - F.col("filled")) / open_
+    t = levels.withColumn("level", level).where("level <= full").agg(F.min(F.struct("full", "rank", "level")).alias("t")).first()["t"]
+    target = F.col("limit") if t is None else F.least("limit", F.col("weight") * F.lit(t["level"]))
+    return levels.select("source", "source_size", "docs", "rank", target.cast("double").alias("target"))
 
 
 def _draw(*key: object) -> float:
@@ -113,12 +129,35 @@ class Walk:
         self.live = kept
 
 
+def land(size: np.ndarray, p: np.ndarray, u: float) -> np.ndarray:
+    """A choice of units, drawn by ``u``, that has each with its probability ``p``.
+
+    The probabilities are a mixture of choices. Of all choices that agree with
+    what is left, that whose words (then whose documents) differ least from what
+    is expected gets as much of the mixture as the units bear; then one unit at
+    least is decided, so that there are at most as many choices as units, and one.
+    """
+    choices = ((np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1).astype(bool)
+    choices = choices[np.lexsort((np.abs(choices.sum(axis=1) - p.sum()), np.abs(choices @ size - size @ p)))]
+    left = p.copy()
+    while True:
+        out, in_ = left < _NEAR, left > 1 - _NEAR
+        choices = choices[~choices[:, out].any(axis=1) & choices[:, in_].all(axis=1)]
+        open_ = ~(out | in_)
+        if not open_.any():
+            return choices[0]
+        most = float(np.where(choices[0], left, 1 - left)[open_].min())
+        if u < most:
+            return choices[0]
+        u = (u - most) / (1 - most)
+        left = np.clip((left - most * choices[0]) / (1 - most), 0.0, 1.0)
+
+
 def settle(units: list[tuple[object, float, float]], seed: tuple) -> list[tuple[object, int]]:
     """Decide a small block wholly: walk, then land.
 
     The walk leaves out ``LANDING`` units spread over the sizes. These and the
-    two that it cannot decide land together: of all choices, that whose words
-    (then whose documents) differ least from what is expected.
+    two that it cannot decide :func:`land` together.
     """
     units = sorted(units, key=lambda u: (u[1], u[2], str(u[0])))
     spread = {len(units) * (2 * i + 1) // (2 * LANDING) for i in range(LANDING)} if units else set()
@@ -127,16 +166,13 @@ def settle(units: list[tuple[object, float, float]], seed: tuple) -> list[tuple[
         if i not in spread:
             out += walk.add(*u)
     rest = [*walk.live, *([*units[i]] for i in sorted(spread))]
-    size, p = np.array([u[1] for u in rest], float), np.array([u[2] for u in rest])
-    choices = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
-    words, docs = np.abs(choices @ size - size @ p), np.abs(choices.sum(axis=1) - p.sum())
-    best = choices[np.lexsort((docs, words))[0]]
+    best = land(np.array([u[1] for u in rest], float), np.array([u[2] for u in rest]), _draw(*seed, "land"))
     return out + [(u[0], int(t)) for u, t in zip(rest, best, strict=True)]
 
 
 def _flight(units: DataFrame, last: bool, round_no: int) -> DataFrame:
     """Walk each (rank, block) of ``units``; decided ones have ``more`` 0 or 1, others null and a new ``p``."""
-    columns = ["rank", "block", "id", "mark", "size", "p"]
+    columns = ["rank", "block", "id", "mark", "number", "size", "p"]
     dealt = units.repartition("rank", "block").sortWithinPartitions(*columns)
 
     def make():
@@ -161,21 +197,21 @@ def _flight(units: DataFrame, last: bool, round_no: int) -> DataFrame:
                 walk.live = []
 
             def flush() -> dict[str, list]:
-                cols = list(zip(*out, strict=True)) if out else [()] * 6
+                cols = list(zip(*out, strict=True)) if out else [()] * 7
                 out.clear()
-                return dict(zip(("rank", "id", "mark", "size", "p", "more"), map(list, cols), strict=True))
+                return dict(zip(("rank", "id", "mark", "number", "size", "p", "more"), map(list, cols), strict=True))
 
             for c in batches:
-                for rank, block, key, mark, size, p in zip(*(c[n] for n in columns), strict=True):
+                for rank, block, key, mark, number, size, p in zip(*(c[n] for n in columns), strict=True):
                     if (rank, block) != group:
                         finish()
                         group, place = (rank, block), 0
                         walk = Walk((round_no, rank, block))
                     place += 1
                     if p < _NEAR or p > 1 - _NEAR:
-                        out.append((rank, key, mark, size, 0.0, int(p > 0.5)))
+                        out.append((rank, key, mark, number, size, 0.0, int(p > 0.5)))
                         continue
-                    held[place] = (rank, key, mark, size)
+                    held[place] = (rank, key, mark, number, size)
                     if last:
                         block_units.append((place, float(size), p))
                     else:
@@ -186,12 +222,12 @@ def _flight(units: DataFrame, last: bool, round_no: int) -> DataFrame:
 
         return run
 
-    return map_stream(dealt.select(*columns), make, "rank int, id long, mark long, size long, p double, more int")
+    return map_stream(dealt.select(*columns), make, "rank int, id long, mark long, number long, size long, p double, more int")
 
 
 def _deal(units: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks by hash of id and text, as many as ``blocks`` (rank, blocks) says."""
-    place = F.pmod(F.xxhash64("id", "mark", F.lit(SEED)), F.col("blocks")).cast("int")
+    """Blocks by hash of id, text and number, as many as ``blocks`` (rank, blocks) says."""
+    place = F.pmod(F.xxhash64("id", "mark", "number", F.lit(SEED)), F.col("blocks")).cast("int")
     return units.join(blocks, "rank").withColumn("block", place).drop("blocks")
 
 
@@ -217,7 +253,8 @@ def mix(
     block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, mark, size, source, source_size, target, copies, taken) for each row of ``docs``."""
-    rows = cut(sized(docs, id_col, text_col, source_col))
+    counted = cut(sized(docs, id_col, text_col, source_col).groupBy("id", "mark", "size", "source").agg(F.count("*").alias("rows")))
+    rows = counted.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("rows").cast("long")))).drop("rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = cut(targets(sums, weights, share, cap))
     named = plan.withColumn("name", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).drop("source", "docs")
@@ -227,7 +264,7 @@ def mix(
         .join(named, "name")
         .withColumn("whole", F.least(F.floor(ratio + _NEAR), F.lit(int(cap))))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-        .select("rank", "id", "mark", "size", "p")
+        .select("rank", "id", "mark", "number", "size", "p")
     )
     done = None
     round_no = 0
@@ -242,7 +279,7 @@ def mix(
         walked = cut(walked)
         decided = walked.where("more is not null")
         done = decided if done is None else done.unionByName(decided)
-        units = walked.where("more is null").select("rank", "id", "mark", "size", "p")
+        units = walked.where("more is null").select("rank", "id", "mark", "number", "size", "p")
         left = units.groupBy("rank").agg(F.count("*").alias("docs"))
         round_no += 1
     info = plan.withColumn("whole", F.least(F.floor(ratio + _NEAR), F.lit(int(cap)))).drop("docs")

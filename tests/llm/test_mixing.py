@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cartolith.llm import mixing as M
@@ -69,3 +70,32 @@ def test_walk_keeps_totals():
     assert sum(share[u[0]] * u[1] for u in units) == pytest.approx(sum(u[1] * u[2] for u in units))
     drawn = [sum(dict(x for u in [(0, 2.0, 0.3), (1, 3.0, 0.6), (2, 7.0, 0.5)] for x in w.add(*u)).get(0, w.live[0][2] if w.live and w.live[0][0] == 0 else 0) for w in [M.Walk((k,))]) for k in range(2000)]
     assert sum(drawn) / 2000 == pytest.approx(0.3, abs=0.04)
+
+
+def test_landing_keeps_probabilities_and_stays_near():
+    r = np.random.default_rng(3)
+    size, p = r.integers(5, 400, 9).astype(float), r.random(9)
+    grid = (np.arange(20_000) + 0.5) / 20_000
+    drawn = np.array([M.land(size, p, u) for u in grid])
+    assert np.abs(drawn.mean(axis=0) - p).max() < 1e-3
+    assert np.abs(drawn @ size - size @ p).mean() < size.mean()
+    assert M.land(np.zeros(0), np.zeros(0), 0.3).tolist() == []
+    assert M.land(np.array([3.0, 4.0]), np.array([0.0, 1.0]), 0.9).tolist() == [False, True]
+
+
+def test_running_sums_over_ranges(spark):
+    items = [(i * 7 % 50, float(i)) for i in range(50)]
+    found = M.running(spark.createDataFrame(items, "k long, v double"), ["k"], {"s": "v"})
+    total = 0.0
+    for k, v in sorted(items):
+        assert [x["s"] for x in found.where(f"k = {k}").collect()] == [total]
+        total += v
+        if k > 4:
+            break
+
+
+def test_many_equal_rows_and_long_texts(spark):
+    docs = documents(spark, [(3, "a b c")] * 300 + [(4, "w " * 40_000)], ["x"] * 300 + ["y"])
+    found = M.mix(docs, block=16).collect()
+    assert len(found) == 301 and {x["size"] for x in found} == {3, 40_000}
+    assert sum(x["taken"] for x in found if x["source"] == "x") == pytest.approx(found[0]["target"] if found[0]["source"] == "x" else found[-1]["target"], abs=6)

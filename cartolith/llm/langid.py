@@ -20,7 +20,8 @@ rejected. Ties take the first language by code point. Repeated rows stay
 repeated; an empty table gives an empty result; without any labelled document
 every text is ``und``. A language without a document to fit on is fitted on its
 calibration documents; one without any letter is left out with a warning, and
-more languages than n-grams raise an error. A null id counts as the empty text for the split.
+more languages than n-grams raise an error. Rows that repeat id and text enter the
+sample once. Texts of any length are scored whole. A null id counts as the empty text for the split.
 Language, source and id are never inputs of a prediction.
 """
 
@@ -42,7 +43,6 @@ ORDER = 5
 FIT_DOCS, CALIBRATION_DOCS = 1500, 400
 #: n-grams kept of each order, dealt to the languages; bounds the broadcast at about 24 bytes + 8 a language each.
 MAX_GRAMS = 400_000
-MAX_LANGUAGES = 500
 #: Characters scored at once.
 _SLICE = 1 << 18
 _ALPHA = np.array([chr(i).isalpha() for i in range(0x10000)])
@@ -249,10 +249,9 @@ def fit(counts: Mapping[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
     )
 
 
-def calibrate(model: Model, labelled: list[tuple[str, str]]) -> None:
-    """Set the temperature of scores and the limit of rejection from (text, language)."""
-    found = [(model.entropies(t), lang) for t, lang in labelled]
-    found = [(h, n, model.languages.index(lang)) for (h, n), lang in found if h is not None and lang in model.languages]
+def calibrate(model: Model, measured: list[tuple[list[float], int, str]]) -> None:
+    """Set the temperature of scores and the limit of rejection from (entropies, characters, language)."""
+    found = [(h, n, model.languages.index(lang)) for h, n, lang in measured if lang in model.languages]
     if not found:
         return
     h, truth = np.array([x[0] for x in found]), np.array([x[2] for x in found])
@@ -285,17 +284,15 @@ def learn(
     rows = docs.where(trainable & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
     )
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], [], [], [], [], np.zeros(0))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
     scale = 1_000_000
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("id"), F.length("text")), F.lit(scale))
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit((fit_docs + calibration_docs) * scale / v))])
     part = F.lit(fit_docs / (fit_docs + calibration_docs))
     upto = F.least(F.element_at(share, F.col("lang")), F.lit(float(scale)))
-    sampled = rows.withColumns({"place": place, "upto": upto}).where("place < upto")
+    sampled = cut(rows.withColumns({"place": place, "upto": upto}).where("place < upto").dropDuplicates(["id", "text", "lang"]))
     fitting = sampled.where(F.col("place") < F.col("upto") * part).select("text", "lang")
     rest = sampled.where(F.col("place") >= F.col("upto") * part).select("text", "lang")
 
@@ -337,7 +334,7 @@ def learn(
     if not found:
         return Model([], [], [], [], [], np.zeros(0))
     model = fit(_Counts(counted, sorted(found), order), order, MAX_GRAMS)
-    calibrate(model, _entropy_sample(rest))
+    calibrate(model, _entropies(rest, model))
     return model
 
 
@@ -359,9 +356,21 @@ class _Counts(Mapping):
         return len(self.languages)
 
 
-def _entropy_sample(rest: DataFrame) -> list[tuple[str, str]]:
-    """The calibration documents; their number is bounded by the sample's."""
-    return [(r["text"], r["lang"]) for r in rest.orderBy(F.length("text")).toLocalIterator()]
+def _entropies(rest: DataFrame, model: Model) -> list[tuple[list[float], int, str]]:
+    """Entropies, characters and language of the calibration documents; their number is bounded by the sample's."""
+    shared = rest.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shared.value
+
+        def step(c: dict[str, list]) -> dict[str, list]:
+            found = [own.entropies(t) for t in c["text"]]
+            return {"h": [h.tolist() if h is not None else None for h, _ in found], "n": [n for _, n in found], "lang": c["lang"]}
+
+        return step
+
+    found = map_batches(rest.select("text", "lang"), make, "h array<double>, n long, lang string").where("h is not null").collect()
+    return sorted((list(r["h"]), r["n"], r["lang"]) for r in found)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,35 +12,43 @@ from .runtime import table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the five fixed rules."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.QUERY_RULES)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and what the mix takes of it."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as lossless WebP, read back and described."""
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every text with its kind, score and verdict."""
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text, encoded and decoded."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learnt from those not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, ~langid.held_out(docs["doc_id"]))
     found = langid.identify(docs, model)
@@ -48,12 +56,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record, looked up by its URL and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    """Base rules and the isolation forest's verdict of every document."""
+    measured = quality.measure(table(spark, sf_dir, "documents"))
+    return quality.judge(measured, quality.learn(measured, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,13 +1,14 @@
 """Secret scans: patterns find candidates, a random forest removes false positives.
 
-All of it is DataFrame functions. One pattern finds candidates (private keys,
-web tokens, assignments to names like ``password``, and runs of 16 characters
-or more with a digit). ``split`` by the same pattern gives the text between
+All of it is DataFrame functions. One pattern finds candidates (private keys
+with a body or an end, with headers or escaped newlines too, web tokens,
+assignments to names like ``password``, and runs of 16 characters or more with a
+digit anywhere). ``split`` by the same pattern gives the text between
 them, so each candidate has its neighbours at hand and redaction puts the text
 together again. A candidate's value and its neighbours become statistics:
-length, character transitions, coverage by dictionary words, likeness to a path
-and secret or harmless words close by. A random forest, trained on labelled
-findings, votes on each; its trees become plain CASE expressions, so a scan has
+length, character transitions, coverage by dictionary words, likeness to a path,
+secret or harmless words close by and whether the form is one that only keys
+have. A random forest, trained on labelled findings, votes on each of every kind; its trees become plain CASE expressions, so a scan has
 no shuffle and no model object in its tasks.
 
 The labelled findings are made by rule from a seed (:func:`labelled_findings`);
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 #: Names that values are assigned to, the candidate pattern, and the words around candidates.
 NAMES = r"(?:passwords?|passwd|pwd|passphrase|secrets?|secret[_-]?key|tokens?|auth[_-]?token|access[_-]?token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer)"
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[\s\\nr]*+[A-Za-z-]{1,40}: [^\n\\]{0,200}){0,8}+"
+    r"(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:[\s\\]*+[A-Za-z0-9+/=]{16,}+)++)"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
     r"|(?<![A-Za-z0-9])(?i:" + NAMES + r")[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?[^\s\"'<>,;]{6,}+"
-    r"|(?<![\p{L}0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}+"
+    r"|(?<![\p{L}0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
 ASSIGNED = r"^(?i:" + NAMES + r")[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?"
 SECRET_WORDS = r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|bearer|authorization)"
@@ -61,7 +63,7 @@ DICTIONARY = (
     "window winter word work world write year"
 )
 COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur un ie ei ue qu la ta el os ad ci do"
-FEATURES = ("chars", "changes", "digits", "upper", "pairs", "dictionary", "distinct", "pathlike", "secret_near", "harmless_near", "placeholder", "assigned")
+FEATURES = ("chars", "changes", "digits", "upper", "pairs", "dictionary", "distinct", "pathlike", "secret_near", "harmless_near", "placeholder", "assigned", "form")
 TREES, DEPTH, SEED = 15, 5, 17
 #: Labelled findings that the forest is trained on, at most.
 LABELLED_ROWS = 2_000
@@ -87,6 +89,10 @@ def _value(candidate: Column) -> Column:
     return F.regexp_replace(candidate, F.lit(ASSIGNED), F.lit(""))
 
 
+#: Kinds whose form few other texts have.
+FORMS = ("private_key", "cloud_access_key", "repository_token", "chat_token")
+
+
 def _share(count: Column, of: Column) -> Column:
     return count.cast("double") / F.greatest(F.length(of), F.lit(1))
 
@@ -114,6 +120,7 @@ def features(candidate: Column, left: Column, right: Column) -> dict[str, Column
         "harmless_near": near.rlike(HARMLESS_WORDS).cast("double"),
         "placeholder": value.rlike(PLACEHOLDER).cast("double"),
         "assigned": candidate.rlike(ASSIGNED).cast("double"),
+        "form": _kind(candidate).isin(*FORMS).cast("double"),
     }
 
 
@@ -141,10 +148,10 @@ def labelled_findings(rows: int = LABELLED_ROWS, seed: int = SEED) -> list[tuple
             return prose(), r.choice(names) + bind() + text(r.randint(8, 50), alnum + "+/!#%-_")
         if kind == 6:
             return prose() + r.choice(names) + r.choice([" is ", " ", " for prod "]), text(r.randint(20, 48), alnum)
-        return prose(), "-----BEGIN RSA PRIVATE KEY-----\n" + text(r.randint(100, 600), alnum + "+/") + "\n-----END RSA PRIVATE KEY-----"
+        return prose(), "-----BEGIN RSA PRIVATE KEY-----\n" + text(r.randint(16, 600), alnum + "+/") + r.choice(["", "\n-----END RSA PRIVATE KEY-----"])
 
     def harmless() -> tuple[str, str]:
-        kind = r.randrange(10)
+        kind = r.randrange(11)
         some = [r.choice(words) for _ in range(r.randint(3, 6))]
         if kind == 0:
             return prose(), "_".join(some) + r.choice("_-") + str(r.randint(1, 2030))
@@ -163,6 +170,9 @@ def labelled_findings(rows: int = LABELLED_ROWS, seed: int = SEED) -> list[tuple
             return prose(), r.choice(names) + bind() + r.choice(["changeme", "your_password", "example", "xxxxxxxx", "********", "placeholder", "none", "${SECRET}", "undefined", "dummy_value"]) + r.choice(["", "1", "_here"])
         if kind == 7:
             return prose(), r.choice(names) + bind() + r.choice([".".join(some), "_".join(some), "get_" + "_".join(some) + "()", "".join(w.title() for w in some)])
+        if kind == 9:  # forms of keys in examples
+            same = r.choice("xX0A")
+            return prose(), r.choice(["AKIA" + text(9, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "EXAMPLE", "AKIA" + same.upper() * 16, "ghp_" + same * 36, f"xoxb-{'0' * 11}-{same * 24}"])
         if kind == 8:
             return prose(), text(1, "=-_0") * r.randint(16, 60) + r.choice(["", "0", "1"])
         return prose(), text(r.randint(14, 26), "etaoinshrdlucmetaoin") + r.choice(["", "-", "_"]) + str(r.randint(0, 99))
@@ -232,10 +242,6 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> Vote:
     return vote
 
 
-#: Kinds whose form alone is proof; the forest does not judge them.
-CERTAIN = ("private_key", "cloud_access_key", "repository_token", "chat_token")
-
-
 def scan_column(text: Column, vote: Vote) -> Column:
     """An array of (pos, gap, candidate, kind, value, score, secret); gap: characters since the candidate before."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
@@ -266,7 +272,7 @@ def scan_column(text: Column, vote: Vote) -> Column:
         measured,
         lambda x: F.struct(
             x["pos"].alias("pos"), x["gap"].alias("gap"), x["candidate"].alias("candidate"), x["kind"].alias("kind"), x["value"].alias("value"),
-            F.when(x["kind"].isin(*CERTAIN), 1.0).otherwise(vote({n: x["stat"][n] for n in FEATURES})).alias("score"),
+            vote({n: x["stat"][n] for n in FEATURES}).alias("score"),
         ),
     )
     return F.transform(scored, lambda x: F.struct(x["pos"], x["gap"], x["candidate"], x["kind"], x["value"], x["score"], (x["score"] >= 0.5).alias("secret")))

@@ -2,9 +2,11 @@
 
 Each URL is expanded into the expressions ``host suffix + path prefix`` that
 have the shape (labels of the host, characters of the path) of some rule. The
-expressions meet the rules in an equi-join on the first 32 bits of their
-SHA-256; then the full digests are compared and the longest rule decides.
-All of it is DataFrame functions.
+expressions meet the rules on the first 32 bits of their SHA-256; then the full
+digests are compared and the longest rule decides. All of it is DataFrame
+functions. Up to ``MAP_RULES`` rules the equi-join is a lookup of each prefix in
+a map that the plan holds, so no row is shuffled; beyond, the expressions are
+exploded and joined to a table of the rules.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and an
 empty path, and no rule fits it. Repeated rows stay repeated. An empty table
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest on which the join runs (32 bits).
 PREFIX_HEX = 8
+#: Rule sets of at most so many rules are a map in the plan (about 200 bytes each).
+MAP_RULES = 1_000
 #: Rule sets of at most so many rules are broadcast (about 200 bytes each); larger ones are shuffled.
 BROADCAST_RULES = 50_000
 
@@ -87,6 +91,8 @@ def filter_urls(
         ),
     )
     table = rule_table(pages, rules)
+    if len(rules) <= MAP_RULES:
+        return _by_map(urls, expressions, table.orderBy("rank").collect(), default)
     small = len(rules) <= BROADCAST_RULES
     by_prefix = table.select("prefix", "rule_digest", "rank")
     by_rank = table.select("rank", "rule", "verdict")
@@ -106,6 +112,23 @@ def filter_urls(
     )
 
 
+def _by_map(urls: DataFrame, expressions: Column, rules: Sequence, default: str) -> DataFrame:
+    """The join by a map from prefixes to the (digest, rank, rule, verdict) of the rules that have them."""
+    by_prefix: dict[str, list[Column]] = {}
+    for r in rules:
+        rule = F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["rule"]).alias("rule"), F.lit(r["verdict"]).alias("verdict"), F.lit(r["rule_digest"]).alias("digest"))
+        by_prefix.setdefault(r["prefix"], []).append(rule)
+    table = F.create_map(*[x for prefix, own in by_prefix.items() for x in (F.lit(prefix), F.array(*own))])
+    digests = F.transform(expressions, lambda e: F.sha2(e, 256))
+    met = F.transform(
+        digests,
+        lambda d: F.filter(F.element_at(table, F.substring(d, 1, PREFIX_HEX)), lambda rule: rule["digest"] == d),
+    )
+    best = F.array_max(F.flatten(F.filter(met, lambda x: x.isNotNull())))
+    judged = urls.withColumn("best", best)
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 #: DuckDB SQL of query op1.
 ORACLE_SQL = """
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url FROM pages),

@@ -1,3 +1,5 @@
+import pytest
+
 from cartolith.llm import url_filter as U
 
 from .helpers import pages, rows
@@ -5,7 +7,7 @@ from .helpers import pages, rows
 URLS = [
     "https://www.example.com/en/71?x=/en/", "http://EXAMPLE.com/en/6", "http://notexample.com/en/7", "com/en/", None, "", "http://",
     "http://example.net/de/8", "http://a.b.example.net/de/80#f", "http://net/de", "http://x.net/de/", "ftp://org?/es/", "http://a.org/es/#",
-    "http://com:80/en/", "://com/en/a", "http://x://com/en/", "HTTP://ÄÖ.COM/en/é", "http://.com/en/", "http://com./en/", "a\n://com/en/\nb",
+    "http://com:80/en/", "://com/en/a", "http://x://com/en/", "HTTP://ÄÖ.COM/en/é", "http://.com/en/", "http://com./en/", "http://a.com/en/" + "x" * 100_000, "http://" + "s." * 3000 + "org/es/", "a\n://com/en/\nb",
 ]
 
 
@@ -24,7 +26,9 @@ def judge(url):
     return host, path, *(best or (None, "allow"))
 
 
-def test_judges_like_brute_force(spark):
+@pytest.mark.parametrize("map_rules", [0, 1000])
+def test_judges_like_brute_force(spark, monkeypatch, map_rules):
+    monkeypatch.setattr(U, "MAP_RULES", map_rules)
     items = [(i, u, None) for i, u in enumerate(URLS)] * 2 + [(None, URLS[0], "")]
     found = rows(U.filter_urls(pages(spark, items), U.QUERY_RULES), "page_id", "host", "path", "rule", "verdict")
     assert found == rows(spark.createDataFrame([(i, *judge(u)) for i, u, _ in items], "page_id long, host string, path string, rule string, verdict string"))

@@ -64,7 +64,8 @@ def run(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> i
         root = Path(a.path).resolve()
         graph = repository.analyse(spark, str(root), config)
         if a.command == "build":
-            say("\n".join(sinks.build_site(graph, Path(a.out or root / config.site.out), config.explorer.default_metric, config.project.language, root)))
+            target = Path(a.out or root / config.site.out)
+            say("\n".join(sinks.build_site(graph, target, config.explorer.default_metric, config.project.language, root, config.metrics, config.explorer.enabled)))
         elif a.command == "export":
             say(render.repomap(graph, config.export.budget if a.budget is None else a.budget))
         elif a.command == "graph":
@@ -109,7 +110,8 @@ def _check(spark: SparkSession, graph, config: C.Config, a, root: Path, say) ->
     pick = lambda given, usual: usual if given is None else given
     c = config.check
     found = baseline.gate_checks(
-        graph, pick(a.max_package_cycles, c.max_package_cycles), pick(a.min_doc_coverage, c.min_doc_coverage), pick(a.max_critical_symbols, c.max_critical_symbols)
+        graph, pick(a.max_package_cycles, c.max_package_cycles), pick(a.min_doc_coverage, c.min_doc_coverage), pick(a.max_critical_symbols, c.max_critical_symbols),
+        config.metrics.complexity_critical,
     ).collect()
     if a.against_baseline:
         path = Path(a.baseline) if a.baseline else sinks.default_baseline(root)

@@ -37,6 +37,22 @@ def last_part(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
 
+def diagram_type(text: Column) -> Column:
+    """A type as class diagrams can show it: without a default, brackets as tildes, bars as strokes."""
+    return F.replace(F.translate(F.btrim(F.substring_index(text, "=", 1)), "[]", "~~"), F.lit("|"), F.lit(" / "))
+
+
+def diagram_member(kind: Column, name: Column, signature: Column, visibility: Column) -> Column:
+    """A member's line in a class diagram: an attribute with its type, or a method with its parameters' names and its result."""
+    halves = F.split(F.coalesce(signature, F.lit("")), " -> ", 2)
+    left, result = F.get(halves, F.lit(0)), F.nullif(F.get(halves, F.lit(1)), F.lit(""))
+    given = F.transform(F.split(F.btrim(left, F.lit("()")), ","), lambda p: F.btrim(F.substring_index(p, ":", 1)))
+    method = F.concat(F.lit("("), F.array_join(F.filter(given, lambda p: ~p.isin("", "*", "/")), ", "), F.lit(")"))
+    shown = F.when(kind == "attribute", F.coalesce(F.concat(F.lit(": "), diagram_type(F.nullif(signature, F.lit("")))), F.lit("")))
+    shown = shown.otherwise(F.concat(method, F.coalesce(F.concat(F.lit(" "), diagram_type(result)), F.lit(""))))
+    return F.concat(F.lit("        "), F.when(visibility == "private", "-").otherwise("+"), name, shown)
+
+
 def is_dunder(name: Column) -> Column:
     return name.startswith("__") & name.endswith("__")
 

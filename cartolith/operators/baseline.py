@@ -9,7 +9,7 @@ from cartolith.functions import names as N
 from cartolith.plans.graph import Graph
 
 from .deadcode import dead_code
-from .health import COMPLEXITY_CRITICAL, doc_coverage, worst_symbols
+from .health import COMPLEXITY_CRITICAL, COMPLEXITY_WARN, doc_coverage, worst_symbols
 from .packages import layer_violations, package_cycles
 
 STATE = "category string, key string, display string, detail string"
@@ -57,7 +57,7 @@ def metrics(graph: Graph, critical: int = COMPLEXITY_CRITICAL) -> DataFrame:
         "nodes": graph.nodes.agg(F.count("*").alias("value")),
         "edges": graph.edges.agg(F.count("*").alias("value")),
         "doc_coverage": doc_coverage(graph).select(F.col("doc_coverage").alias("value")),
-        "critical_symbols": worst_symbols(graph, critical=critical).where("status = 'critical'").agg(F.count("*").alias("value")),
+        "critical_symbols": worst_symbols(graph, min(COMPLEXITY_WARN, critical), critical).where("status = 'critical'").agg(F.count("*").alias("value")),
     }
     out = None
     for name, df in counts.items():
@@ -97,8 +97,8 @@ def _check(name: str, threshold: int, counted: DataFrame, passed) -> DataFrame:
     return counted.select(F.lit(name).alias("name"), F.lit(threshold).cast("long").alias("threshold"), F.col("actual").cast("long").alias("actual")).withColumn("passed", passed)
 
 
-def gate_checks(graph: Graph, max_package_cycles: int = -1, min_doc_coverage: int = -1, max_critical_symbols: int = -1) -> DataFrame:
-    """(name, threshold, actual, passed) of the gates that are set (-1: off)."""
+def gate_checks(graph: Graph, max_package_cycles: int = -1, min_doc_coverage: int = -1, max_critical_symbols: int = -1, critical: int = COMPLEXITY_CRITICAL) -> DataFrame:
+    """(name, threshold, actual, passed) of the gates that are set (-1: off); a symbol is critical above ``critical``."""
     actual, threshold = F.col("actual"), F.col("threshold")
     parts = []
     if max_package_cycles >= 0:
@@ -106,7 +106,7 @@ def gate_checks(graph: Graph, max_package_cycles: int = -1, min_doc_coverage: in
     if min_doc_coverage >= 0:
         parts.append(_check("min-doc-coverage", min_doc_coverage, doc_coverage(graph).select(F.col("doc_coverage").alias("actual")), actual >= threshold))
     if max_critical_symbols >= 0:
-        counted = worst_symbols(graph).where("status = 'critical'").agg(F.count("*").alias("actual"))
+        counted = worst_symbols(graph, min(COMPLEXITY_WARN, critical), critical).where("status = 'critical'").agg(F.count("*").alias("actual"))
         parts.append(_check("max-critical-symbols", max_critical_symbols, counted, actual <= threshold))
     out = graph.spark.createDataFrame([], CHECK)
     for p in parts:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cartolith.operators import baseline, entrypoints, explorer, health, lookup, packages, reading, render
 from cartolith.plans.graph import IR_VERSION, Graph
 
+from .config import Metrics
+
 BASELINE_VERSION = 1
 #: Version and wrapper of the data files.
 SCHEMA_VERSION = 1
@@ -189,14 +191,15 @@ def markdown_table(df: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
-def report_pages(graph: Graph, language: str = "en") -> dict[str, str]:
+def report_pages(graph: Graph, language: str = "en", limits: Metrics = Metrics()) -> dict[str, str]:
     """Pages of tables, by file name; those without rows are left out."""
+    warn, critical = limits.complexity_warn, limits.complexity_critical
     t = titles(language)
     tour = reading.reading_tour(graph).select("step", "module", "reason")
     tables = {
         "entrypoints": entrypoints.entry_points(graph).orderBy("kind", "node_id", "framework", "label"),
-        "health": health.module_health(graph).orderBy("module_id"),
-        "worst": health.worst_symbols(graph),
+        "health": health.module_health(graph, warn, critical, limits.doc_coverage_warn).orderBy("module_id"),
+        "worst": health.worst_symbols(graph, warn, critical),
         "violations": packages.layer_violations(graph),
         "services": health.subproject_stats(graph).orderBy("id"),
         "skipped": graph.skipped.orderBy("path"),
@@ -206,8 +209,10 @@ def report_pages(graph: Graph, language: str = "en") -> dict[str, str]:
     return {f"{name}.md": f"# {t[name]}\n\n{text}" for name, text in texts.items() if text}
 
 
-def build_site(graph: Graph, out: Path, metric: str = "complexity", language: str = "en", history: Path | None = None) -> list[str]:
-    """Diagrams, data and a page a module, staged beside and moved into place as a whole."""
+def build_site(
+    graph: Graph, out: Path, metric: str = "complexity", language: str = "en", history: Path | None = None, limits: Metrics = Metrics(), view: bool = True
+) -> list[str]:
+    """Diagrams, data of the view (if wanted) and a page a module, staged beside and moved into place as a whole."""
     out.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=f".{out.name}-", dir=out.parent))
     several = graph.subprojects.count() > 1
@@ -215,9 +220,11 @@ def build_site(graph: Graph, out: Path, metric: str = "complexity", language: st
         F.array_sort(F.collect_list(F.struct("qualname", "kind", "signature"))).alias("symbols")
     )
     symbols = {r["module"]: r["symbols"] for r in index.collect()}
+    classes = graph.nodes_of("class", "interface", "enum").select(F.col("parent_id").alias("diagram"), "id")
+    diagrams = {r["diagram"]: r["text"] for r in render.class_diagrams(graph, classes).collect()}
     for m in graph.modules.select("id", "qualname", "doc.summary").orderBy("id").collect():
         slug = m["id"].replace("/", ".") if several else m["qualname"]
-        lines = [f"# {m['qualname']}", "", m["summary"] or "", "", "```mermaid", render.class_diagram(graph, m["id"]).rstrip(), "```", ""]
+        lines = [f"# {m['qualname']}", "", m["summary"] or "", "", "```mermaid", diagrams.get(m["id"], render.NO_CLASSES).rstrip(), "```", ""]
         lines += [f"- `{s['qualname']}{s['signature']}` ({s['kind']})" for s in symbols.get(m["qualname"], [])]
         write_text(stage / "modules" / f"{slug}.md", "\n".join(lines) + "\n")
     pages = {
@@ -225,12 +232,13 @@ def build_site(graph: Graph, out: Path, metric: str = "complexity", language: st
         "dependencies.md": "```mermaid\n" + render.package_diagram(graph) + "```\n",
         "architecture.md": "```mermaid\n" + render.architecture_diagram(graph) + "```\n",
         "services_diagram.md": "```mermaid\n" + render.services_diagram(graph) + "```\n",
-    } | report_pages(graph, language)
+    } | report_pages(graph, language, limits)
     if history is not None and (text := changelog(graph.spark, history)):
         pages["changelog.md"] = f"# {titles(language)['changelog']}\n\n{text}"
     for name, text in pages.items():
         write_text(stage / name, text)
-    write_view(graph, stage, metric)
+    if view:
+        write_view(graph, stage, metric)
     written = sorted(str(p.relative_to(stage)) for p in stage.rglob("*") if p.is_file())
     if out.exists():
         shutil.rmtree(out)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, media, mixing, quality, secret_scan, simhash, url_filter, warc
+from . import bpe, html_extract, langid, media, mixing, quality, resampling, secret_scan, simhash, url_filter, warc
 from .runtime import table
 
 
@@ -66,6 +66,11 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, quality.learn(measured, table(spark, sf_dir, "labels")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's texts, its score and its rank among those drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_html_extraction": op2_html_extraction,
@@ -77,6 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_quality_forest": op10_quality_forest,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filter.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op11_importance_resampling": resampling.ORACLE_SQL,
+}

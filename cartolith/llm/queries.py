@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, media, mixing, quality, resampling, secret_scan, simhash, url_filter, warc
+from . import bpe, divergence, html_extract, langid, longest_match, media, mixing, quality, resampling, secret_scan, simhash, url_filter, warc
 from .runtime import table
 
 
@@ -71,6 +71,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 100 bytes cover which start earlier."""
+    return longest_match.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs of sources of a language, and the terms that set each source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_html_extraction": op2_html_extraction,
@@ -83,10 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality_forest": op10_quality_forest,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filter.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op11_importance_resampling": resampling.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in a folder ``name-*`` of the shared folder, computed once."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def arrow_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Lower the session's Arrow batch size to ``rows`` if it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -74,3 +82,28 @@ def map_stream(
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(run, schema)
+
+
+#: Bytes and rows of a batch where rows are narrow, or where texts are cut into pieces by bytes.
+BATCH_BYTES, NARROW_ROWS = 4 << 20, 8192
+
+
+def map_arrays(
+    df: DataFrame,
+    make: Callable[[], Callable[[Iterator[dict[str, pa.Array]]], Iterator[dict[str, object]]]],
+    schema: str,
+) -> DataFrame:
+    """Like :func:`map_stream`, with columns as Arrow arrays, in batches that are cut by bytes."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    names = df.columns
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ({n: b.column(i) for i, n in enumerate(names)} for b in batches)
+        for out in make()(columns):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
+
+    return df.mapInArrow(run, schema)

@@ -34,28 +34,30 @@ shared folder holds the vectors until it is deleted.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, map_stream, stored
-from .words import byte_table, pieces
+from .runtime import cut, map_arrays, map_stream, stored
+from .words import byte_table
 
 MIN_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Seats of a language's ring, at most; twice the rounds.
 SEATS = 64
 #: Rounds that are on the way at once; then their meetings are written.
 WAVE = 8
-#: Counts that a task holds before it sends them on.
-HELD = 1 << 21
+#: Bytes of text whose words a task counts at once.
+HELD = 20 << 20
 _TABLE = byte_table(digits=False)
-#: Vectors of a batch, and rows of counts.
-_VECTORS, _ROWS = 64, 8192
+#: Vectors of a batch.
+_VECTORS = 64
+_SPACE = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def share(count: np.ndarray, n: int, terms: int) -> np.ndarray:
@@ -85,50 +87,90 @@ def _spans(groups: list[tuple[str, str]]) -> dict[str, range]:
     return spans
 
 
+def _words(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of some bytes, and where they start."""
+    plain = np.frombuffer(data.translate(_TABLE), np.uint8)
+    inside = plain != 32
+    edge = np.concatenate([[False], inside, [False]])
+    edge = np.flatnonzero(edge[1:] != edge[:-1])
+    start, end = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(plain[inside])]), start
+
+
+def _counted(texts: list[bytes], places: list[int], lang_of: np.ndarray, whole: bool = True) -> dict[str, object]:
+    """Rows of :func:`term_counts` of some texts; parts of a text count no document."""
+    words, start = _words(b" ".join(texts))
+    coded = words.dictionary_encode()
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    place = np.array(places, np.int64)
+    key = coded.indices.to_numpy().astype(np.int64) << 38 | place[doc] << 18 | doc
+    key.sort()
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    pair = key >> 18
+    at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(key)])
+    n = np.diff(np.append(at, len(key)))
+    docs = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else n
+    term, place = pair[at] >> 20, pair[at] & (1 << 20) - 1
+    lang = lang_of[place]
+    row = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])])[: len(term)])
+    offsets = pa.array(np.append(row, len(term)), pa.int32())
+    have = np.add.reduceat(docs, row) if len(row) else docs
+    return {
+        "lang": lang[row], "term": coded.dictionary.take(pa.array(term[row])).cast(pa.string()), "docs": have if whole else 0 * have,
+        "places": pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())), "counts": pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+    }
+
+
+def _lang_of(groups: list[tuple[str, str]]) -> np.ndarray:
+    """The number of each group's language, in the order of :func:`_spans`."""
+    return np.repeat(np.arange(len(_spans(groups))), [len(s) for s in _spans(groups).values()])
+
+
 def term_counts(docs: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
-    """(lang, term, docs, places, counts) of texts: what each task found of a term in the groups at ``places``."""
-    shared = docs.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(groups)})
+    """(lang, term, docs, places, counts) of texts: what each task found of a term, by the groups at ``places``; lang is a number."""
+    shared = docs.sparkSession.sparkContext.broadcast(({g: i for i, g in enumerate(groups)}, _lang_of(groups)))
 
     def make():
-        place = shared.value
-
-        def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            count: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            have: dict[str, Counter] = defaultdict(Counter)
-
-            def sent() -> Iterator[dict[str, list]]:
-                for lang, own in have.items():
-                    where: dict[bytes, list[list[int]]] = {t: [[], []] for t in own}
-                    for g in [g for g in count if g[0] == lang]:
-                        i = place[g]
-                        for t, n in count[g].items():
-                            both = where[t]
-                            both[0].append(i)
-                            both[1].append(n)
-                    terms = list(own)
-                    for at in range(0, len(terms), _ROWS):
-                        some = terms[at : at + _ROWS]
-                        yield {
-                            "lang": [lang] * len(some), "term": [t.decode() for t in some], "docs": [own[t] for t in some],
-                            "places": [where[t][0] for t in some], "counts": [where[t][1] for t in some],
-                        }
-                count.clear()
-                have.clear()
-
-            for batch in batches:
-                for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                    own, seen = count[lang, source], set()
-                    for words in pieces(text, _TABLE):
-                        own.update(words)
-                        seen.update(words)
-                    have[lang].update(seen)
-                if sum(map(len, have.values())) + sum(map(len, count.values())) > HELD:
-                    yield from sent()
-            yield from sent()
+        place, lang_of = shared.value
+
+        def long(text: bytes, where: int) -> Iterator[dict[str, object]]:
+            """A text beyond ``HELD``, cut between words; its terms count a document once."""
+            seen, at = None, 0
+            while at < len(text):
+                end = _SPACE.search(text, at + HELD)
+                part = text[at : end.start() if end else len(text)]
+                out = _counted([part], [where], lang_of, False)
+                yield out
+                seen = out["term"] if seen is None else pa.chunked_array([seen, out["term"]]).unique()
+                at += max(1, len(part))
+            none = pa.ListArray.from_arrays(pa.array([0] * (len(seen) + 1), pa.int32()), pa.array([], pa.int32()))
+            one = np.ones(len(seen), np.int64)
+            yield {"lang": one * lang_of[where], "term": seen, "docs": one, "places": none, "counts": none.cast(pa.list_(pa.int64()))}
+
+        def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, object]]:
+            texts: list[bytes] = []
+            places: list[int] = []
+            size = 0
+            for b in batches:
+                for lang, source, text in zip(*(b[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
+                    if not text:
+                        continue
+                    if len(text) > HELD:
+                        yield from long(text, place[lang, source])
+                        continue
+                    texts.append(text)
+                    places.append(place[lang, source])
+                    size += len(text)
+                    if size >= HELD or len(texts) == 1 << 18:
+                        yield _counted(texts, places, lang_of)
+                        texts, places, size = [], [], 0
+            if texts:
+                yield _counted(texts, places, lang_of)
 
         return run
 
-    return map_stream(docs, make, "lang string, term string, docs long, places array<int>, counts array<long>")
+    return map_arrays(docs, make, "lang int, term string, docs long, places array<int>, counts array<long>")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -148,81 +190,73 @@ def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MI
     blocks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "lang", "block").sortWithinPartitions("lang", "block", "term")
-    shared = counts.sparkSession.sparkContext.broadcast(_spans(groups))
+    shared = counts.sparkSession.sparkContext.broadcast(list(_spans(groups).values()))
     names = ("lang", "block", "place", "terms", "total", "counts", "names")
 
     def make():
         spans = shared.value
 
-        def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            key: tuple | None = None
-            kept: list[str] = []
-            where: list[int] = []  # place, number of the term, count: of terms that are kept
-            which: list[int] = []
-            much: list[int] = []
-            term, docs, places, counted = None, 0, [], []
-
-            def end_term() -> None:
-                if term is not None and docs >= min_docs:
-                    where.extend(places)
-                    which.extend([len(kept)] * len(places))
-                    much.extend(counted)
-                    kept.append(term)
-
-            def block() -> Iterator[dict[str, list]]:
-                if not kept:
-                    return
-                lang, number = key
-                span, n = spans[lang], len(kept)
-                place, at, size = (np.array(x, np.int64) for x in (where, which, much))
-                order = np.argsort(place, kind="stable")
-                place, at, size = place[order], at[order], size[order]
-                edge = np.searchsorted(place, np.arange(span.start, span.stop + 1))
-                total = np.zeros(n, np.int64)
-                out: dict[str, list] = {x: [] for x in names}
-                for i, g in enumerate(span):
-                    own = np.zeros(n, np.int64)
-                    part = slice(edge[i], edge[i + 1])
-                    np.add.at(own, at[part], size[part])
-                    total += own
-                    row = (lang, number, g, n, int(own.sum()), _packed(own), None)
-                    for x, v in zip(names, row, strict=True):
-                        out[x].append(v)
-                    if len(out["lang"]) == _VECTORS:
-                        yield out
-                        out = {x: [] for x in names}
-                row = (lang, number, -1, n, int(total.sum()), _packed(total), zlib.compress("\n".join(kept).encode(), 1))
+        def block(lang: int, number: int, held: list[dict[str, pa.Array]]) -> Iterator[dict[str, list]]:
+            term, docs, places, counts = (pa.chunked_array([h[c] for h in held]).combine_chunks() for c in ("term", "docs", "places", "counts"))
+            coded = term.dictionary_encode()
+            own = coded.indices.to_numpy()
+            kept = np.bincount(own, weights=docs.to_numpy()) >= min_docs
+            n = int(kept.sum())
+            if not n:
+                return
+            which = np.repeat(own, np.diff(places.offsets.to_numpy()))
+            place, size = places.flatten().to_numpy(), counts.flatten().to_numpy()
+            some = kept[which]
+            at, place, size = (np.cumsum(kept) - 1)[which[some]], place[some], size[some]
+            order = np.argsort(place, kind="stable")
+            place, at, size = place[order], at[order], size[order]
+            span = spans[lang]
+            edge = np.searchsorted(place, np.arange(span.start, span.stop + 1))
+            total = np.zeros(n, np.int64)
+            out: dict[str, list] = {x: [] for x in names}
+
+            def add(*row: object) -> None:
                 for x, v in zip(names, row, strict=True):
                     out[x].append(v)
-                yield out
 
+            for i, g in enumerate(span):
+                part, mine = slice(edge[i], edge[i + 1]), np.zeros(n, np.int64)
+                np.add.at(mine, at[part], size[part])
+                total += mine
+                add(lang, number, g, n, int(mine.sum()), _packed(mine), None)
+                if len(out["lang"]) == _VECTORS:
+                    yield out
+                    out = {x: [] for x in names}
+            spelt = coded.dictionary.filter(pa.array(kept)).to_pylist()
+            add(lang, number, -1, n, int(total.sum()), _packed(total), zlib.compress("\n".join(spelt).encode(), 1))
+            yield out
+
+        def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, list]]:
+            key: tuple[int, int] = (-1, -1)
+            held: list[dict[str, pa.Array]] = []
             for b in batches:
-                for lang, number, t, d, p, c in zip(b["lang"], b["block"], b["term"], b["docs"], b["places"], b["counts"], strict=True):
-                    if (lang, number) != key:
-                        end_term()
-                        yield from block()
-                        key, term, kept, where, which, much = (lang, number), None, [], [], [], []
-                    elif t == term:
-                        docs += d
-                        places += p
-                        counted += c
-                        continue
-                    end_term()
-                    term, docs, places, counted = t, d, list(p), list(c)
-            end_term()
-            yield from block()
+                lang, number = b["lang"].to_numpy(), b["block"].to_numpy()
+                begin = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (number[1:] != number[:-1])])[: len(lang)])
+                for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(lang)], strict=True):
+                    if (lang[s], number[s]) != key:
+                        if held:
+                            yield from block(*key, held)
+                        key, held = (int(lang[s]), int(number[s])), []
+                    held.append({c: b[c].slice(s, e - s) for c in ("term", "docs", "places", "counts")})
+            if held:
+                yield from block(*key, held)
 
         return run
 
-    schema = "lang string, block int, place int, terms long, total long, counts binary, names binary"
-    return map_stream(dealt.select("lang", "block", "term", "docs", "places", "counts"), make, schema, rows=_ROWS)
+    schema = "lang int, block int, place int, terms long, total long, counts binary, names binary"
+    return map_arrays(dealt.select("lang", "block", "term", "docs", "places", "counts"), make, schema)
 
 
 def _meetings(met: DataFrame, sums) -> DataFrame:
     """(a, b, there, back): the values of each meeting in its block, of a seen from b and the reverse."""
 
     def make():
-        size, terms = sums.value
+        size, terms, _ = sums.value
 
         def step(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
             for c in batches:
@@ -277,12 +311,11 @@ def rotate(found: DataFrame, groups: list[tuple[str, str]], sums, seats: int = S
 
 def top_terms(found: DataFrame, sums, top: int = TOP) -> DataFrame:
     """(place, item, value): the best terms of each group in each block, by heaps of ``top``."""
-    whole = found.where("place < 0").select("lang", "block", F.col("counts").alias("totals"), F.col("total").alias("n"), "names")
-    beside = found.where("place >= 0").drop("names").join(whole, ["lang", "block"])
+    own = found.where("place < 0").select("lang", "block", F.col("counts").alias("totals"), "names")
+    beside = found.where("place >= 0").drop("names").join(own, ["lang", "block"])
 
     def make():
-        size, terms = sums.value
-        lang_size = sums.value[0]
+        size, terms, whole = sums.value
 
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
             held: tuple = ()
@@ -290,7 +323,7 @@ def top_terms(found: DataFrame, sums, top: int = TOP) -> DataFrame:
                 out: dict[str, list] = {"place": [], "item": [], "value": []}
                 for lang, block, place, n, x, y, names in zip(*(c[k] for k in ("lang", "block", "place", "terms", "counts", "totals", "names")), strict=True):
                     if held[:2] != (lang, block):
-                        q = share(_unpacked(y, n), lang_size[lang], terms[lang])
+                        q = share(_unpacked(y, n), whole[lang], terms[lang])
                         held = lang, block, q, np.array(zlib.decompress(names).split(b"\n"), object)
                     q, spelt = held[2:]
                     count = _unpacked(x, n)
@@ -329,11 +362,11 @@ def audit(
     )
     groups = _groups(named)
     found = stored(vectors(term_counts(named, groups), groups, min_docs), "divergence")
-    size = {}
-    for r in found.groupBy("lang", "place").agg(F.sum("total").alias("n")).collect():
-        size[r["lang"] if r["place"] < 0 else r["place"]] = r["n"]
-    terms = {r["lang"]: r["v"] for r in found.where("place < 0").groupBy("lang").agg(F.sum("terms").alias("v")).collect()}
-    sums = spark.sparkContext.broadcast((size, terms))
+    added = found.groupBy("lang", "place").agg(F.sum("total").alias("n"), F.sum("terms").alias("v")).collect()  # a row a group
+    size = {r["place"]: r["n"] for r in added if r["place"] >= 0}
+    whole = {r["lang"]: r["n"] for r in added if r["place"] < 0}
+    terms = {r["lang"]: r["v"] for r in added if r["place"] < 0}
+    sums = spark.sparkContext.broadcast((size, terms, whole))
     name = spark.createDataFrame([(i, lang, source) for i, (lang, source) in enumerate(groups)], "place int, lang string, source string")
     other = name.select(F.col("place").alias("other"), "lang", F.col("source").alias("item"))
     pairs = name.join(other, "lang").where("place <> other")

@@ -11,11 +11,14 @@ or a whole token of its class or id is menu, footer, sidebar, advert, form or
 comments) or ``OPEN``. A shared line stays only if it is CONTENT: neighbouring
 articles repeat passages. A line of the page's own goes only if it is CHROME:
 menus and adverts may differ from page to page. Doubtful elements (a header in
-an article, a class of ``notice``) are ``OPEN``. ``html`` and ``body`` are never
+an article, a class of ``notice``) are ``OPEN``. A name that holds such a word
+beside others (``comments-area``, ``ad-slot``) is chrome if it names comments, and
+``LIKELY`` else: of those lines a shared one goes, and of the page's own all but
+long sentences; ``no-sidebar`` and its like name nothing. ``html`` and ``body`` are never
 chrome, nor is another element that holds most of the page's text, unless it
 stands beside an article and is no form; nor is one around an article, unless
-its tag names chrome. ``n_lines`` and ``n_shared`` count a page's lines and those
-deleted because the neighbour has them.
+its tag names chrome. ``n_lines`` counts a page's lines, ``n_shared`` those that go
+and that the neighbour has, ``n_decided`` those of them that would stay without it.
 
 The sorted sequence is cut into ranges of about equal bytes at sampled keys, one
 a task. The page at a cut goes to the range before it, where its predecessor is,
@@ -45,7 +48,9 @@ from pyspark.sql import functions as F
 from .runtime import map_stream
 from .url_filter import split_url
 
-OPEN, CONTENT, CHROME = 0, 1, 2
+OPEN, CONTENT, CHROME, LIKELY = 0, 1, 2, 3
+#: Words of a sentence that is no slogan.
+SENTENCE = 12
 #: Sampled keys (expected number) for each range of the sorted pages.
 SAMPLES_PER_RANGE = 24
 
@@ -67,6 +72,9 @@ CHROME_WORDS = frozenset(
     "nav navbar navigation masthead sidebar ad ads advert adverts advertisement advertising cookie cookies consent "
     "breadcrumb breadcrumbs comment comments commentlist disqus respond newsletter login signup pagination pager".split()
 )
+#: Words that name reader comments, also beside others in a name; and words that say that a part is not there.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
+DENYING_WORDS = frozenset("no not non without has with hide hidden".split())
 #: Words, and tags inside content, that may as well name a part of the main text; the difference decides on these.
 DOUBTFUL_WORDS = frozenset(
     "menu header footer aside banner promo sponsor sponsored notice notification alert popup modal overlay share sharing "
@@ -75,11 +83,25 @@ DOUBTFUL_WORDS = frozenset(
 DOUBTFUL_TAGS = frozenset("header footer aside".split())
 #: Never chrome; and tags that name chrome, so that an article inside shows them unclosed.
 PAGE_TAGS = frozenset("html body".split())
+CONTENT_TAGS = frozenset("article main".split())
 NAMING_TAGS = CHROME_TAGS - {"form"}
 
 
+def _compound_role(tokens: list[str]) -> int | None:
+    """What a word of chrome within a longer name says."""
+    found = None
+    for token in tokens:
+        parts = re.split(r"[-_]+", token)
+        if len(parts) > 1 and DENYING_WORDS.isdisjoint(parts):
+            if not COMMENT_WORDS.isdisjoint(parts):
+                return CHROME
+            if not CHROME_WORDS.isdisjoint(parts):
+                found = LIKELY
+    return found
+
+
 def _role_of(tag: str, attrs: str, in_content: bool) -> int | None:
-    """``CHROME``, ``OPEN`` if in doubt, or None for an element that says nothing."""
+    """``CHROME``, ``LIKELY``, ``OPEN`` if in doubt, or None for an element that says nothing."""
     if tag in PAGE_TAGS:
         return None
     if tag in CHROME_TAGS:
@@ -93,7 +115,12 @@ def _role_of(tag: str, attrs: str, in_content: bool) -> int | None:
             tokens = value.split()
             if not CHROME_WORDS.isdisjoint(tokens):
                 return CHROME
-            if not DOUBTFUL_WORDS.isdisjoint(tokens):
+            compound = _compound_role(tokens) if tag not in CONTENT_TAGS else None
+            if compound == CHROME:
+                return CHROME
+            if compound is not None:
+                doubt = compound
+            elif doubt is None and not DOUBTFUL_WORDS.isdisjoint(tokens):
                 doubt = OPEN
         elif name == "role" and value in CHROME_ROLES or name == "hidden":
             return CHROME
@@ -190,9 +217,9 @@ def lines(page: str | None) -> list[tuple[int, str]]:
     kinds: dict[_Marked | None, int | None] = {None: None}
     for e in marked:  # those outside come first
         large = e.chars * 2 > total and (e.inside or e.tag == "form" or not beside)
-        role = None if e.exempt or large and e.role == CHROME else e.role
+        role = None if e.exempt or large and e.role in (CHROME, LIKELY) else e.role
         outer = kinds[e.outer]
-        kinds[e] = CHROME if CHROME in (outer, role) else role if outer is None else outer
+        kinds[e] = next((k for k in (CHROME, LIKELY) if k in (outer, role)), role if outer is None else outer)
     return [(CONTENT if kinds[e] is None and inside else OPEN if kinds[e] is None else kinds[e], text) for e, inside, text in found]
 
 
@@ -258,12 +285,17 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def main_text(kinds: list[int], marks: list[int], texts: list[str], other: list[int] | None) -> tuple[str, int]:
-    """The text that stays of a page beside the line hashes of its neighbour, and the number of shared lines deleted."""
+def is_sentence(text: str) -> bool:
+    return text.rstrip("\"'»”’)").endswith((".", "!", "?", "…")) and text.count(" ") >= SENTENCE - 1
+
+
+def main_text(kinds: list[int], marks: list[int], texts: list[str], other: list[int] | None) -> tuple[str, int, int]:
+    """The text that stays of a page beside the line hashes of its neighbour, the number of shared lines deleted, and of those among them that would stay alone."""
     both = shared(marks, other) if other else set()
-    gone = [k != CONTENT if i in both else k == CHROME for i, k in enumerate(kinds)]
+    alone = [k == CHROME or k == LIKELY and not is_sentence(t) for k, t in zip(kinds, texts, strict=True)]
+    gone = [kinds[i] != CONTENT if i in both else g for i, g in enumerate(alone)]
     text = " ".join(t for t, g in zip(texts, gone, strict=True) if not g)
-    return text, sum(gone[i] for i in both)
+    return text, sum(gone[i] for i in both), sum(gone[i] and not alone[i] for i in both)
 
 
 def _cuts(keys: DataFrame, ranges: int) -> list[tuple[tuple, bool]]:
@@ -292,7 +324,7 @@ def _cuts(keys: DataFrame, ranges: int) -> list[tuple[tuple, bool]]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, n_lines, n_shared) of each page."""
+    """(page_id, url, text, n_chars, n_lines, n_shared, n_decided) of each page."""
     host, path = split_url(pages[url_col].cast("string"))
     page_id = pages[id_col].cast("long")
     key = [
@@ -339,7 +371,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     order = ["range", "host", "path", "has_id", "id", "mark", "url"]
     dealt = lined.repartitionById(len(found) + 1, F.col("range")).sortWithinPartitions(*order)
 
-    result = ("page_id", "url", "text", "n_chars", "n_lines", "n_shared")
+    result = ("page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_decided")
 
     def make_pairs():
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -347,13 +379,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             waiting: dict | None = None  # the first row of a host, until the next row is here
 
             def emit(out: dict[str, list], row: dict, other: list[int] | None) -> None:
-                text, n_shared = main_text(row["kinds"], row["marks"], row["texts"], other)
+                text, n_shared, n_decided = main_text(row["kinds"], row["marks"], row["texts"], other)
                 out["page_id"].append(row["id"] if row["has_id"] else None)
                 out["url"].append(row["url"])
                 out["text"].append(text)
                 out["n_chars"].append(len(text))
                 out["n_lines"].append(len(row["kinds"]))
                 out["n_shared"].append(n_shared)
+                out["n_decided"].append(n_decided)
 
             for c in batches:
                 out: dict[str, list] = {n: [] for n in result}
@@ -377,4 +410,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return run
 
-    return map_stream(dealt.select(*names), make_pairs, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long")
+    return map_stream(dealt.select(*names), make_pairs, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_decided long")

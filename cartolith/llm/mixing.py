@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, map_stream
+from .runtime import cut, free_names, map_stream
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, CAP = 1.5, 2.0
@@ -300,15 +300,15 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     Rows of equal id and text share the sum of their copies, dealt evenly.
     """
     per_row = cut(mixed.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
-    wanted = per_row.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("mark").alias("__mix_mark"), F.col("copies").alias("__mix_copies"), F.col("rows").alias("__mix_rows"))
-    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    names = docs.columns
-    one = docs.withColumn("__mix_text_mark", mark).join(
-        wanted, docs[id_col].cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_text_mark") == F.col("__mix_mark"))
+    own_id, own_mark, copies, repeats, mark, copy = free_names(docs, "own_id", "own_mark", "copies", "repeats", "mark", "copy")
+    wanted = per_row.where("copies > 0").select(
+        F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), F.col("copies").alias(copies), F.col("rows").alias(repeats)
     )
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    one = marked.join(wanted, marked[id_col].cast("long").eqNullSafe(wanted[own_id]) & (marked[mark] == wanted[own_mark]))
     if per_row.where("rows > 1 and copies > 0").isEmpty():
         rows = one
     else:  # rows that repeat: one of them stands for all
-        again = one.where("__mix_rows > 1").dropDuplicates(["__mix_id", "__mix_mark"])
-        rows = one.where("__mix_rows = 1").unionByName(again)
-    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*names)
+        again = one.where(F.col(repeats) > 1).dropDuplicates([own_id, own_mark])
+        rows = one.where(F.col(repeats) == 1).unionByName(again)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

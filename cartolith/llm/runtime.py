@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(f"{n}_{i}" for i in range(len(taken) + 1) if f"{n}_{i}" not in taken) for n in names]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in a folder ``name-*`` of the shared folder, computed once."""
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -104,6 +110,7 @@ def map_arrays(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ({n: b.column(i) for i, n in enumerate(names)} for b in batches)
         for out in make()(columns):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
+            made = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays(made, schema=fields)
 
     return df.mapInArrow(run, schema)

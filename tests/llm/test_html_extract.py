@@ -34,7 +34,7 @@ def test_lines():
     assert [t for k, t in H.lines(page) if k == H.OPEN] == ["tail"]
     assert H.lines(None) == H.lines("") == []
     assert H.lines("<<p a='>x<") != [] and H.lines("<p " + "a=\"" * 20000)  # broken html ends
-    assert H.main_text(*[[] for _ in range(3)], None) == ("", 0)
+    assert H.main_text(*[[] for _ in range(3)], None) == ("", 0, 0)
 
 
 def page(lines, article=False):
@@ -145,3 +145,17 @@ def test_text_of_formulas_and_long_pages_stays(spark):
     long = "".join(f"<p>line {i}</p>" for i in range(30_000))
     found = rows(H.extract(pages(spark, [(1, "http://h/1", long + "<p>a</p>"), (2, "http://h/2", long + "<p>b</p>")])), "page_id", "text", "n_shared")
     assert found == [(1, "a", 30_000), (2, "b", 30_000)]
+
+
+def test_compound_names_of_adverts_and_comments(spark):
+    page = "<article><h1>T</h1><p>alpha beta</p><div class='ad-slot'>{}</div><div class='comments-area'><p>{}</p></div></article>"
+    one = lambda *x: [(1, "http://h/1", page.format(*x))]
+    found = lambda items: rows(H.extract(pages(spark, items)), "page_id", "text", "n_decided")
+    assert found(one("Buy shoes", "I agree")) == [(1, "T alpha beta", 0)]
+    assert found(one("Buy shoes", "I agree") + [(2, "http://h/2", page.format("Buy shoes", "I agree"))]) == [(1, "T alpha beta", 0), (2, "T alpha beta", 0)]
+    prose = "In this part of the article an aside tells at some length what ad hoc means."
+    mine = one(prose, "I agree with each and every word that has been said here so far, dear friend.")
+    assert found(mine) == [(1, f"T alpha beta {prose}", 0)]
+    assert found([*mine, (2, "http://h/2", page.format(prose, "no"))]) == [(1, "T alpha beta", 1), (2, "T alpha beta", 1)]
+    kinds = lambda c: [k for k, t in H.lines(f"<article><p>a long paragraph of text</p><div class='{c}'>x</div></article>") if t == "x"]
+    assert [kinds(c) for c in ("cookie-banner", "comment_list", "no-comments", "hero has-ad", "adhoc")] == [[H.LIKELY], [H.CHROME], [H.CONTENT], [H.CONTENT], [H.CONTENT]]

@@ -163,3 +163,50 @@ def test_components_of_long_paths(spark):
     found = components.connected_components(spark.createDataFrame(links, "a long, b long"))
     assert rows(found, "node", "root") == [(i, 0 if i <= 30 else 31) for i in range(61)]
     assert rows(components.connected_components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_small_tables_compare_no_more_than_all_pairs():
+    for count in (10, 9_296, 30_000, 100_000, 10**6):
+        masks = S.bucket_masks(count, 4)
+        each = 1 << max(m.bit_count() for m in masks)
+        assert len(masks) * count * (count / each) <= count * count / (1 if masks == [0] else 2)
+    assert S.bucket_masks(9_296, 4) == [0] and len(S.bucket_masks(10**6, 4)) == 5
+
+
+def similar(r, words, share):
+    """The words with some replaced, so that about ``share`` of all 5-word shingles agree."""
+    out = list(words)
+    for i in r.sample(range(len(out)), round(len(out) * (1 - share) / (1 + share) / 4.6)):
+        out[i] = f"new{r.random()}"
+    return out
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_recall_of_near_copies_through_bands(spark, monkeypatch):
+    r = random.Random(12)
+    base = [[f"w{r.randint(0, 3000)}" for _ in range(r.randint(150, 400))] for _ in range(400)]
+    copies = [similar(r, b, r.uniform(0.82, 0.95)) for b in base]
+    near = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(base, copies, strict=True)]
+    docs = documents(spark, [" ".join(t) for t in [*base, *copies]])
+    for rows_, hot in ((16, 1 << 17), (16, 20), (1 << 15, 1 << 17)):
+        monkeypatch.setattr(S, "BAND_ROWS", rows_)
+        monkeypatch.setattr(S, "HOT_ROWS", hot)
+        kept = {x["doc_id"] for x in S.keep_one(docs).collect()}
+        assert kept >= set(range(400))  # no clean document goes
+        wanted = [i for i, x in enumerate(near) if x >= 0.8]
+        recall = sum(400 + i not in kept for i in wanted) / len(wanted)
+        print(f"near copies of similarity 0.8 or more: {len(wanted)}, found {recall:.3f}")
+        assert len(wanted) > 300 and recall >= 0.9
+    assert all(len(S.bands(n)) <= 21 for n in (10**5, 10**8, 10**10))
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs = documents(spark, ["a b c d e f", "a b c d e f", "x"])
+    names = ["text_hash_0", "own_id_0", "__text_hash__", "own_hash_0"]
+    for n in names:
+        docs = docs.withColumn(n, S.F.lit(n))
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(x[n] for n in names) for x in kept.collect()} == {tuple(names)} and kept.count() == 2

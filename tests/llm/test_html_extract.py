@@ -154,8 +154,10 @@ def test_compound_names_of_adverts_and_comments(spark):
     assert found(one("Buy shoes", "I agree")) == [(1, "T alpha beta", 0)]
     assert found(one("Buy shoes", "I agree") + [(2, "http://h/2", page.format("Buy shoes", "I agree"))]) == [(1, "T alpha beta", 0), (2, "T alpha beta", 0)]
     prose = "In this part of the article an aside tells at some length what ad hoc means."
-    mine = one(prose, "I agree with each and every word that has been said here so far, dear friend.")
-    assert found(mine) == [(1, f"T alpha beta {prose}", 0)]
-    assert found([*mine, (2, "http://h/2", page.format(prose, "no"))]) == [(1, "T alpha beta", 1), (2, "T alpha beta", 1)]
+    body = "alpha beta, and so on for more than half of what the page says. " * 4
+    long = lambda i, *x: (i, f"http://h/{i}", page.replace("alpha beta", body).format(*x))
+    mine = long(1, prose, "I agree with each and every word that has been said here so far, dear friend.")
+    assert found([mine]) == [(1, f"T {body}{prose}", 0)]
+    assert found([mine, long(2, prose, "no")]) == [(1, f"T {body.strip()}", 1), (2, f"T {body.strip()}", 1)]
     kinds = lambda c: [k for k, t in H.lines(f"<article><p>a long paragraph of text</p><div class='{c}'>x</div></article>") if t == "x"]
     assert [kinds(c) for c in ("cookie-banner", "comment_list", "no-comments", "hero has-ad", "adhoc")] == [[H.LIKELY], [H.CHROME], [H.CONTENT], [H.CONTENT], [H.CONTENT]]

@@ -182,16 +182,17 @@ def _unpacked(data: bytes, terms: int) -> np.ndarray:
     return np.frombuffer(plain, np.int64 if len(plain) > 4 * terms else np.int32).astype(np.int64)
 
 
-def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, block, place, terms, total, counts, names): a compressed vector of each group in each block of terms.
+def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MIN_DOCS, seats: int = SEATS) -> DataFrame:
+    """(lang, block, place, seat, seats, terms, total, counts, names): a compressed vector of each group in each block of terms.
 
-    The language's own has place -1, and the terms' ``names``, in the order of their bytes.
+    ``seat`` is the group's on its language's ring of ``seats``. The language's own
+    vector has place -1, and the terms' ``names``, in the order of their bytes.
     """
     blocks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "lang", "block").sortWithinPartitions("lang", "block", "term")
     shared = counts.sparkSession.sparkContext.broadcast(list(_spans(groups).values()))
-    names = ("lang", "block", "place", "terms", "total", "counts", "names")
+    names = ("lang", "block", "place", "seat", "seats", "terms", "total", "counts", "names")
 
     def make():
         spans = shared.value
@@ -211,6 +212,7 @@ def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MI
             order = np.argsort(place, kind="stable")
             place, at, size = place[order], at[order], size[order]
             span = spans[lang]
+            ring = min(seats, len(span))
             edge = np.searchsorted(place, np.arange(span.start, span.stop + 1))
             total = np.zeros(n, np.int64)
             out: dict[str, list] = {x: [] for x in names}
@@ -223,12 +225,12 @@ def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MI
                 part, mine = slice(edge[i], edge[i + 1]), np.zeros(n, np.int64)
                 np.add.at(mine, at[part], size[part])
                 total += mine
-                add(lang, number, g, n, int(mine.sum()), _packed(mine), None)
+                add(lang, number, g, i % ring, ring, n, int(mine.sum()), _packed(mine), None)
                 if len(out["lang"]) == _VECTORS:
                     yield out
                     out = {x: [] for x in names}
             spelt = coded.dictionary.filter(pa.array(kept)).to_pylist()
-            add(lang, number, -1, n, int(total.sum()), _packed(total), zlib.compress("\n".join(spelt).encode(), 1))
+            add(lang, number, -1, 0, ring, n, int(total.sum()), _packed(total), zlib.compress("\n".join(spelt).encode(), 1))
             yield out
 
         def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, list]]:
@@ -248,7 +250,7 @@ def vectors(counts: DataFrame, groups: list[tuple[str, str]], min_docs: int = MI
 
         return run
 
-    schema = "lang int, block int, place int, terms long, total long, counts binary, names binary"
+    schema = "lang int, block int, place int, seat int, seats int, terms long, total long, counts binary, names binary"
     return map_arrays(dealt.select("lang", "block", "term", "docs", "places", "counts"), make, schema)
 
 
@@ -275,9 +277,7 @@ def _meetings(met: DataFrame, sums) -> DataFrame:
 
 def rotate(found: DataFrame, groups: list[tuple[str, str]], sums, seats: int = SEATS) -> DataFrame:
     """(place, other, value) of all ordered pairs of groups of one language that has terms."""
-    ring = [(i, (i - s.start) % (n := min(seats, len(s))), n) for s in _spans(groups).values() for i in s]
-    spark = found.sparkSession
-    own = found.where("place >= 0").join(spark.createDataFrame(ring, "place int, seat int, seats int"), "place")
+    spark, own = found.sparkSession, found.where("place >= 0")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     resident = own.select("lang", "block", "seat", F.col("place").alias("a"), "terms", "counts").repartition(parts, "lang", "block", "seat").persist()
 
@@ -293,7 +293,7 @@ def rotate(found: DataFrame, groups: list[tuple[str, str]], sums, seats: int = S
             apart = F.col("a") < F.col("b")
         return resident.join(on, ["lang", "block", "seat"]).where(apart).select("a", "b", "lang", "terms", "counts", "others")
 
-    last = max((n for _, _, n in ring), default=0) // 2
+    last = min(seats, max(map(len, _spans(groups).values()), default=0)) // 2
     waves = [range(r, min(r + WAVE, last + 1)) for r in range(0, last + 1, WAVE)]
     try:
         rounds = reduce(DataFrame.unionByName, [cut(_meetings(reduce(DataFrame.unionByName, map(met, wave)), sums)) for wave in waves])
@@ -361,7 +361,7 @@ def audit(
         docs[text_col].cast("string").cast("binary").alias("text"),
     )
     groups = _groups(named)
-    found = stored(vectors(term_counts(named, groups), groups, min_docs), "divergence")
+    found = stored(vectors(term_counts(named, groups), groups, min_docs, seats), "divergence")
     added = found.groupBy("lang", "place").agg(F.sum("total").alias("n"), F.sum("terms").alias("v")).collect()  # a row a group
     size = {r["place"]: r["n"] for r in added if r["place"] >= 0}
     whole = {r["lang"]: r["n"] for r in added if r["place"] < 0}

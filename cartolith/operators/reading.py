@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.functions import names as N
 from cartolith.plans.graph import Graph
+from cartolith.plans.lineage import cut
 
 from .entrypoints import entry_points
 from .health import fan_in_out
@@ -70,19 +76,63 @@ def module_blocks(graph: Graph) -> DataFrame:
     return top.join(lines, "module_id", "left").select("module_id", F.concat(text, F.lit("\n")).alias("block"))
 
 
-def within_budget(blocks: DataFrame, budget: int, used: int = 0) -> DataFrame:
-    """(position, id, size, included) of ``blocks(position, id, size)``: a block too large is skipped, later ones may still fit.
+#: Blocks of a range that is judged as a whole first.
+RANGE_ROWS = 65_536
 
-    What is used depends on each choice before, so the sizes of all blocks, in
-    order, are folded in one expression.
-    """
-    ordered = blocks.agg(F.array_sort(F.collect_list(F.struct("position", "id", F.col("size").cast("long").alias("size")))).alias("all"))
-    start = F.struct(F.lit(used).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
 
-    def step(acc, x):
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+def _taken(sizes: list[int], used: int, budget: int) -> tuple[list[bool], int]:
+    """Which blocks of a list fit, one after the other, and what is used then."""
+    out = []
+    for size in sizes:
+        out.append(used + size <= budget)
+        used += size if out[-1] else 0
+    return out, used
+
 
-    folded = ordered.select("all", F.aggregate("all", start, step)["taken"].alias("taken"))
-    rows = folded.select(F.explode(F.arrays_zip("all", "taken")).alias("r"))
-    return rows.select("r.all.position", "r.all.id", "r.all.size", F.col("r.taken").alias("included"))
+def within_budget(blocks: DataFrame, budget: int, used: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(position, id, size, included) of ``blocks(position, id, size)``: a block too large is skipped, later ones may still fit.
+
+    What is used depends on each choice before. The blocks are dealt into ranges
+    in order, and the driver goes over what these add up to (a row a range): a
+    range whose total still fits is taken whole, one whose least block does not is
+    skipped whole. Only a range between the two is gone through, by one task, a
+    block at a time, before the next one is judged; it takes one block at least,
+    so that the budget bounds how many are. A last pass marks all ranges at once.
+    """
+    narrow = blocks.select("position", "id", F.col("size").cast("long").alias("size"))
+    ranges = max(1, -(-narrow.count() // range_rows))
+    dealt = cut(narrow.repartitionByRange(ranges, "position", "id").sortWithinPartitions("position", "id").withColumn("range", F.spark_partition_id()))
+    begin: dict[int, int | None] = {}  # what is used where a range begins that is gone through; None: skipped
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = used
+        for b in batches:
+            _, now = _taken(b.column("size").to_pylist(), now, budget)
+        yield pa.RecordBatch.from_pydict({"used": [now]})
+
+    for r in dealt.groupBy("range").agg(F.min("size").alias("least"), F.sum("size").alias("total")).orderBy("range").collect():
+        begin[r["range"]] = used if used + r["least"] <= budget else None
+        if used + r["total"] <= budget:
+            used += r["total"]
+        elif begin[r["range"]] is not None:
+            could = dealt.where((F.col("range") == r["range"]) & (F.col("size") <= budget - used)).select("size")
+            used = could.mapInArrow(last, "used long").agg(F.max("used").alias("used")).first()["used"]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, now = None, None
+        for b in batches:
+            numbers, sizes, out = b.column("range").to_pylist(), b.column("size").to_pylist(), []
+            at = 0
+            while at < len(numbers):  # a task may hold some ranges, one after the other
+                end = bisect_right(numbers, numbers[at], at)
+                if numbers[at] != place:
+                    place, now = numbers[at], begin[numbers[at]]
+                if now is None:
+                    out += [False] * (end - at)
+                else:
+                    took, now = _taken(sizes[at:end], now, budget)
+                    out += took
+                at = end
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("position", "id", "size")), pa.array(out, pa.bool_())], names=["position", "id", "size", "included"])
+
+    return dealt.mapInArrow(marked, T.StructType([*dealt.drop("range").schema.fields, T.StructField("included", T.BooleanType())]))

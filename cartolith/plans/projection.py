@@ -3,7 +3,10 @@
 The same SQL runs on Spark, where table names in braces are DataFrames, and on
 DuckDB, where they are views, so that oracles can start from the same graph.
 Regions are subprojects, suppliers modules, brands within a supplier classes,
-parts methods; successive lines of an order link suppliers and parts.
+parts methods. Each line of an order that has a next one is a link: most are
+calls between their parts; lines to every seventh part, and those of one
+quantity, relate classes, so that some methods are called by none; the returned
+or accepted lines of the largest quantity are imports, or links of subprojects.
 """
 
 from __future__ import annotations
@@ -84,16 +87,19 @@ STEPS: dict[str, str] = {
                lead(l_suppkey) OVER w AS s2, lead(l_partkey) OVER w AS p2, l_linenumber AS ln
         FROM {lineitem}
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)""",
+    "link": """
+        SELECT *, CASE WHEN q >= 50 AND flag <> 'N' THEN 'module' WHEN q = 7 OR p2 % 7 = 0 THEN 'class' ELSE 'call' END AS level
+        FROM {line} WHERE s2 IS NOT NULL""",
     "raw_edge": """
         SELECT a.id AS source, b.id AS target, 'imports' AS kind, CASE WHEN st = 'O' THEN 'inferred' ELSE 'certain' END AS certainty, a.file, ln
-        FROM {line} JOIN {module} a ON s1 = a.k JOIN {module} b ON s2 = b.k WHERE q >= 50 AND flag = 'R'
+        FROM {link} JOIN {module} a ON s1 = a.k JOIN {module} b ON s2 = b.k WHERE level = 'module' AND (flag = 'R' OR a.sub = b.sub)
         UNION ALL
         SELECT a.class_id || '.' || a.name, b.class_id || '.' || b.name, 'calls', CASE WHEN st = 'O' THEN 'inferred' ELSE 'certain' END, a.file, ln
-        FROM {line} JOIN {member} a ON p1 = a.k JOIN {member} b ON p2 = b.k WHERE q >= 49
+        FROM {link} JOIN {member} a ON p1 = a.k JOIN {member} b ON p2 = b.k WHERE level = 'call'
         UNION ALL
         SELECT a.class_id, b.class_id, CASE WHEN flag = 'A' THEN 'inherits' WHEN flag = 'N' AND st = 'O' THEN 'composes' WHEN flag = 'N' THEN 'aggregates' ELSE 'associates' END,
                'certain', a.file, ln
-        FROM {line} JOIN {member} a ON p1 = a.k JOIN {member} b ON p2 = b.k WHERE q = 7
+        FROM {link} JOIN {member} a ON p1 = a.k JOIN {member} b ON p2 = b.k WHERE level = 'class'
         UNION ALL
         SELECT c.id, d.id, 'composes', 'certain', c.file, 1 FROM {class} c JOIN {class} d ON c.k % 50 = 8 AND d.k = c.k - 1
         UNION ALL
@@ -105,7 +111,7 @@ STEPS: dict[str, str] = {
         FROM {member} a JOIN {member} b ON a.k % 50 = 8 AND b.k = a.k - 1
         UNION ALL
         SELECT DISTINCT a.sub, b.sub, 'service_dep', 'certain', CAST(NULL AS VARCHAR(9)), CAST(NULL AS INT)
-        FROM {line} JOIN {module} a ON s1 = a.k JOIN {module} b ON s2 = b.k WHERE q >= 50 AND flag = 'A' AND a.sub <> b.sub""",
+        FROM {link} JOIN {module} a ON s1 = a.k JOIN {module} b ON s2 = b.k WHERE level = 'module' AND flag <> 'R' AND a.sub <> b.sub""",
     "edge": """
         SELECT source, target, kind, certainty, min(file) AS file, min(ln) AS line FROM {raw_edge} GROUP BY source, target, kind, certainty""",
     "skip": """

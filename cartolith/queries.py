@@ -451,7 +451,15 @@ def _(g):
     return reading.module_priority(g)
 
 
-@query("repomap_budget", None)
+@query("repomap_budget", f""", en AS (SELECT CASE WHEN q.kind = 'module' THEN q.id ELSE regexp_replace(q.parent, '[.][^.]*$', '') END AS id FROM entry JOIN q ON q.id = node_id),
+  pr AS (SELECT row_number() OVER (ORDER BY CASE WHEN module_id IN (SELECT id FROM en) THEN 0 ELSE 1 END, fan_in DESC, module_id) AS position, module_id FROM fan),
+  ty AS (SELECT id, parent, name, summary FROM q WHERE kind IN ('class', 'interface', 'enum') AND visibility = 'public'),
+  ln AS (SELECT parent AS module_id, 7 + length(name) + coalesce(3 + length(summary), 0) AS chars FROM ty
+    UNION ALL SELECT ty.parent, 7 + length(q.name) + length(q.signature) + coalesce(3 + length(q.summary), 0) FROM q JOIN ty ON q.parent = ty.id WHERE q.kind = 'method' AND q.visibility = 'public'),
+  sz AS (SELECT position, pr.module_id AS id, CAST(6 + length(qualname) + coalesce((SELECT sum(chars) FROM ln WHERE ln.module_id = pr.module_id), 0) AS BIGINT) AS size FROM pr JOIN mod ON mod.id = pr.module_id),
+  fold AS (SELECT CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS used, false AS included
+    UNION ALL SELECT sz.position, used + CASE WHEN used + size <= {reading.DEFAULT_BUDGET} THEN size ELSE 0 END, used + size <= {reading.DEFAULT_BUDGET} FROM fold JOIN sz ON sz.position = fold.position + 1)
+  SELECT position, id, size, included FROM sz JOIN fold USING (position)""")
 def _(g):
     blocks = reading.module_blocks(g).join(reading.module_priority(g), "module_id")
     sized = blocks.select("position", F.col("module_id").alias("id"), (F.length("block") + 1).alias("size"))

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from cartolith.plans.lineage import cut, ship_package
 
 from . import braces, python_facts
 from .config import Config
+from .listing import Wanted, list_tree, open_folder
+from .patterns import excluder  # noqa: F401  offered here as well
 
 
 @dataclass(frozen=True)
@@ -55,79 +56,19 @@ def register_language(name: str, extensions: Iterable[str], extract: Callable[[s
     LANGUAGES[name] = Language(tuple(extensions), extract, resolver)
 
 
-def glob_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression; ``*`` also crosses slashes."""
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        end = pattern.find("]", i + 2) if c == "[" else -1
-        if c == "*":
-            out += ".*"
-        elif c == "?":
-            out += "."
-        elif end > 0:
-            inner = pattern[i + 1 : end].replace("\\", "\\\\")
-            out += "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]"
-            i = end
-        else:
-            out += re.escape(c)
-        i += 1
-    return f"(?s:{out})$"
-
-
-def excluder(patterns: Iterable[str]) -> Callable[[str], bool]:
-    """A pattern fits the path; ``**/x/**`` also a folder x at any depth, other ones also the file's name."""
-    whole, folders, files = [], [], []
-    for p in patterns:
-        inner = p.removeprefix("**/")
-        whole.append(glob_regex(p))
-        (folders.append(glob_regex(inner.removesuffix("/**"))) if inner.endswith("/**") else files.append(glob_regex(inner)))
-    fits = [re.compile("|".join(x)) if x else None for x in (whole, folders, files)]
-
-    def excluded(path: str) -> bool:
-        *above, name = path.split("/")
-        return bool(
-            fits[0] and fits[0].match(path) or fits[1] and any(fits[1].match(x) for x in above) or fits[2] and fits[2].match(name)
-        )
-
-    return excluded
-
-
-def open_folder(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
+#: Files that a task reads.
+FILES_PER_TASK = 256
 
-def list_paths(root: str, patterns: Iterable[str]) -> list[str]:
-    """Relative paths of the source files and manifests below a folder; excluded folders are not entered.
 
-    Spark's own file sources leave out names that begin with an underscore,
-    package files among them, so the listing is by the file system itself.
-    """
-    fs, base = open_folder(root)
-    excluded = excluder(patterns)
+def wanted_files(patterns: Iterable[str]) -> Wanted:
+    """Source files of the known languages, and manifests, but for those that a pattern excludes."""
     known = tuple(e for language in LANGUAGES.values() for e in language.extensions)
-    manifests = {name for name, _ in MANIFESTS}
-    found, todo = [], [base.rstrip("/")]
-    while todo:
-        for info in fs.get_file_info(pafs.FileSelector(todo.pop())):
-            rel = info.path[len(base.rstrip("/")) + 1 :]
-            if info.type == pafs.FileType.Directory:
-                if not excluded(f"{rel}/x"):
-                    todo.append(info.path)
-            elif (rel.endswith(known) or info.base_name in manifests) and not excluded(rel):
-                found.append(rel)
-    return sorted(found)
+    return Wanted(tuple(patterns), known, tuple(name for name, _ in MANIFESTS))
 
 
-#: Files that a task reads.
-FILES_PER_TASK = 256
-
-
-def list_files(spark: SparkSession, root: str, patterns: Iterable[str]) -> DataFrame:
-    """(path, content, error) of the files below a folder, read by the executors; an unreadable one has an error."""
-    paths = [(p,) for p in list_paths(root, patterns)]
-    table = spark.createDataFrame(paths, "path string").repartition(max(1, -(-len(paths) // FILES_PER_TASK)))
-    ship_package(spark)
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """(path, content, error) of files below a folder, read by the executors; an unreadable one has an error."""
+    ship_package(paths.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_folder(root)
@@ -141,7 +82,18 @@ def list_files(spark: SparkSession, root: str, patterns: Iterable[str]) -> DataF
                     rows.append((path, None, f"lecture impossible : {e.strerror or e}"))
             yield pd.DataFrame(rows, columns=["path", "content", "error"])
 
-    return cut(table.mapInPandas(run, "path string, content binary, error string"))
+    return paths.mapInPandas(run, "path string, content binary, error string")
+
+
+def list_files(spark: SparkSession, root: str, patterns: Iterable[str]) -> DataFrame:
+    """(path, content, error) of the source files and manifests below a folder; excluded folders are not entered.
+
+    Spark's own file sources leave out names that begin with an underscore,
+    package files among them, so the listing is by the file system itself.
+    """
+    paths = list_tree(spark, root, wanted_files(patterns))
+    tasks = max(1, -(-paths.count() // FILES_PER_TASK))
+    return cut(read_files(paths.repartition(tasks), root))
 
 
 def sources(files: DataFrame, extensions: Iterable[str]) -> tuple[DataFrame, DataFrame]:
@@ -268,31 +220,46 @@ def facts_of(texts: DataFrame, language: str) -> DataFrame:
     return texts.select("sub", "path", "text").mapInPandas(run, python_facts.FACTS)
 
 
-def analyse(spark: SparkSession, root: str, config: Config | None = None, only: Iterable[str] | None = None) -> Graph:
-    """The graph of the sources below ``root``; ``only``: the subprojects to read, for an update."""
+def inner_roots(folder: str, roots: Iterable[str]) -> list[str]:
+    """Roots of other subprojects below a folder."""
+    return [r for r in roots if r != folder and (folder == "." or r.startswith(f"{folder}/"))]
+
+
+def unit_facts(files: DataFrame, sub: str, language: str, folder: str, roots: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """Facts of a unit's files, with paths below its folder, and (path, reason) of those that cannot be read."""
+    mine = files if folder == "." else files.where(F.col("path").startswith(f"{folder}/"))
+    for r in inner_roots(folder, roots):
+        mine = mine.where(~F.col("path").startswith(f"{r}/"))
+    good, bad = sources(mine, LANGUAGES[language].extensions)
+    cut_at = 1 if folder == "." else len(folder) + 2
+    return facts_of(good.select(F.lit(sub).alias("sub"), F.substring("path", F.lit(cut_at), F.length("path")).alias("path"), "text"), language), bad
+
+
+def resolved(facts: DataFrame, language: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and skipped files of a unit, with paths below the repository's root."""
+    found = LANGUAGES[language].resolver(facts)
+    prefix = F.lit("" if folder == "." else f"{folder}/")
+    place = F.when(F.col("location").isNotNull(), F.struct(F.concat(prefix, "location.file").alias("file"), F.col("location.line").alias("line")))
+    skipped = resolve.skipped_of(found.facts).select(F.concat(prefix, "path").alias("path"), "reason")
+    return found.nodes().withColumn("location", place), found.edges().withColumn("location", place), skipped
+
+
+def analyse(spark: SparkSession, root: str, config: Config | None = None, only: Iterable[str] | None = None, files: DataFrame | None = None) -> Graph:
+    """The graph of the sources below ``root``; ``only``: the subprojects to read, for an update; ``files``: as :func:`list_files` gave them."""
     config = config or Config()
-    files = list_files(spark, root, config.analysis.exclude)
+    files = list_files(spark, root, config.analysis.exclude) if files is None else files
     subs, units = plan_units(spark, files, config)
     if not units:
         raise NothingToAnalyse(f"aucun fichier analysable trouvé dans {root}")
     if only is not None:
         units = [u for u in units if u[0] in set(only)]
-    roots = [s[2] for s in subs]
     nodes, edges, skipped = [], [], []
     for sub, language, folder in units:
-        inner = [r for r in roots if r != folder and (folder == "." or r.startswith(f"{folder}/"))]
-        mine = files if folder == "." else files.where(F.col("path").startswith(f"{folder}/"))
-        for r in inner:
-            mine = mine.where(~F.col("path").startswith(f"{r}/"))
-        good, bad = sources(mine, LANGUAGES[language].extensions)
-        cut_at = 1 if folder == "." else len(folder) + 2
-        texts = good.select(F.lit(sub).alias("sub"), F.substring("path", F.lit(cut_at), F.length("path")).alias("path"), "text")
-        found = LANGUAGES[language].resolver(facts_of(texts, language))
-        prefix = F.lit("" if folder == "." else f"{folder}/")
-        place = F.when(F.col("location").isNotNull(), F.struct(F.concat(prefix, "location.file").alias("file"), F.col("location.line").alias("line")))
-        nodes.append(found.nodes().withColumn("location", place))
-        edges.append(found.edges().withColumn("location", place))
-        skipped += [resolve.skipped_of(found.facts).select(F.concat(prefix, "path").alias("path"), "reason"), bad]
+        facts, bad = unit_facts(files, sub, language, folder, [s[2] for s in subs])
+        own_nodes, own_edges, own_skipped = resolved(facts, language, folder)
+        nodes.append(own_nodes)
+        edges.append(own_edges)
+        skipped += [own_skipped, bad]
     name = root.rstrip("/").rpartition("/")[2]
     return assemble(spark, subs, nodes, edges, skipped, name)
 
@@ -304,6 +271,21 @@ def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
+def service_links(nodes: DataFrame, subprojects: DataFrame) -> DataFrame:
+    """Edges between subprojects."""
+    place = F.lit(None).cast("struct<file: string, line: int>")
+    return service_edges(nodes, subprojects).select(
+        "source", "target", F.lit("service_dep").alias("kind"), F.lit("certain").alias("certainty"), place.alias("location")
+    )
+
+
+def between_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both among the nodes."""
+    ids = nodes.select("id")
+    own = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return own.select("source", "target", "kind", "certainty", "location")
+
+
 def assemble(spark: SparkSession, subs: list[tuple], nodes: list[DataFrame], edges: list[DataFrame], skipped: list[DataFrame], root: str) -> Graph:
     """One graph from fragments, with the links between subprojects."""
     table = spark.createDataFrame(subs, SUBPROJECTS)
@@ -311,11 +293,5 @@ def assemble(spark: SparkSession, subs: list[tuple], nodes: list[DataFrame], edg
     for n in nodes[1:]:
         every = every.unionByName(n)
     every = cut(every)
-    links = service_edges(every, table).select(
-        "source", "target", F.lit("service_dep").alias("kind"), F.lit("certain").alias("certainty"), F.lit(None).cast("struct<file: string, line: int>").alias("location")
-    )
-    ids = every.select("id")
-    own = _union(edges, spark.createDataFrame([], EDGES))
-    own = own.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    own = own.select("source", "target", "kind", "certainty", "location")
-    return Graph(table, with_keys(every), cut(own.unionByName(links)), cut(_union(skipped, spark.createDataFrame([], SKIPPED))), root)
+    own = between_nodes(_union(edges, spark.createDataFrame([], EDGES)), every)
+    return Graph(table, with_keys(every), cut(own.unionByName(service_links(every, table))), cut(_union(skipped, spark.createDataFrame([], SKIPPED))), root)

@@ -2,8 +2,10 @@
 
 Nodes and most edges belong to one subproject, so a change rereads the
 subprojects that own changed files and keeps the rest; links between
-subprojects are made anew from all nodes. The result equals a cold run. Each
-version is a folder of its own; ``current`` names the last whole one.
+subprojects are made anew. The result equals a cold run. :func:`update` does so
+with a graph at hand; a :class:`Workshop` keeps its versions in a
+:class:`~cartolith.streaming.store.GraphStore`, which reads the changed files
+alone, and is fed by :func:`watch` or any other stream of paths.
 """
 
 from __future__ import annotations
@@ -12,24 +14,23 @@ import re
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.operators.flow import service_edges
 from cartolith.operators.lookup import owning_subproject
-from cartolith.plans import graph as G
 from cartolith.plans.graph import Graph
 from cartolith.plans.lineage import cut
-from cartolith.sources import repository
-from cartolith.sources.config import FILE, Config
+from cartolith.sources import listing, repository
+from cartolith.sources.config import Config
+from cartolith.sources.listing import Wanted
+
+from .store import GraphStore, is_structural
 
 #: Folders and endings whose changes do not matter, and the pause that gathers a burst.
 NOISE_FOLDERS = (".git", ".cartolith", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache")
 NOISE_ENDINGS = ("~", ".swp", ".swx", ".tmp", ".part")
 DEBOUNCE = "300 milliseconds"
-STRUCTURAL = frozenset({name for name, _ in repository.MANIFESTS} | {FILE})
 
 
 def is_noise(path: str) -> bool:
@@ -43,11 +44,6 @@ def without_noise(changes: DataFrame) -> DataFrame:
     return changes.where(~F.col("path").rlike(f"({ends})$") & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(f) for f in NOISE_FOLDERS])))
 
 
-def is_structural(path: str) -> bool:
-    """A manifest or the configuration may change which subprojects there are."""
-    return path.rsplit("/", 1)[-1] in STRUCTURAL
-
-
 def code_extensions() -> tuple[str, ...]:
     return tuple(e for language in repository.LANGUAGES.values() for e in language.extensions)
 
@@ -80,16 +76,14 @@ def update(graph: Graph | None, root: str, changed: Iterable[str] | None, spark:
     files = repository.list_files(spark, root, config.analysis.exclude)
     subs, units = repository.plan_units(spark, files, config)
     if not touched or {u[0] for u in units} != {r["subproject"] for r in graph.nodes.select("subproject").distinct().collect()}:
-        return repository.analyse(spark, root, config)
-    fresh = repository.analyse(spark, root, config, only=touched)
+        return repository.analyse(spark, root, config, files=files)
+    fresh = repository.analyse(spark, root, config, only=touched, files=files)
     sub_of = lambda c: F.substring_index(c, "/", 1)
     stays = ~F.col("subproject").isin(*touched)
     nodes = cut(graph.nodes.where(stays).unionByName(fresh.nodes))
     kept = graph.edges.where((F.col("kind") != "service_dep") & ~sub_of("source").isin(*touched))
     own = kept.unionByName(fresh.edges.where("kind <> 'service_dep'"))
-    links = service_edges(nodes, fresh.subprojects).select(
-        "source", "target", F.lit("service_dep").alias("kind"), F.lit("certain").alias("certainty"), F.lit(None).cast("struct<file: string, line: int>").alias("location")
-    )
+    links = repository.service_links(nodes, fresh.subprojects)
     owners = owning_subproject(graph.skipped, graph.subprojects) if len(subs) > 1 else None
     if owners is None:
         ends = tuple(e for u in units if u[0] in touched for e in repository.LANGUAGES[u[1]].extensions)
@@ -112,29 +106,24 @@ def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Workshop:
-    """Versions of a graph in a folder, kept up to date by batches of changed paths."""
+    """Versions of a graph in a store, kept up to date by batches of changed paths."""
 
     def __init__(self, spark: SparkSession, root: str, store: str, config: Config | None = None, listen: Callable[[str, object], None] | None = None) -> None:
-        self.spark, self.root, self.store, self.config = spark, root, Path(store), config or Config()
-        self.graph: Graph | None = None
-        self.token = 0
+        self.spark, self.root, self.config = spark, root, config or Config()
+        self.store = GraphStore(spark, store)
+        self.token = (self.store.versions() or [0])[-1]
         self.warned: set[str] = set()
         self.listen = listen or (lambda event, value: None)
 
     def build(self, changed: Iterable[str] | None = None) -> bool:
-        """Bring the graph up to date and save it; where that fails, the version before stays."""
+        """Bring the store up to date; where that fails, the version before stays."""
         start = time.monotonic()
         try:
-            graph = update(self.graph, self.root, changed, self.spark, self.config)
-            version = self.store / f"v{self.token + 1:06d}"
-            G.save(graph, f"file://{version.resolve()}")
+            self.token = self.store.update(self.root, changed, self.config)
         except Exception as e:  # a broken state of the sources must not end the session
             self.listen("error", str(e))
             return False
-        self.graph, self.token = graph, self.token + 1
-        (self.store / "current.part").write_text(version.name)
-        (self.store / "current.part").replace(self.store / "current")
-        for r in graph.skipped.orderBy("path").collect():
+        for r in self.current().skipped.orderBy("path").collect():
             if r["path"] not in self.warned:
                 self.warned.add(r["path"])
                 self.listen("warning", (r["path"], r["reason"]))
@@ -148,11 +137,16 @@ class Workshop:
             self.build(paths)
 
     def current(self) -> Graph:
-        version = (self.store / "current").read_text()
-        return G.load(self.spark, f"file://{(self.store / version).resolve()}")
+        return self.store.load()
 
 
 def follow(changes: DataFrame, workshop: Workshop, checkpoint: str, once: bool = False):
     """Feed a stream of ``path`` rows to a workshop; a trigger gathers what comes in a burst."""
     writer = changes.writeStream.foreachBatch(workshop.apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
+
+
+def watch(spark: SparkSession, root: str, state: str, config: Config | None = None, slices: int = 4) -> DataFrame:
+    """The stream of changed files below ``root`` that are not noise; ``state`` is a folder that all executors share."""
+    wanted = Wanted(patterns=(config or Config()).analysis.exclude, left_out=NOISE_FOLDERS, left_endings=NOISE_ENDINGS)
+    return listing.watch(spark, root, state, wanted, slices)

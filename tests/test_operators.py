@@ -127,3 +127,18 @@ def test_budget_and_tables(spark):
     nodes = spark.createDataFrame([("n", "f", 2, 9), ("z", "f", 9, 1), ("q", "none", 1, 1)], "id string, file string, line int, loc int")
     assert [(r["id"], r["code"], r["end_line"], r["truncated"]) for r in lookup.excerpts(nodes, files).collect()] == [("n", "b\nc", 3, False)]
     assert [(r["code"], r["truncated"]) for r in lookup.excerpts(nodes, files, 1).collect()] == [("b", True)]
+
+
+@pytest.mark.parametrize("range_rows", [1, 7, 40, 10**6])
+def test_budget_in_ranges_equals_one_fold(spark, range_rows):
+    r = random.Random(range_rows)
+    for top in (3, 60, 400):
+        sizes = [r.randint(1, top) for _ in range(120)]
+        used, want = 5, []
+        for k, size in enumerate(sizes):
+            want.append((k, f"b{k}", size, used + size <= 500))
+            used += size if want[-1][3] else 0
+        blocks = spark.createDataFrame([w[:3] for w in want], "position int, id string, size long").repartition(5)
+        got = reading.within_budget(blocks, 500, 5, range_rows)
+        assert sorted(tuple(x) for x in got.collect()) == want and got.columns == ["position", "id", "size", "included"]
+    assert reading.within_budget(blocks.limit(0), 500).collect() == []

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cartolith.operators import baseline, explorer, flow, health, kernels, lookup, packages, reading, render
+from cartolith.operators import baseline, explorer, flow, health, kernels, layers, lookup, packages, reading, render
 from cartolith.plans import graph as G
 
 
@@ -142,3 +142,18 @@ def test_budget_in_ranges_equals_one_fold(spark, range_rows):
         got = reading.within_budget(blocks, 500, 5, range_rows)
         assert sorted(tuple(x) for x in got.collect()) == want and got.columns == ["position", "id", "size", "included"]
     assert reading.within_budget(blocks.limit(0), 500).collect() == []
+
+
+def test_layout_by_joins_equals_the_one_on_arrays(spark, monkeypatch):
+    r = random.Random(4)
+    names = [f"n{i}" for i in range(18)]
+    links = {(r.choice(names[:14]), r.choice(names[:14])) for _ in range(12)} | {("n1", "n2"), ("n2", "n1"), ("n3", "n3")}
+    nodes = [{"id": f"s/{n}", "kind": "module", "name": n, "subproject": "s", "file": f"{n}.py"} for n in names]
+    g = G.from_rows(spark, nodes, [(f"s/{a}", f"s/{b}", "imports") for a, b in sorted(links)], [("s", "python", ".")])
+    small = {r["id"]: (r["x"], r["y"]) for r in explorer.layout(g).collect()}
+    assert small == explorer.positions_of([n["id"] for n in nodes], [(f"s/{a}", f"s/{b}") for a, b in links])
+    ranks = kernels.ranks_of(list(small), [(f"s/{a}", f"s/{b}") for a, b in links])
+    pairs = g.edges.select("source", "target")
+    assert {x["id"]: x["rank"] for x in layers.longest_path_ranks(g.modules.select("id"), pairs).collect()} == ranks and max(ranks.values()) > 1
+    monkeypatch.setattr(kernels, "LOCAL_EDGES", 5)
+    assert {x["id"]: (x["x"], x["y"]) for x in explorer.layout(g).collect()} == small

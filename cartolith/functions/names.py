@@ -103,12 +103,6 @@ def anchor(name: Column) -> Column:
     return F.lower(name)
 
 
-def diagram_label(text: Column) -> Column:
-    """A type or signature as class diagrams show it."""
-    cut = F.regexp_replace(text, r"\s*=\s*[^,)]+", "")
-    return F.regexp_replace(F.translate(cut, "[]", "~~"), r"\|", " / ")
-
-
 def natural_key(label: Column) -> Column:
     """An array by which v10 comes after v2: runs of digits are padded."""
     parts = F.regexp_extract_all(label, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))

@@ -41,3 +41,30 @@ def test_stages_like_plain_python(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() == len(kept[4]) and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
     assert langid.held_out(final["doc_id"]) is not None
+
+
+def test_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_repeated_rows_and_a_long_text(spark, tmp_path):
+    texts, langs = corpus(120)
+    texts[7] = " ".join(texts[k] for k in range(0, len(texts), 4)) * 30  # one language, long
+    langs[7] = langs[0]
+    rows = [(i, t, la, "s", 1, "h", i, 2.5, i) for i, (t, la) in enumerate(zip(texts, langs, strict=True))]
+    rows += [rows[3]] * 3 + [(None, *rows[5][1:])] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __text_hash__ string, own_id_0 long, copies_0 double, mark_0 long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        names, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    found = docs.collect()
+    assert found and all(r["__text_hash__"] == "h" and r["copies_0"] == 2.5 and r["own_id_0"] == r["mark_0"] for r in found)
+    assert {len(r["text"]) for r in found if r["doc_id"] == 7} <= {len(texts[7])} and None not in {r["doc_id"] for r in found}
+    deduped = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/1").collect()]
+    assert len(deduped) == len(set(deduped))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import difflib
+import math
 import tomllib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -22,6 +24,9 @@ class ConfigError(ValueError):
     """An unknown key, a wrong type or a value out of its domain."""
 
 
+# The sections, their keys and what is usual.
+
+
 @dataclass(frozen=True)
 class Project:
     title: str = ""
@@ -99,56 +104,55 @@ class Config:
     explorer: Explorer = field(default_factory=Explorer)
 
 
-def _unknown(name: str, known: list[str], where: str) -> ConfigError:
-    near = difflib.get_close_matches(name, known, 1)
+def _unknown(name: str, known: Iterable[str], where: str) -> ConfigError:
+    near = difflib.get_close_matches(name, list(known), 1)
     return ConfigError(f"unknown {where} {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
 
 
-def _coerced(where: str, value: Any, default: Any) -> Any:
-    if isinstance(default, tuple):
-        if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
-            raise ConfigError(f"{where} must be a list of strings")
-        return tuple(value)
-    if isinstance(default, bool) != isinstance(value, bool) or not isinstance(value, type(default)):
-        raise ConfigError(f"{where} must be of type {type(default).__name__}")
-    return value
+def _from(low: int, high: float = math.inf) -> Callable[[Any], bool]:
+    return lambda x: low <= x <= high
+
+
+#: The domains of settings, and how they are said.
+DOMAINS: dict[str, tuple[Callable[[Any], bool], str]] = {
+    "project.language": (("en", "fr").__contains__, "en or fr"),
+    "graphs.call_depth": (_from(1), "1 at least"),
+    "graphs.focus_depth": (_from(1), "1 at least"),
+    "metrics.doc_coverage_warn": (_from(0, 100), "a per cent"),
+    "check.min_doc_coverage": (_from(-1, 100), "a per cent, or -1"),
+    "check.max_doc_coverage_drop": (_from(-1, 100), "points from 0 to 100, or -1"),
+    "export.budget": (_from(2000), "2000 at least"),
+    "explorer.default_metric": (METRICS.__contains__, f"one of {', '.join(METRICS)}"),
+}
 
 
-def _domains(c: Config) -> None:
-    rules = [
-        (c.project.language in ("en", "fr"), "project.language must be en or fr"),
-        (c.graphs.call_depth >= 1 and c.graphs.focus_depth >= 1, "depths must be 1 at least"),
-        (0 <= c.metrics.complexity_warn <= c.metrics.complexity_critical, "complexity_warn must not exceed complexity_critical"),
-        (0 <= c.metrics.doc_coverage_warn <= 100, "doc_coverage_warn is a per cent"),
-        (-1 <= c.check.min_doc_coverage <= 100, "min_doc_coverage is a per cent, or -1"),
-        (c.export.budget >= 2000, "export.budget must be 2000 at least"),
-        (c.explorer.default_metric in METRICS, f"explorer.default_metric must be one of {', '.join(METRICS)}"),
-    ]
-    for good, message in rules:
-        if not good:
-            raise ConfigError(message)
+def _setting(name: str, value: Any, usual: Any) -> Any:
+    """A setting's value, of the type of what is usual and within its domain; lists become tuples."""
+    found = tuple(value) if isinstance(usual, tuple) and isinstance(value, list) and all(isinstance(x, str) for x in value) else value
+    if type(found) is not type(usual):
+        raise ConfigError(f"{name} must be {'a list of strings' if isinstance(usual, tuple) else f'of type {type(usual).__name__}'}")
+    fits, domain = DOMAINS.get(name, (lambda x: True, ""))
+    if not fits(found):
+        raise ConfigError(f"{name} must be {domain}")
+    return found
 
 
 def parse(data: dict[str, Any]) -> Config:
-    sections = {f.name: f.default_factory() for f in dataclasses.fields(Config)}
-    for name, values in data.items():
-        if name not in sections:
-            raise _unknown(name, list(sections), "section")
-        if not isinstance(values, dict):
-            raise ConfigError(f"{name} must be a table")
-        current = sections[name]
-        known = {f.name: getattr(current, f.name) for f in dataclasses.fields(current)}
-        changes = {}
-        for key, value in values.items():
-            if key not in known:
-                raise _unknown(key, list(known), f"key of {name}")
-            changes[key] = _coerced(f"{name}.{key}", value, known[key])
-        if name == "analysis" and "exclude" in changes:  # the user's are added
-            changes["exclude"] = DEFAULT_EXCLUDES + tuple(x for x in changes["exclude"] if x not in DEFAULT_EXCLUDES)
-        sections[name] = dataclasses.replace(current, **changes)
-    config = Config(**sections)
-    _domains(config)
-    return config
+    """The configuration of a table of sections; what it leaves out is as usual, and its excludes are added to the usual ones."""
+    usual = {s: dataclasses.asdict(part) for s, part in vars(Config()).items()}
+    given = []
+    for section, table in data.items():
+        if section not in usual:
+            raise _unknown(section, usual, "section")
+        if not isinstance(table, dict):
+            raise ConfigError(f"{section} must be a table")
+        given += [(section, key, value) for key, value in table.items()]
+    for section, key, value in given:
+        if key not in usual[section]:
+            raise _unknown(key, usual[section], f"key of {section}")
+        usual[section][key] = _setting(f"{section}.{key}", value, usual[section][key])
+    usual["analysis"]["exclude"] = tuple(dict.fromkeys(DEFAULT_EXCLUDES + usual["analysis"]["exclude"]))
+    return Config(**{f.name: f.default_factory(**usual[f.name]) for f in dataclasses.fields(Config)})
 
 
 def load(root: str | Path, explicit: str | Path | None = None) -> Config:

@@ -118,3 +118,12 @@ def test_configuration(tmp_path):
             config.parse(bad)
     with pytest.raises(config.ConfigError, match="did you mean 'export'"):
         config.parse({"exprt": {}})
+
+
+def test_domains_of_settings():
+    assert config.parse({"metrics": {"complexity_critical": 5}}).metrics == config.Metrics(complexity_critical=5)
+    assert config.parse({"analysis": {"exclude": ["gen/**", "gen/**", "**/dist/**"], "languages": ["java"]}}).analysis.exclude == (*config.DEFAULT_EXCLUDES, "gen/**")
+    for bad in ({"check": {"max_doc_coverage_drop": 101}}, {"check": {"max_doc_coverage_drop": -2}}, {"graphs": {"focus_depth": 0}}, {"analysis": {"exclude": [1]}}, {"project": {"language": "xx"}}, {"export": {"budget": True}}, {"site": 3}):
+        with pytest.raises(config.ConfigError):
+            config.parse(bad)
+    assert config.parse({"check": {"max_doc_coverage_drop": -1, "min_doc_coverage": 0}}).check.min_doc_coverage == 0

@@ -209,10 +209,19 @@ def report_pages(graph: Graph, language: str = "en", limits: Metrics = Metrics()
     return {f"{name}.md": f"# {t[name]}\n\n{text}" for name, text in texts.items() if text}
 
 
+#: A file that tells a folder that a build has made.
+SITE_MARK = ".cartolith-site"
+
+
 def build_site(
     graph: Graph, out: Path, metric: str = "complexity", language: str = "en", history: Path | None = None, limits: Metrics = Metrics(), view: bool = True
 ) -> list[str]:
-    """Diagrams, data of the view (if wanted) and a page a module, staged beside and moved into place as a whole."""
+    """Diagrams, data of the view (if wanted) and a page a module, staged beside and moved into place as a whole.
+
+    A folder that is there is replaced only if it is empty or has the mark of an earlier build.
+    """
+    if out.exists() and not (out / SITE_MARK).is_file() and any(out.iterdir()):
+        raise FileExistsError(f"{out} is not a site of an earlier build")
     out.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=f".{out.name}-", dir=out.parent))
     several = graph.subprojects.count() > 1
@@ -240,6 +249,7 @@ def build_site(
     if view:
         write_view(graph, stage, metric)
     written = sorted(str(p.relative_to(stage)) for p in stage.rglob("*") if p.is_file())
+    (stage / SITE_MARK).touch()
     if out.exists():
         shutil.rmtree(out)
     stage.rename(out)

@@ -79,6 +79,8 @@ def test_command_line(spark, tmp_path):
     code, text = run(spark, "build", root, "--out", tmp_path / "site")
     assert code == cli.OK and {"health.md", "changelog.md", "entrypoints.md", "tour.md", "index.md", "assets/data/view-graph.js", "modules/shop.cli.md"} <= set(text.split())
     assert (tmp_path / "site/assets/data/view-graph.js").read_text().endswith(";\n")
+    kept = write(tmp_path / "mine", ("", {"notes.txt": "kept"}))
+    assert run(spark, "build", root, "--out", kept)[0] == cli.FATAL and (kept / "notes.txt").read_text() == "kept"
     assert run(spark, "nonsense")[0] == cli.USAGE and run(spark, "check", tmp_path / "none")[0] == cli.FATAL
 
 

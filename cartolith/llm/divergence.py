@@ -53,7 +53,7 @@ SEATS = 64
 #: Rounds that are on the way at once; then their meetings are written.
 WAVE = 8
 #: Bytes of text whose words a task counts at once.
-HELD = 20 << 20
+HELD = 8 << 20
 _TABLE = byte_table(digits=False)
 #: Vectors of a batch.
 _VECTORS = 64

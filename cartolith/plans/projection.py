@@ -122,6 +122,10 @@ STEPS: dict[str, str] = {
 }
 
 
+#: Steps that many others read; Spark computes them once.
+SHARED_STEPS = ("member", "link")
+
+
 @cache
 def oracle_ctes() -> str:
     """The steps as common table expressions for DuckDB (names with a leading ``g_``)."""
@@ -138,7 +142,8 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
     frames: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for name, sql in STEPS.items():
         used = {k: v for k, v in frames.items() if "{" + k + "}" in sql}
-        frames[name] = spark.sql(sql, **used)
+        found = spark.sql(sql, **used)
+        frames[name] = cut(found) if name in SHARED_STEPS else found
     node, edge, sub = frames["node"], frames["edge"], frames["sub"]
     modifiers = F.array_compact(F.array(F.when(F.col("main_guard"), "main_guard"), F.col("modifier")))
     nodes = node.select(

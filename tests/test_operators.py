@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from cartolith import queries as Q
 from cartolith.operators import baseline, explorer, flow, health, kernels, layers, lookup, packages, reading, render
 from cartolith.plans import graph as G
 
@@ -157,3 +159,14 @@ def test_layout_by_joins_equals_the_one_on_arrays(spark, monkeypatch):
     assert {x["id"]: x["rank"] for x in layers.longest_path_ranks(g.modules.select("id"), pairs).collect()} == ranks and max(ranks.values()) > 1
     monkeypatch.setattr(kernels, "LOCAL_EDGES", 5)
     assert {x["id"]: (x["x"], x["y"]) for x in explorer.layout(g).collect()} == small
+
+
+@pytest.mark.parametrize("categories", [("public_api",), ("inferred_calls", "skipped", "subprojects", "service_deps"), ("public_api", "inferred_calls")])
+def test_states_compute_only_what_is_asked(spark, small, monkeypatch, categories):
+    whole = sorted(map(str, baseline.state(small).where(F.col("category").isin(*categories)).collect()))
+    monkeypatch.setattr(baseline, "package_cycles", lambda g: pytest.fail("cycles are not asked for"))
+    assert sorted(map(str, baseline.state(small, categories).collect())) == whole and whole
+    graph = G.Graph(small.subprojects, small.nodes.withColumn("complexity", F.coalesce("complexity", F.lit(0))), small.edges, small.skipped)
+    monkeypatch.setattr(Q, "graph", lambda spark, sf_dir: graph)
+    for name in ("api_diff", "category_delta", "regression_checks"):
+        assert Q.QUERIES[name](spark, "").columns

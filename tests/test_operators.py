@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith import queries as Q
-from cartolith.operators import baseline, explorer, flow, health, kernels, layers, lookup, packages, reading, render
+from cartolith.operators import baseline, explorer, flow, health, kernels, layers, lookup, packages, reading, render, rounds
 from cartolith.plans import graph as G
+from cartolith.plans.lineage import cut
 
 
 def frame(spark, edges):
@@ -170,3 +171,31 @@ def test_states_compute_only_what_is_asked(spark, small, monkeypatch, categories
     monkeypatch.setattr(Q, "graph", lambda spark, sf_dir: graph)
     for name in ("api_diff", "category_delta", "regression_checks"):
         assert Q.QUERIES[name](spark, "").columns
+
+
+def test_only_places_need_the_layout(spark, small, monkeypatch):
+    columns = [c for c in explorer.view_nodes(small).columns if c not in ("x", "y")]
+    whole = sorted(map(str, explorer.view_nodes(small).select(*columns).collect()))
+    monkeypatch.setattr(explorer, "layout", lambda g: pytest.fail("places are not asked for"))
+    monkeypatch.setattr(Q, "graph", lambda spark, sf_dir: small)
+    assert sorted(map(str, explorer.view_nodes(small, placed=False).select(*columns).collect())) == whole
+    for name in ("dashboard_rows", "facet_values", "faceted_filter", "treemap_cells"):
+        assert Q.QUERIES[name](spark, "").columns
+
+
+@pytest.mark.parametrize("task_rows", [3, 10**6])
+def test_places_in_ranges_are_those_of_one_sort(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(rounds, "TASK_ROWS", task_rows)
+    r = random.Random(task_rows)
+    rows = [(float(r.randint(0, 4)), f"n{i}") for i in range(20)]
+    got = rounds.placed(spark.createDataFrame(rows, "mean double, id string").repartition(5), 20, "mean", "id").collect()
+    assert [x["id"] for x in sorted(got, key=lambda x: x["row"])] == [i for _, i in sorted(rows)] and {x["row"] for x in got} == set(range(20))
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """A table that joins itself each round: the driver's estimate of its size stays that of its files."""
+    table, pairs = spark.range(4).withColumn("row", F.lit(1)), spark.createDataFrame([(i, (i + 1) % 4) for i in range(4)], "id long, there long")
+    for _ in range(5):
+        beside = pairs.join(table.select(F.col("id").alias("there"), F.col("row").alias("r")), "there").groupBy("id").agg(F.sum("r").alias("r"))
+        table = cut(table.join(beside, "id").select("id", F.col("r").alias("row")))
+    assert table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 20 and table.count() == 4

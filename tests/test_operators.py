@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cartolith import queries as Q
 from cartolith.operators import baseline, explorer, flow, health, kernels, layers, lookup, packages, reading, render, rounds
 from cartolith.plans import graph as G
+from cartolith.plans import lineage, projection
 from cartolith.plans.lineage import cut
 
 
@@ -198,4 +200,23 @@ def test_estimates_do_not_grow_with_rounds(spark):
     for _ in range(5):
         beside = pairs.join(table.select(F.col("id").alias("there"), F.col("row").alias("r")), "there").groupBy("id").agg(F.sum("r").alias("r"))
         table = cut(table.join(beside, "id").select("id", F.col("r").alias("row")))
-    assert table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 20 and table.count() == 4
+    assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20 and table.count() == 4
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 50)
+    plan = lambda n: cut(spark.range(n).withColumn("x", F.lit("x"))).select("id").join(spark.range(10**7), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(50) and "Broadcast" not in plan(51)
+
+
+def test_queries_on_nodes_make_no_edges(spark):
+    """And every edge, with its place, is that of the SQL."""
+    made = projection.project(spark, "/root/testdata/sf0.001")
+    assert made.nodes.count() and not made._made
+    assert made.edges_of("imports").columns and set(made._made) == {"module"}
+    con = duckdb.connect()
+    for name in projection.TABLES:
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    want = con.execute(f"{projection.oracle_ctes()} select source, target, kind, certainty, file, line from g_edge").fetchall()
+    got = made.edges.select("source", "target", "kind", "certainty", "location.file", "location.line").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) > 1000

@@ -19,11 +19,9 @@ Buckets return a spanning forest, not all pairs;
 ones from the same hashes, mixed anew. A link needs at most ``NEAR_BITS`` different bits
 over all, which shingle sets of similarity 0.8 have in nine cases of ten (about
 15 % of the bits differ, give or take 2 %), and more similar ones nearly always;
-chance alone gives no such pair. Up to ``BAND_ROWS`` fingerprints meet all together.
-Beyond, the bits are cut into ``BANDS`` bands at most, and fingerprints meet that
-agree on one: with bands of 8 to 12 bits two texts of similarity 0.8 do so in 95
-cases of a hundred at least, so that a row is in 21 buckets whatever the size of
-the table. A hot bucket is parted by bands of the other words in the same way.
+chance alone gives no such pair. The search is exact at any size: fingerprints
+are dealt to blocks, every pair of blocks is a piece of work of its own, and the
+:class:`WideIndex` finds all links in it. Size decides only how they are dealt and in which order.
 
 Defined cases: a null or empty text has no words and fingerprint 0, which is
 linked like any other. A null id never names a component if the component has
@@ -37,12 +35,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, free_names, map_batches, map_stream
+from .runtime import cut, free_names, map_arrays, map_batches, map_stream
 
 #: Rows that a bucket of the upper nodes should hold, and those beyond which it is parted again.
 BUCKET_ROWS, HOT_ROWS = 4_096, 131_072
@@ -54,8 +53,12 @@ LEAF, FANOUT = 16, 8
 CHUNK_ROWS, CHUNK_PAIRS = 65_536, 1 << 20
 #: Words of a wide fingerprint; shingle size, bits of the first and bits of all within which texts are near-duplicates.
 WIDE, NEAR_SHINGLE, NEAR_RADIUS, NEAR_BITS = 4, 5, 20, 46
-#: Wide fingerprints that meet without bands, and that a band's bucket should hold; least bits of a band, and bands, at most.
+#: See :func:`bands`, which no search uses any more.
 BAND_ROWS, BAND_BITS, BANDS = 32_768, 8, 21
+#: Wide fingerprints of a block at least (but for the last) and at most, and blocks where neither binds.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 16_384, 1 << 20, 8
+#: Pairs of wide fingerprints compared at once, and near ones held before they are verified and joined.
+WIDE_PAIRS, HELD_LINKS = 1 << 16, 1 << 16
 _SHINGLES_AT_ONCE = 1 << 17
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -126,6 +129,22 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (least positions) after each of ``a`` is joined with that of ``b``; the same array if nothing changes."""
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        label = parent[label]
+    return label
+
+
 class GrayIndex:
     """Fingerprints of some groups, each sorted by Gray rank, under nodes of shared bits.
 
@@ -140,10 +159,9 @@ class GrayIndex:
     ``pruned`` counts these cases.
     """
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray, more: np.ndarray | None = None) -> None:
+    def __init__(self, group: np.ndarray, fp: np.ndarray) -> None:
         order = np.lexsort((gray_rank(fp), group))
         self.order, self.group, self.fp = order, group[order], fp[order]
-        self.more = more[order] if more is not None and more.shape[1] else None
         n = len(fp)
         self.label = np.arange(n)
         self.pruned = {"bits": 0, "groups": 0, "joined": 0, "whole": 0, "compared": 0}
@@ -162,17 +180,8 @@ class GrayIndex:
         self._spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _merge(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            la, lb = self.label[a], self.label[b]
-            apart = la != lb
-            if not apart.any():
-                return
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            parent = np.arange(len(self.fp))
-            np.minimum.at(parent, np.maximum(la, lb), np.minimum(la, lb))
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
-            self.label = parent[self.label]
+        before, self.label = self.label, merged(self.label, a, b)
+        if self.label is not before:
             self._spans.clear()
 
     def _joined(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -183,11 +192,6 @@ class GrayIndex:
         low, high = self._spans[level]
         return (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
 
-    def _verified(self, i: np.ndarray, j: np.ndarray, acc: np.ndarray, bits: int | None) -> np.ndarray:
-        if self.more is None or bits is None:
-            return np.ones(len(i), bool)
-        return acc + np.bitwise_count(self.more[i] ^ self.more[j]).sum(axis=1, dtype=np.int64) <= bits
-
     def _open(self, level: int, one: np.ndarray, other_level: int, other: np.ndarray, acc: np.ndarray, radius: int) -> tuple:
         """Children of ``one`` (a level below) beside ``other``, with the differences added up, where these do not exceed ``radius``."""
         below = level - 1
@@ -213,35 +217,28 @@ class GrayIndex:
         at = at[at < np.minimum(n, np.repeat((nodes + 1) * span, span - 1)) - 1]
         self._merge(np.concatenate([at, i * span]), np.concatenate([at + 1, j * span]))
 
-    def _compare(self, i: np.ndarray, j: np.ndarray, radius: int, bits: int | None) -> None:
+    def _compare(self, i: np.ndarray, j: np.ndarray, radius: int) -> None:
         """Compare all fingerprints of each pair of leaves."""
         self.pruned["compared"] += len(i) * LEAF * LEAF
         differ = np.bitwise_count(self.leaves[i][:, :, None] ^ self.leaves[j][:, None, :])
         hit = np.flatnonzero(differ <= radius)
         if not len(hit):
             return
-        acc = differ.ravel()[hit].astype(np.int64)
         pair, place = np.divmod(hit, LEAF * LEAF)
         a, b = i[pair] * LEAF + place // LEAF, j[pair] * LEAF + place % LEAF
         there = (a < b) & (b < len(self.fp))
-        a, b, acc = a[there], b[there], acc[there]
+        a, b = a[there], b[there]
         keep = self.group[a] == self.group[b]
-        a, b, acc = a[keep], b[keep], acc[keep]
-        keep = self._verified(a, b, acc, bits)
         self._merge(a[keep], b[keep])
 
-    def link(self, radius: int, bits: int | None = None) -> np.ndarray:
-        """Labels (positions) of the components of links within the groups.
-
-        With ``bits``, a link also needs at most so many different bits over the
-        whole wide fingerprints.
-        """
+    def link(self, radius: int) -> np.ndarray:
+        """Labels (positions) of the components of links within the groups."""
         n = len(self.fp)
         if n < 2:
             return self.label
         a = np.arange(n - 1)
         acc = np.bitwise_count(self.fp[1:] ^ self.fp[:-1]).astype(np.int64)
-        a = a[(acc <= radius) & (self.group[1:] == self.group[:-1]) & self._verified(a, a + 1, acc, bits)]
+        a = a[(acc <= radius) & (self.group[1:] == self.group[:-1])]
         self._merge(a, a + 1)  # Gray neighbours first: dense groups then need few comparisons
         top = len(self.pattern) - 1
         i, j = np.triu_indices(len(self.pattern[top]))
@@ -259,7 +256,7 @@ class GrayIndex:
             keep = ~self._joined(level, i, j)
             self.pruned["joined"] += int((~keep).sum())
             i, j, acc = i[keep], j[keep], acc[keep]
-            if bits is None and len(i):
+            if len(i):
                 free = np.bitwise_count(~(self.mask[level][i] & self.mask[level][j]))
                 one_group = (self.low[level][i] == self.high[level][j]) & (self.high[level][i] == self.low[level][j])
                 whole = (acc + free <= radius) & one_group
@@ -270,7 +267,7 @@ class GrayIndex:
             if not len(i):
                 continue
             if not level:
-                self._compare(i, j, radius, bits)
+                self._compare(i, j, radius)
                 continue
             i, j, acc = self._open(level, i, level, j, acc, radius)
             j, i, acc = self._open(level, j, level - 1, i, acc, radius)
@@ -279,6 +276,74 @@ class GrayIndex:
         return self.label
 
 
+class WideIndex:
+    """Wide fingerprints of two blocks, ``first`` of the one before those of the other, or of one block (``first`` is all).
+
+    A link joins one of each block, or two of the only one. The bits are cut into
+    parts of 16; one part at least of two fingerprints within ``bits`` differs in no
+    more bits than the mean part. So for each part, all pairs are compared whose
+    values differ by one of the ``masks`` of so many bits: no link is lost.
+    """
+
+    def __init__(self, words: np.ndarray, first: int, radius: int, bits: int) -> None:
+        self.words, self.first, self.radius, self.bits = np.ascontiguousarray(words), first, radius, bits
+        self.label = np.arange(len(words))
+        self.compared = 0
+        parts = self.words.view(np.uint16)
+        few = min(16, bits // parts.shape[1])
+        self.masks = [sum(1 << b for b in c) for k in range(few + 1) for c in combinations(range(16), k)]
+        self._near: list[tuple[np.ndarray, np.ndarray]] = []
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _verify(self, most: int) -> None:
+        """Link those of the pairs found near by the first word that are near by all; fewer than ``most`` wait."""
+        if sum(len(i) for i, _ in self._near) >= most:
+            i, j = (np.concatenate(x) for x in zip(*self._near, strict=True))
+            self._near = []
+            apart = self.label[i] != self.label[j]
+            i, j = i[apart], j[apart]
+            differ = np.bitwise_count(self.words[i] ^ self.words[j]).astype(np.float32)
+            near = differ @ np.ones(differ.shape[1], np.float32) <= self.bits
+            self._held.append((i[near], j[near]))
+        if sum(len(i) for i, _ in self._held) >= most:
+            self.label = merged(self.label, *(np.concatenate(x) for x in zip(*self._held, strict=True)))
+            self._held = []
+
+    def link(self) -> np.ndarray:
+        """Labels (positions) of the components of links."""
+        alone = self.first == len(self.words)
+        skip = 0 if alone else self.first
+        parts = self.words.view(np.uint16)
+        for p in range(parts.shape[1]):
+            order = np.argsort(parts[: self.first, p], kind="stable")
+            value = parts[order, p].astype(np.int64)
+            other = np.argsort(parts[skip:, p], kind="stable") + skip
+            at = np.concatenate([[0], np.cumsum(np.bincount(parts[skip:, p], minlength=1 << 16))])
+            one_word, other_word = self.words[order, 0], self.words[other, 0]
+            for mask in self.masks:
+                sought = value ^ mask
+                low, count = at[sought], at[sought + 1] - at[sought]
+                own = np.flatnonzero(count * (sought >= value) if alone else count)
+                count, ends = count[own], np.cumsum(count[own])
+                begin = 0
+                while begin < len(own):  # so many pairs at once, those of one fingerprint at least
+                    done = int(ends[begin - 1]) if begin else 0
+                    end = max(begin + 1, int(np.searchsorted(ends, done + WIDE_PAIRS, "right")))
+                    mine, each = own[begin:end], count[begin:end]
+                    place = np.arange(done, int(ends[end - 1])) + np.repeat(low[mine] - ends[begin:end] + each, each)
+                    differ = np.bitwise_count(np.repeat(one_word[mine], each) ^ other_word[place])
+                    hit = np.flatnonzero(differ <= self.radius)
+                    self.compared += len(place)
+                    if len(hit):
+                        i = mine[np.searchsorted(ends[begin:end], done + hit, "right")]
+                        self._near.append((order[i], other[place[hit]]))
+                        self._verify(HELD_LINKS)
+                    begin = end
+        while self._near or self._held:
+            self._verify(0)
+        return self.label
+
+
 def _blocks(free: int, parts: int, bits: int) -> list[int]:
     """Masks of ``parts`` blocks of the bits in ``free``, at most ``bits`` of each."""
     places = [b for b in range(64) if free >> b & 1]
@@ -307,41 +372,6 @@ def bands(count: int, words: range = range(WIDE), most: int | None = None) -> li
     return found[: BANDS if most is None else most]
 
 
-def _banded(rows: DataFrame, own: list[tuple[int, int, int]], key=None) -> DataFrame:
-    """Rows under each (table, word, mask); ``key`` is that of the bucket they come from."""
-    words = [F.col("fp"), *[F.element_at("more", w) for w in range(1, WIDE)]]
-    under = [words[w].bitwiseAND(F.lit(signed(m))) for _, w, m in own]
-    keys = [F.struct(F.lit(t).alias("t"), (k if key is None else F.xxhash64(key, k)).alias("key")) for (t, _, _), k in zip(own, under, strict=True)]
-    return rows.select("node", "fp", "more", F.explode(F.array(*keys)).alias("x")).select("node", "fp", "more", "x.t", "x.key")
-
-
-def banded(nodes: DataFrame) -> DataFrame:
-    """(node, fp, more, t, key): each wide fingerprint in its buckets; one bucket of more than ``HOT_ROWS`` is parted up to ``MAX_PARTED`` times."""
-    count = nodes.count()
-    if count <= BAND_ROWS:
-        return nodes.select("node", "fp", "more", F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"))
-    tables = dict(enumerate(bands(count)))
-    rows, done = _banded(nodes, [(t, w, m) for t, (w, m) in tables.items()]), None
-    for _ in range(MAX_PARTED if count > HOT_ROWS else 0):
-        hot = cut(rows.groupBy("t", "key").count().where(F.col("count") > HOT_ROWS))
-        most = {r["t"]: r["n"] for r in hot.groupBy("t").agg(F.max("count").alias("n")).collect()}  # a row a table
-        if not most:
-            break
-        cold = rows.join(hot.select("t", "key"), ["t", "key"], "left_anti").select("node", "fp", "more", "t", "key")
-        done = cold if done is None else done.unionByName(cold)
-        warm, parts = rows.join(hot.select("t", "key"), ["t", "key"], "left_semi"), []
-        for t, n in sorted(most.items()):
-            word = tables[t][0]
-            first = len(tables)
-            fresh = bands(n * 16, [w for w in range(WIDE) if w != word], 2 * (WIDE - 1))
-            tables |= {first + i: x for i, x in enumerate(fresh)}
-            parts.append(_banded(warm.where(F.col("t") == t), [(first + i, w, m) for i, (w, m) in enumerate(fresh)], F.col("key")))
-        rows = parts[0]
-        for x in parts[1:]:
-            rows = rows.unionByName(x)
-    return rows if done is None else done.unionByName(rows)
-
-
 def _keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """Rows under each mask of their table ``t``; a table's masks are lists of (new table, mask)."""
     tables = F.create_map(
@@ -382,42 +412,85 @@ def parted(nodes: DataFrame, radius: int) -> DataFrame:
     return rows if done is None else done.unionByName(rows)
 
 
-def near_links(nodes: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
-    """(a, b): a spanning forest, by bucket, of nodes (``node``, ``fp``, ``more``) within ``radius`` bits (and ``bits`` over all)."""
+def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): a spanning forest, by bucket, of nodes (``node``, ``fp``) within ``radius`` bits."""
     order = ["t", "key"]
-    spread = (parted(nodes, radius) if bits is None else banded(nodes)).repartition(*order).sortWithinPartitions(*order)
+    spread = parted(nodes, radius).repartition(*order).sortWithinPartitions(*order)
 
     def make():
         def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[np.ndarray] = []
             rows = 0
 
-            def search(part: np.ndarray, more: np.ndarray) -> dict[str, list]:
+            def search(part: np.ndarray) -> dict[str, list]:
                 change = np.any(part[1:, 2:] != part[:-1, 2:], axis=1)
-                index = GrayIndex(np.concatenate([[0], np.cumsum(change)]), part[:, 1].astype(np.uint64), more)
-                label = index.link(radius, bits)
+                index = GrayIndex(np.concatenate([[0], np.cumsum(change)]), part[:, 1].astype(np.uint64))
+                label = index.link(radius)
                 member = np.flatnonzero(label != np.arange(len(label)))
                 node = part[index.order, 0]
                 return {"a": node[member].tolist(), "b": node[label[member]].tolist()}
 
             for batch in batches:
-                more = np.array([m or [] for m in batch["more"]], np.int64).astype(np.uint64)
-                held.append((np.array([batch["node"], batch["fp"], batch["t"], batch["key"]], np.int64).T, more.reshape(len(batch["fp"]), -1)))
+                held.append(np.array([batch["node"], batch["fp"], batch["t"], batch["key"]], np.int64).T)
                 rows += len(batch["fp"])
                 if rows >= CHUNK_ROWS:
-                    part, more = (np.concatenate(x) for x in zip(*held, strict=True))
+                    part = np.concatenate(held)
                     other = np.flatnonzero(np.any(part[:, 2:] != part[-1, 2:], axis=1))
                     if len(other):
                         done = int(other[-1]) + 1
-                        yield search(part[:done], more[:done])
-                        part, more = part[done:], more[done:]
-                    held, rows = [(part, more)], len(part)
+                        yield search(part[:done])
+                        part = part[done:]
+                    held, rows = [part], len(part)
             if rows:
-                yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield search(np.concatenate(held))
+
+        return run
+
+    return map_stream(spread.select("node", "fp", *order), make, "a long, b long", rows=8192)
+
+
+def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS, bits: int = NEAR_BITS) -> DataFrame:
+    """(a, b): a spanning forest, by pair of blocks, of nodes (``node``, ``fp``, ``more``) within ``radius`` bits of ``fp`` and ``bits`` over all.
+
+    Each row goes to ``BLOCKS`` pairs of blocks, to more only where a block would
+    exceed ``MOST_BLOCK``; so a task holds two blocks at most.
+    """
+    count = nodes.count()
+    blocks = max(1, min(BLOCKS, -(-count // LEAST_BLOCK)), -(-count // MOST_BLOCK))
+    own, every = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    words = ["fp", *[F.element_at("more", w).alias(f"w{w}") for w in range(1, WIDE)]]
+    spread = nodes.select("node", *words, own.alias("own"), F.explode(every).alias("with")).withColumn(
+        "pair", F.least("own", "with") * blocks + F.greatest("own", "with")
+    )
+    spread = spread.drop("with").repartition(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair", "own")
+    names = ["pair", "own", "node", "fp", *[f"w{w}" for w in range(1, WIDE)]]
+
+    def make():
+        def search(part: np.ndarray) -> dict[str, np.ndarray]:
+            one, other = divmod(int(part[0, 0]), blocks)
+            first = int((part[:, 1] == one).sum())
+            if not first or (first == len(part) and one != other):
+                return {"a": part[:0, 2], "b": part[:0, 2]}
+            label = WideIndex(part[:, 3:].astype(np.uint64), first, radius, bits).link()
+            member = np.flatnonzero(label != np.arange(len(label)))
+            return {"a": part[member, 2], "b": part[label[member], 2]}
+
+        def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, np.ndarray]]:
+            held: list[np.ndarray] = []
+            for batch in batches:
+                rows = np.stack([batch[n].to_numpy() for n in names], axis=1)
+                for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                    if held and len(part) and held[0][0, 0] != part[0, 0]:
+                        yield search(np.concatenate(held))
+                        held = []
+                    if len(part):
+                        held.append(part)
+            if held:
+                yield search(np.concatenate(held))
 
         return run
 
-    return map_stream(spread.select("node", "fp", *order, "more"), make, "a long, b long", rows=8192)
+    return map_arrays(spread.select(*names), make, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -452,7 +525,7 @@ def keep_one(
     by_print = cut(
         prints.groupBy("fp", "more").agg(F.min(row).alias("least")).withColumn("node", F.monotonically_increasing_id())
     )
-    roots = connected_components(near_links(by_print.select("node", "fp", "more"), radius, bits))
+    roots = connected_components(wide_links(by_print.select("node", "fp", "more"), radius, bits))
     in_component = by_print.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = in_component.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_hash")
     found = prints.groupBy("doc_id", "text_hash").count()

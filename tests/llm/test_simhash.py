@@ -210,3 +210,62 @@ def test_helper_columns_do_not_clash(spark):
         docs = docs.withColumn(n, S.F.lit(n))
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns and {tuple(x[n] for n in names) for x in kept.collect()} == {tuple(names)} and kept.count() == 2
+
+
+def wide_prints(n=1200, seed=21):
+    """Wide fingerprints in groups around centres, some at the very limits, some alike in the first word alone."""
+    r = np.random.default_rng(seed)
+    out = r.integers(0, 1 << 64, (n, S.WIDE), dtype=np.uint64)
+    for i in range(0, n - 3, 4):
+        for j, (first, rest) in enumerate(((20, 26), (21, 25), (int(r.integers(0, 21)), int(r.integers(20, 30)))), 1):
+            flips = np.concatenate([r.choice(64, first, replace=False), 64 + r.choice(192, rest, replace=False)])
+            out[i + j] = out[i]
+            for b in flips:
+                out[i + j, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+def brute_wide_components(prints):
+    root = np.arange(len(prints))
+    for i in range(len(prints)):
+        differ = np.bitwise_count(prints[i] ^ prints).astype(int)
+        for j in np.flatnonzero((differ[:, 0] <= S.NEAR_RADIUS) & (differ.sum(axis=1) <= S.NEAR_BITS)):
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root.tolist()
+
+
+def test_wide_search_is_exact_at_any_size(spark, monkeypatch):
+    prints = wide_prints()
+    want = brute_wide_components(prints)
+    assert 300 < len(set(want)) < 1000
+    rows_ = [(i, S.signed(int(p[0])), [S.signed(int(x)) for x in p[1:]]) for i, p in enumerate(prints)]
+    frame = spark.createDataFrame(rows_, "node long, fp long, more array<long>")
+    monkeypatch.setattr(S, "BAND_ROWS", 1)
+    for least, most, at_once, held in ((1 << 14, 1 << 20, 1 << 16, 1 << 16), (200, 1 << 20, 100, 1), (50, 100, 1 << 16, 7)):
+        for name, value in (("LEAST_BLOCK", least), ("MOST_BLOCK", most), ("WIDE_PAIRS", at_once), ("HELD_LINKS", held)):
+            monkeypatch.setattr(S, name, value)
+        roots = {x["node"]: x["root"] for x in components.connected_components(S.wide_links(frame)).collect()}
+        assert [roots.get(i, i) for i in range(len(prints))] == want
+
+
+def test_keep_one_does_not_depend_on_other_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(S, "BAND_ROWS", 1)
+    r = random.Random(31)
+    base = [[f"w{r.randint(0, 3000)}" for _ in range(r.randint(60, 120))] for _ in range(300)]
+    copies = [similar(r, b, r.uniform(0.68, 0.76)) for b in base]  # about the limit, where bands miss the most
+    all_texts = [" ".join(t) for t in [*base, *copies]]
+    prints = np.array([S.wide_fingerprint(t, S.NEAR_SHINGLE, S.WIDE) for t in all_texts], np.uint64)
+    want = brute_wide_components(prints)
+    assert len(set(want)) < len(want)
+    assert rows(S.keep_one(documents(spark, all_texts)), "doc_id") == [(i,) for i in sorted(set(want))]
+
+
+def test_equal_words_need_no_more_memory_than_a_chunk():
+    prints = wide_prints(400, 3)
+    prints[:, 1] = 0  # all pairs meet in four parts
+    index = S.WideIndex(prints, 150, S.NEAR_RADIUS, S.NEAR_BITS)
+    label = index.link()
+    differ = np.bitwise_count(prints[:150, None] ^ prints[None, 150:]).astype(int)
+    a, b = np.nonzero((differ[..., 0] <= S.NEAR_RADIUS) & (differ.sum(axis=2) <= S.NEAR_BITS))
+    assert index.compared >= 4 * 150 * 250 and (label[a] == label[150 + b]).all()

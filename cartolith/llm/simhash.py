@@ -20,7 +20,7 @@ ones from the same hashes, mixed anew. A link needs at most ``NEAR_BITS`` differ
 over all, which shingle sets of similarity 0.8 have in nine cases of ten (about
 15 % of the bits differ, give or take 2 %), and more similar ones nearly always;
 chance alone gives no such pair. The search is exact at any size: fingerprints
-are dealt to blocks, every pair of blocks is a piece of work of its own, and the
+are dealt to blocks, every pair of blocks is a piece of work of its own, or several, and the
 :class:`WideIndex` finds all links in it. Size decides only how they are dealt and in which order.
 
 Defined cases: a null or empty text has no words and fingerprint 0, which is
@@ -55,10 +55,12 @@ CHUNK_ROWS, CHUNK_PAIRS = 65_536, 1 << 20
 WIDE, NEAR_SHINGLE, NEAR_RADIUS, NEAR_BITS = 4, 5, 20, 46
 #: See :func:`bands`, which no search uses any more.
 BAND_ROWS, BAND_BITS, BANDS = 32_768, 8, 21
-#: Wide fingerprints of a block at least (but for the last) and at most, and blocks where neither binds.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 16_384, 1 << 20, 8
+#: Wide fingerprints beyond which several tasks search a block, and those of a block at most, or so.
+LEAST_BLOCK, MOST_BLOCK = 16_384, 1 << 19
 #: Pairs of wide fingerprints compared at once, and near ones held before they are verified and joined.
 WIDE_PAIRS, HELD_LINKS = 1 << 16, 1 << 16
+#: Groups of a block that are looked up at once, and pairs that take the time which a group takes besides its own.
+GROUPS, GROUP_PAIRS = 64, 10_000
 _SHINGLES_AT_ONCE = 1 << 17
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -279,68 +281,107 @@ class GrayIndex:
 class WideIndex:
     """Wide fingerprints of two blocks, ``first`` of the one before those of the other, or of one block (``first`` is all).
 
-    A link joins one of each block, or two of the only one. The bits are cut into
-    parts of 16; one part at least of two fingerprints within ``bits`` differs in no
-    more bits than the mean part. So for each part, all pairs are compared whose
-    values differ by one of the ``masks`` of so many bits: no link is lost.
+    A link joins one of each block, or two of the only one. Of two fingerprints
+    within ``bits``, one word at least differs in no more bits than the mean word,
+    and one part of 16 bits of that word in no more than its mean part. So for each
+    of the ``parts`` (of all, no link is lost), all pairs are compared whose part is that near, by the
+    word it lies in, and those near by the word are verified by all words. Pairs
+    are met a group at a time: rows of one block that agree in the first ``width`` bits of the part, and all rows
+    of the other whose first bits are that near; ``width`` weighs pairs against groups.
     """
 
-    def __init__(self, words: np.ndarray, first: int, radius: int, bits: int) -> None:
+    def __init__(self, words: np.ndarray, first: int, radius: int, bits: int, parts: range | None = None) -> None:
         self.words, self.first, self.radius, self.bits = np.ascontiguousarray(words), first, radius, bits
         self.label = np.arange(len(words))
         self.compared = 0
-        parts = self.words.view(np.uint16)
-        few = min(16, bits // parts.shape[1])
-        self.masks = [sum(1 << b for b in c) for k in range(few + 1) for c in combinations(range(16), k)]
+        self.parts = range(4 * words.shape[1]) if parts is None else parts
+        self.most = bits // words.shape[1]
         self._near: list[tuple[np.ndarray, np.ndarray]] = []
-        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._waiting = 0
+        self._differ, self._count = np.empty(WIDE_PAIRS, np.uint64), np.empty(WIDE_PAIRS, np.uint8)
 
-    def _verify(self, most: int) -> None:
-        """Link those of the pairs found near by the first word that are near by all; fewer than ``most`` wait."""
-        if sum(len(i) for i, _ in self._near) >= most:
+    def _verify(self) -> None:
+        """Link those of the pairs found near by a word that are near by all."""
+        if self._near:
             i, j = (np.concatenate(x) for x in zip(*self._near, strict=True))
-            self._near = []
+            self._near, self._waiting = [], 0
             apart = self.label[i] != self.label[j]
             i, j = i[apart], j[apart]
-            differ = np.bitwise_count(self.words[i] ^ self.words[j]).astype(np.float32)
-            near = differ @ np.ones(differ.shape[1], np.float32) <= self.bits
-            self._held.append((i[near], j[near]))
-        if sum(len(i) for i, _ in self._held) >= most:
-            self.label = merged(self.label, *(np.concatenate(x) for x in zip(*self._held, strict=True)))
-            self._held = []
+            differ = np.bitwise_count(self.words[i] ^ self.words[j])
+            near = (differ.sum(axis=1, dtype=np.int64) <= self.bits) & (differ[:, 0] <= self.radius)
+            self.label = merged(self.label, i[near], j[near])
+
+    def _masks(self, count: float) -> tuple[int, np.ndarray]:
+        """The bits of a part to group by where ``count`` pairs are to be met, and the masks of so few of them."""
+        few = min(16, self.most // 4)
+        masks = {w: [sum(1 << b for b in c) for k in range(min(few, w) + 1) for c in combinations(range(w), k)] for w in range(1, 17)}
+        width = min(masks, key=lambda w: GROUP_PAIRS * (1 << w) + count * len(masks[w]) / (1 << w))
+        return width, np.array(masks[width])
+
+    def _compare(self, i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> None:
+        """Compare rows ``i`` with rows ``j`` by a word of each (``x``, ``y``), at most ``WIDE_PAIRS`` at once."""
+        size = len(x) * len(y)
+        differ = np.bitwise_xor(x[:, None], y, out=self._differ[:size].reshape(len(x), -1))
+        hit = np.flatnonzero(np.bitwise_count(differ, out=self._count[:size].reshape(differ.shape)) <= self.most)
+        self.compared += size
+        if len(hit):
+            row, place = np.divmod(hit, len(y))
+            self._near.append((i[row], j[place]))
+            self._waiting += len(hit)
+            if self._waiting >= HELD_LINKS:
+                self._verify()
+
+    def _compare_many(self, i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> None:
+        """The same for more rows. Those joined already, as in a dense group, need not meet again."""
+        step = max(1, WIDE_PAIRS // len(j))
+        dense = len(i) * len(j) > 4 * WIDE_PAIRS
+        for at in range(0, len(i), step):
+            now = slice(at, at + step)
+            if not dense:
+                self._compare(i[now], x[now], j, y)
+                continue
+            label, count = np.unique(self.label[i[now]], return_counts=True)
+            own = self.label[i[now]] == label[count.argmax()]
+            rest = np.flatnonzero(self.label[j] != label[count.argmax()])
+            for some, others in ((own, rest), (~own, slice(None))):
+                i_now, x_now, j_now, y_now = i[now][some], x[now][some], j[others], y[others]
+                for begin in range(0, len(j_now) if len(i_now) else 0, WIDE_PAIRS):
+                    part = slice(begin, begin + WIDE_PAIRS)
+                    self._compare(i_now, x_now, j_now[part], y_now[part])
 
     def link(self) -> np.ndarray:
         """Labels (positions) of the components of links."""
         alone = self.first == len(self.words)
         skip = 0 if alone else self.first
+        width, masks = self._masks(self.first * (len(self.words) - skip) / (1 + alone))
         parts = self.words.view(np.uint16)
-        for p in range(parts.shape[1]):
-            order = np.argsort(parts[: self.first, p], kind="stable")
-            value = parts[order, p].astype(np.int64)
-            other = np.argsort(parts[skip:, p], kind="stable") + skip
-            at = np.concatenate([[0], np.cumsum(np.bincount(parts[skip:, p], minlength=1 << 16))])
-            one_word, other_word = self.words[order, 0], self.words[other, 0]
-            for mask in self.masks:
-                sought = value ^ mask
-                low, count = at[sought], at[sought + 1] - at[sought]
-                own = np.flatnonzero(count * (sought >= value) if alone else count)
-                count, ends = count[own], np.cumsum(count[own])
-                begin = 0
-                while begin < len(own):  # so many pairs at once, those of one fingerprint at least
-                    done = int(ends[begin - 1]) if begin else 0
-                    end = max(begin + 1, int(np.searchsorted(ends, done + WIDE_PAIRS, "right")))
-                    mine, each = own[begin:end], count[begin:end]
-                    place = np.arange(done, int(ends[end - 1])) + np.repeat(low[mine] - ends[begin:end] + each, each)
-                    differ = np.bitwise_count(np.repeat(one_word[mine], each) ^ other_word[place])
-                    hit = np.flatnonzero(differ <= self.radius)
-                    self.compared += len(place)
-                    if len(hit):
-                        i = mine[np.searchsorted(ends[begin:end], done + hit, "right")]
-                        self._near.append((order[i], other[place[hit]]))
-                        self._verify(HELD_LINKS)
-                    begin = end
-        while self._near or self._held:
-            self._verify(0)
+        for p in self.parts:
+            value = parts[:, p] >> (16 - width)
+            one, other = np.argsort(value[: self.first], kind="stable"), np.argsort(value[skip:], kind="stable") + skip
+            one_word, other_word = self.words[one, p // 4], self.words[other, p // 4]
+            upto = np.concatenate([[0], np.cumsum(np.bincount(value[: self.first], minlength=1 << width))])
+            at = np.concatenate([[0], np.cumsum(np.bincount(value[skip:], minlength=1 << width))])
+            groups = np.flatnonzero(np.diff(upto))
+            begin = 0
+            while begin < len(groups):  # so many groups at once, or as meet so many rows, one at least
+                group = groups[begin : begin + GROUPS, None]
+                sought = group ^ masks
+                low = at[sought]
+                count = (at[sought + 1] - low) * (sought >= group if alone else 1)
+                ends = np.cumsum(count.sum(axis=1))
+                done = max(1, int(np.searchsorted(ends, GROUPS * WIDE_PAIRS, "right")))
+                begin += done
+                low, count, ends = low[:done].ravel(), count[:done].ravel(), ends[:done]
+                place = np.arange(ends[-1]) + np.repeat(low - np.cumsum(count) + count, count)
+                j, y = other[place], other_word[place]
+                edges = [0, *ends.tolist()]
+                for g, lo, hi in zip(group[:done, 0].tolist(), edges, edges[1:], strict=False):
+                    own = slice(upto[g], upto[g + 1])
+                    if hi > lo:
+                        size = (hi - lo) * (own.stop - own.start)
+                        compare = self._compare if size <= WIDE_PAIRS else self._compare_many
+                        compare(one[own], one_word[own], j[lo:hi], y[lo:hi])
+            self._verify()
         return self.label
 
 
@@ -450,47 +491,59 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS, bits: int = NEAR_BITS) -> DataFrame:
-    """(a, b): a spanning forest, by pair of blocks, of nodes (``node``, ``fp``, ``more``) within ``radius`` bits of ``fp`` and ``bits`` over all.
+    """(a, b): a spanning forest, by task, of nodes (``node``, ``fp``, ``more``) within ``bits`` over all (and ``radius`` of ``fp``).
 
-    Each row goes to ``BLOCKS`` pairs of blocks, to more only where a block would
-    exceed ``MOST_BLOCK``; so a task holds two blocks at most.
+    A task holds two blocks at most, of ``MOST_BLOCK`` rows or so. While pairs of blocks are
+    few, each is dealt to several tasks by the parts of the fingerprints, so that a row goes to 16 tasks, or as many as there are blocks.
     """
     count = nodes.count()
-    blocks = max(1, min(BLOCKS, -(-count // LEAST_BLOCK)), -(-count // MOST_BLOCK))
-    own, every = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    blocks = max(1, -(-count // MOST_BLOCK))
+    pairs = blocks * (blocks + 1) // 2
+    shares = 1 if count <= LEAST_BLOCK else next(s for s in (1, 2, 4, 8, 16) if pairs * s >= 16)
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1))).alias("with")
     words = ["fp", *[F.element_at("more", w).alias(f"w{w}") for w in range(1, WIDE)]]
-    spread = nodes.select("node", *words, own.alias("own"), F.explode(every).alias("with")).withColumn(
-        "pair", F.least("own", "with") * blocks + F.greatest("own", "with")
-    )
-    spread = spread.drop("with").repartition(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair", "own")
-    names = ["pair", "own", "node", "fp", *[f"w{w}" for w in range(1, WIDE)]]
+    other, share = F.floor(F.col("with") / shares).cast("int"), F.col("with") % shares
+    least, most = F.least("own", other), F.greatest("own", other)
+    task = (least * blocks - F.floor(least * (least - 1) / 2).cast("int") + most - least) * shares + share
+    spread = nodes.select("node", *words, own.alias("own"), every).withColumns({"task": task, "second": (F.col("own") != least).cast("int")})
+    spread = spread.repartitionById(pairs * shares, "task").sortWithinPartitions("task", "second")
+    names = ["node", "fp", *[f"w{w}" for w in range(1, WIDE)]]
+    alone = {(k * blocks - k * (k - 1) // 2) * shares + s for k in range(blocks) for s in range(shares)}
 
     def make():
-        def search(part: np.ndarray) -> dict[str, np.ndarray]:
-            one, other = divmod(int(part[0, 0]), blocks)
-            first = int((part[:, 1] == one).sum())
-            if not first or (first == len(part) and one != other):
-                return {"a": part[:0, 2], "b": part[:0, 2]}
-            label = WideIndex(part[:, 3:].astype(np.uint64), first, radius, bits).link()
+        def search(task: int, held: list[np.ndarray], first: int) -> dict[str, np.ndarray]:
+            rows = np.concatenate(held)
+            held.clear()
+            node, words = rows[:, 0].copy(), rows[:, 1:].astype(np.uint64)
+            del rows
+            if not first or (first == len(node) and task not in alone):
+                return {"a": node[:0], "b": node[:0]}
+            label = WideIndex(words, first, radius, bits, range(task % shares, 4 * WIDE, shares)).link()
             member = np.flatnonzero(label != np.arange(len(label)))
-            return {"a": part[member, 2], "b": part[label[member], 2]}
+            return {"a": node[member], "b": node[label[member]]}
 
         def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, np.ndarray]]:
             held: list[np.ndarray] = []
+            now, first = -1, 0
             for batch in batches:
+                task, second = batch["task"].to_numpy(), batch["second"].to_numpy()
                 rows = np.stack([batch[n].to_numpy() for n in names], axis=1)
-                for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
-                    if held and len(part) and held[0][0, 0] != part[0, 0]:
-                        yield search(np.concatenate(held))
-                        held = []
-                    if len(part):
-                        held.append(part)
+                edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if held and task[lo] != now:
+                        yield search(now, held, first)
+                        first = 0
+                    if hi > lo:
+                        now = int(task[lo])
+                        held.append(rows[lo:hi])
+                        first += int((second[lo:hi] == 0).sum())
             if held:
-                yield search(np.concatenate(held))
+                yield search(now, held, first)
 
         return run
 
-    return map_arrays(spread.select(*names), make, "a long, b long")
+    return map_arrays(spread.select("task", "second", *names), make, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:

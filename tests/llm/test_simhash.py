@@ -269,3 +269,15 @@ def test_equal_words_need_no_more_memory_than_a_chunk():
     differ = np.bitwise_count(prints[:150, None] ^ prints[None, 150:]).astype(int)
     a, b = np.nonzero((differ[..., 0] <= S.NEAR_RADIUS) & (differ.sum(axis=2) <= S.NEAR_BITS))
     assert index.compared >= 4 * 150 * 250 and (label[a] == label[150 + b]).all()
+
+
+def test_each_pair_of_blocks_is_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_BLOCK", 1200)
+    monkeypatch.setattr(S, "MOST_BLOCK", 100)
+    r = np.random.default_rng(23)
+    prints = np.repeat(r.integers(0, 1 << 64, (1, S.WIDE), dtype=np.uint64), 1200, axis=0)
+    for i, w, b in zip(range(1200), r.integers(0, S.WIDE, 1200).tolist(), r.integers(0, 64, 1200).tolist(), strict=True):
+        prints[i, w] ^= np.uint64(1) << np.uint64(b)
+    rows_ = [(i, S.signed(int(p[0])), [S.signed(int(x)) for x in p[1:]]) for i, p in enumerate(prints)]
+    links = S.wide_links(spark.createDataFrame(rows_, "node long, fp long, more array<long>"))
+    assert links.select(S.F.spark_partition_id()).distinct().count() == 12 * 13 // 2

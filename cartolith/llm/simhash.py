@@ -17,7 +17,7 @@ Buckets return a spanning forest, not all pairs;
 
 :func:`keep_one` takes wide fingerprints: ``WIDE`` words of 64 bits, the further
 ones from the same hashes, mixed anew. A link needs at most ``NEAR_BITS`` different bits
-over all, which shingle sets of similarity 0.8 have in nine cases of ten (about
+over all, wherever they lie; shingle sets of similarity 0.8 have that in nine cases of ten (about
 15 % of the bits differ, give or take 2 %), and more similar ones nearly always;
 chance alone gives no such pair. The search is exact at any size: fingerprints
 are dealt to blocks, every pair of blocks is a piece of work of its own, or several, and the
@@ -51,8 +51,9 @@ MAX_PARTED = 4
 LEAF, FANOUT = 16, 8
 #: Rows that a task joins at once, and pairs that it compares at once.
 CHUNK_ROWS, CHUNK_PAIRS = 65_536, 1 << 20
-#: Words of a wide fingerprint; shingle size, bits of the first and bits of all within which texts are near-duplicates.
-WIDE, NEAR_SHINGLE, NEAR_RADIUS, NEAR_BITS = 4, 5, 20, 46
+#: Words of a wide fingerprint; shingle size, bits within which texts are near-duplicates; the first word has no limit of its own.
+WIDE, NEAR_SHINGLE, NEAR_BITS = 4, 5, 46
+NEAR_RADIUS = NEAR_BITS
 #: See :func:`bands`, which no search uses any more.
 BAND_ROWS, BAND_BITS, BANDS = 32_768, 8, 21
 #: Wide fingerprints beyond which several tasks search a block, and those of a block at most, or so.

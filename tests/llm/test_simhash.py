@@ -281,3 +281,20 @@ def test_each_pair_of_blocks_is_a_task_of_its_own(spark, monkeypatch):
     rows_ = [(i, S.signed(int(p[0])), [S.signed(int(x)) for x in p[1:]]) for i, p in enumerate(prints)]
     links = S.wide_links(spark.createDataFrame(rows_, "node long, fp long, more array<long>"))
     assert links.select(S.F.spark_partition_id()).distinct().count() == 12 * 13 // 2
+
+
+def test_a_link_may_lie_in_any_bits(spark, monkeypatch):
+    r = np.random.default_rng(17)
+    prints = np.repeat(r.integers(0, 1 << 64, (40, S.WIDE), dtype=np.uint64), 2, axis=0)
+    for k in range(40):  # 46 bits or 47, all of them in one word for a fourth, 21 and more in the first word for some others
+        bits = np.arange(64) + 64 * (k % 4) if k < 20 else np.concatenate([r.permutation(64)[: 21 + k % 20], 64 + r.permutation(192)[:40]])
+        for b in bits[: 46 + (k % 5 == 0)]:
+            prints[2 * k + 1, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    rows_ = [(i, S.signed(int(p[0])), [S.signed(int(x)) for x in p[1:]]) for i, p in enumerate(prints)]
+    frame = spark.createDataFrame(rows_, "node long, fp long, more array<long>")
+    want = [(2 * k + 1, 2 * k) for k in range(40) if k % 5]
+    for least, most in ((16_384, 1 << 20), (10, 1 << 20), (10, 30), (10, 15)):
+        monkeypatch.setattr(S, "LEAST_BLOCK", least)
+        monkeypatch.setattr(S, "MOST_BLOCK", most)
+        roots = components.connected_components(S.wide_links(frame))
+        assert sorted((x["node"], x["root"]) for x in roots.collect() if x["node"] != x["root"]) == want
